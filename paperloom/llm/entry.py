@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import simhash
+from paperloom.llm import decontaminate, packing, secrets, simhash
 from paperloom.llm.common import read
 
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_packing": lambda spark, d: packing.pack(read(spark, d, "documents"), tokenizer_file()),
+    "op6_decontamination": lambda spark, d: decontaminate.report(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op8_secrets": lambda spark, d: secrets.report(read(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_secrets": secrets.oracle()}
