@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, langid, packing, secrets, simhash
+from paperloom.llm import decontaminate, flac, langid, packing, quality, secrets, simhash, toxicity
 from paperloom.llm.common import read
 
 
@@ -18,6 +18,9 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": lambda spark, d: langid.report(read(spark, d, "documents")),
+    "op2_flac": lambda spark, d: flac.report(read(spark, d, "documents")),
+    "op3_toxicity": lambda spark, d: toxicity.report(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op4_quality": lambda spark, d: quality.report(read(spark, d, "documents"), read(spark, d, "labels")),
     "op5_packing": lambda spark, d: packing.pack(read(spark, d, "documents"), tokenizer_file()),
     "op6_decontamination": lambda spark, d: decontaminate.report(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op8_secrets": lambda spark, d: secrets.report(read(spark, d, "documents")),

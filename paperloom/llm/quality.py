@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import id_remainder, slices, texts_of
 
-SAMPLE = 6000
+SAMPLE = 4000
 THRESHOLD = 0.3
 RAMPS = 8
 N_STATISTICS = 16
