@@ -62,3 +62,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
                 start, total = i, 0
             total += size
         yield batch.slice(start, n - start)
+
+
+def thinned(rows: DataFrame, key: str, about: int, by: str | None = None) -> DataFrame:
+    """About `about` rows (of each value of `by`), the first by a hash of a key
+    that differs between rows; rows with a null key are left out.  Two partial
+    aggregations and a filter: no group meets in one task."""
+    rows = rows.where(F.col(key).isNotNull())
+    place = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
+    if by is None:
+        n = rows.count()
+        return rows.where(place * n <= about)
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))  # a row for each label
+    return rows.join(F.broadcast(sizes), rows[by] == sizes["_by"]).where(place * F.col("_n") <= about).drop("_by", "_n")
