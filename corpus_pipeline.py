@@ -8,21 +8,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import simhash
-from paperloom.llm.common import ensure_checkpoint_dir, read
+from paperloom.llm import decontaminate, packing, quality, secrets, simhash
+from paperloom.llm.common import ensure_checkpoint_dir, id_remainder, read
+from paperloom.llm.entry import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), id_remainder("doc_id", 5) != 0)
+    return quality.accepted(docs, model)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id."""
     return simhash.deduplicate(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash near-dedup", near_duplicates)]
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not benchmark text, without the passages that are."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.redact(docs)
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document and where they lie in training sequences."""
+    return packing.pack(docs, tokenizer_file())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
+    ("simhash near-dedup", keep_one_of_each),
+    ("benchmark decontamination", drop_benchmark),
+    ("secret scan", mask_secrets),
+    ("packing", into_sequences),
+]
+
+#: Classifier, fingerprints and tokens can't be written in SQL; tests/llm hold
+#: the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; the last stage's rows."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontaminate, flac, hmm, langid, packing, quality, secrets, simhash, toxicity
+from paperloom.llm import decontaminate, flac, hmm, langid, packing, quality, quotes, secrets, simhash, toxicity
 from paperloom.llm.common import read
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": lambda spark, d: quality.report(read(spark, d, "documents"), read(spark, d, "labels")),
     "op5_packing": lambda spark, d: packing.pack(read(spark, d, "documents"), tokenizer_file()),
     "op6_decontamination": lambda spark, d: decontaminate.report(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op7_quotes": lambda spark, d: quotes.conversations(read(spark, d, "conversations")),
     "op8_secrets": lambda spark, d: secrets.report(read(spark, d, "documents")),
     "op10_hmm": lambda spark, d: hmm.report(read(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
