@@ -5,10 +5,11 @@ A text's features are the distinct character n-grams (ORDERS, lower-cased, any
 white space one space) hashed to 2**BITS buckets.  With p and q the smoothed
 document counts of a bucket in labelled toxic and other texts, its ratio is
 log((p / |p|) / (q / |q|)); the classifier is a logistic regression on the
-indicator features times their ratios.
+indicator features times their ratios, over the KEEP buckets whose ratio stands
+out most.  The bucket counts are summed on the executors.
 
-It is fitted on a bounded sample of labelled training rows: the DOCS_PER_CLASS
-first of each label by a hash of the id.  The intercept is then moved from the
+It is fitted on a bounded sample of labelled training rows: about DOCS_PER_CLASS
+of each label, the first by a hash of the id.  The intercept is then moved from the
 sample's class shares to those of all labelled training rows.
 
 Null and empty texts have no features and score the intercept alone; texts
@@ -25,14 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from paperloom.llm.common import id_remainder, slices, texts_of
+from paperloom.llm.common import id_remainder, slices, texts_of, thinned
 
 ORDERS = (4, 5, 6)
 BITS = 19
 DOCS_PER_CLASS = 2000
-KEEP = 4096
+KEEP = 1024
 THRESHOLD = 0.3
 _MULTIPLIER, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,48 +79,45 @@ def _logit(p: float) -> float:
     return float(np.log(p) - np.log1p(-p))
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, prior: float, orders: tuple[int, ...] = ORDERS, bits: int = BITS, keep: int = KEEP, l2: float = 0.3, rounds: int = 300) -> Model:
-    """Logistic regression on ratio-scaled indicators, by full-batch gradients
-    with momentum.  Only the `keep` buckets whose ratio stands out most from
-    its sampling error are given a weight."""
-    size = 1 << bits
+def choose(p: np.ndarray, q: np.ndarray, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
+    """The `keep` buckets whose ratio stands out most from its sampling error,
+    and their ratios; p and q are document counts of label 1 and 0."""
+    p, q = p + 1.0, q + 1.0
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    chosen = np.sort(np.argsort(-np.abs(ratio) / np.sqrt(1 / p + 1 / q), kind="stable")[:keep])
+    return chosen, ratio[chosen]
+
+
+def train(features: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, prior: float, orders: tuple[int, ...] = ORDERS, bits: int = BITS, l2: float = 0.3, rounds: int = 800) -> Model:
+    """Logistic regression on ratio-scaled indicators of the chosen buckets, by
+    full-batch gradients with momentum.  features: positions in `chosen`."""
+    weights = np.zeros(1 << bits)
     y = np.asarray(labels, np.float64)
     if not 0 < y.sum() < len(y):
-        return Model(np.zeros(size), _logit(prior), orders, bits)
-    lengths = np.array([len(f) for f in features])
-    flat = np.concatenate(features)
-    doc = np.repeat(np.arange(len(y)), lengths)
-    p = 1 + np.bincount(flat, weights=y[doc], minlength=size)
-    q = 1 + np.bincount(flat, weights=1 - y[doc], minlength=size)
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    signal = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    chosen = np.argsort(-signal, kind="stable")[:keep]
-    slot = np.full(size, -1, np.int64)
-    slot[chosen] = np.arange(len(chosen))
-    at = slot[flat]
-    doc, at = doc[at >= 0], at[at >= 0]
-    scaled = ratio[chosen][at]
+        return Model(weights, _logit(prior), orders, bits)
+    at = np.concatenate(features).astype(np.int64)
+    doc = np.repeat(np.arange(len(y)), [len(f) for f in features])
+    scaled, width = ratio[at], len(chosen)
     # both classes weigh the same; the intercept is moved to the prior afterwards
     importance = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     # power iterations for the largest curvature
-    v = np.ones(len(chosen))
+    v, top = np.ones(width), 1.0
     for _ in range(8):
-        v = np.bincount(at, weights=(importance * np.bincount(doc, weights=v[at] * scaled, minlength=len(y)))[doc] * scaled, minlength=len(chosen))
+        v = np.bincount(at, weights=(importance * np.bincount(doc, weights=v[at] * scaled, minlength=len(y)))[doc] * scaled, minlength=width)
         top = float(np.linalg.norm(v))
         v /= max(top, 1e-12)
     penalty = l2 / len(y)
     step = 1 / (0.25 * max(top, 1.0) * 1.1 + penalty)
-    w, b, vw, vb = np.zeros(len(chosen)), 0.0, 0.0, 0.0
+    w, b, vw, vb = np.zeros(width), 0.0, 0.0, 0.0
     for k in range(rounds):
         mix = k / (k + 3)
         lw, lb = w + mix * vw, b + mix * vb
         z = np.bincount(doc, weights=lw[at] * scaled, minlength=len(y)) + lb
         residual = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * importance
-        nw = lw - step * (np.bincount(at, weights=residual[doc] * scaled, minlength=len(chosen)) + penalty * lw)
+        nw = lw - step * (np.bincount(at, weights=residual[doc] * scaled, minlength=width) + penalty * lw)
         nb = lb - step * residual.sum()
         vw, vb, w, b = nw - w, nb - b, nw, nb
-    weights = np.zeros(size)
-    weights[chosen] = w * ratio[chosen]
+    weights[chosen] = w * ratio
     return Model(weights, b + _logit(prior), orders, bits)
 
 
@@ -128,25 +125,42 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id
     """(id, y) of all labelled training ids, and (text, y) of the bounded sample."""
     known = labels.where(learn).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
-    ranked = known.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")))
-    first = ranked.where(F.col("k") <= docs_per_class).select("id", "y")  # 2 * docs_per_class rows
+    first = thinned(known, "id", docs_per_class, "y")  # about 2 * docs_per_class rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(first), "id")
     return known, texts
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", docs_per_class: int = DOCS_PER_CLASS) -> Model:
     known, texts = sample(docs, labels, learn, label_col, id_col, text_col, docs_per_class)
+    size = 1 << BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, n = Featurizer(), np.zeros((2, size), np.int64)
+        for batch in slices(batches):
+            for y, text in zip(batch.column("y").to_pylist(), texts_of(batch), strict=True):
+                n[int(y > 0), features(text)] += 1
+        rows = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(n[1, rows]), pa.array(n[0, rows])], names=["bucket", "p", "q"])
+
+    counted = texts.select("y", "text").mapInArrow(count, "bucket int, p long, q long")
+    table = counted.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toPandas()  # a row for each bucket
+    p, q = np.zeros(size), np.zeros(size)
+    p[table["bucket"]], q[table["bucket"]] = table["p"], table["q"]
+    chosen, ratio = choose(p, q)
+    slot = np.full(size, -1, np.int32)
+    slot[chosen] = np.arange(len(chosen))
+    sent = docs.sparkSession.sparkContext.broadcast(slot)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Featurizer()
+        features, slot = Featurizer(), sent.value
         for batch in slices(batches):
-            found = [features(t).astype("<i4").tobytes() for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "f"])
+            found = [slot[features(t)] for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([f[f >= 0].tobytes() for f in found], pa.binary())], names=["id", "y", "f"])
 
     rows = texts.select("id", "y", "text").mapInArrow(featurize, "id long, y int, f binary").toPandas()
     rows = rows.sort_values(["id", "f"], kind="stable").drop_duplicates("id")
     share = known.agg(F.avg("y")).first()[0] or 0.0
-    return train([np.frombuffer(f, "<i4").astype(np.int64) for f in rows["f"]], rows["y"].to_numpy(), share)
+    return train([np.frombuffer(f, np.int32) for f in rows["f"]], rows["y"].to_numpy(), chosen, ratio, share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
