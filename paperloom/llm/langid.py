@@ -12,9 +12,9 @@ out once for all languages together: contexts that no language has seen share
 the row of the next shorter context, which by the rule above has the same code.
 Scoring a byte is then one lookup.
 
-The model is fitted on a bounded sample: for each language, the DOCS_PER_LANG
-training documents of up to DOC_BYTES bytes that come first by a hash of their
-id.  Its grams are counted on the executors.  Bytes outside the ALPHABET most
+The model is fitted on a bounded sample: for each language, about
+DOCS_PER_LANG training documents of up to DOC_BYTES bytes, the first by a hash
+of their id.  Its grams are counted on the executors.  Bytes outside the ALPHABET most
 frequent of the sample take the escape path in every context, and contexts of
 order three with fewer than MIN_CONTEXT bytes in the sample are not kept.
 
@@ -33,9 +33,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from paperloom.llm.common import id_remainder, slices, texts_of
+from paperloom.llm.common import id_remainder, slices, texts_of, thinned
 
 UNDETERMINED = "und"
 DOCS_PER_LANG = 400
@@ -129,11 +128,8 @@ class Model:
 
 def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_lang: int = DOCS_PER_LANG, doc_bytes: int = DOC_BYTES) -> Model | None:
     """Model of the rows where `learn` holds; None if there are none."""
-    rows = docs.where(learn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text is not null")
-    rows = rows.where(F.octet_length("text").between(1, doc_bytes))
-    first = rows.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs_per_lang)
-    upto = first.groupBy("lang").agg(F.max("h").alias("upto"))  # a row for each language
-    sample = rows.join(F.broadcast(upto), "lang").where("h <= upto").select("lang", "text")
+    rows = docs.where(learn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
+    sample = thinned(rows.where(F.octet_length("text").between(1, doc_bytes)), "id", docs_per_lang, "lang").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
