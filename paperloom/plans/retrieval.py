@@ -18,7 +18,7 @@ TOKENS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+|[一-鿿]'), lambd
 BM25 = f"""
   tok AS MATERIALIZED (SELECT doc_id, {TOKENS.format("text")} AS t FROM chunks),
   corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
-  postings AS MATERIALIZED (SELECT doc_id, term, len(any_value(t)) AS dl, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM tok) GROUP BY doc_id, term),
+  postings AS MATERIALIZED (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY doc_id, term, dl),
   raw AS MATERIALIZED (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings, corpus GROUP BY term, n),
   terms AS MATERIALIZED (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
   wanted AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS.format("query")}) AS term FROM queries) GROUP BY query_id, term),
