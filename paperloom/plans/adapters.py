@@ -91,14 +91,16 @@ SAMPLES = f"""
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, pos, kind, level, text): headings and paragraphs of the pages,
-    in order; document = ten pages."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r"(?s)<(?:h[1-6]|p)[^>]*>.*?(?=<(?:h[1-6]|/h|p|/p))"), F.lit(0)).alias("parts"))
-    rows = pages.select("page_id", F.posexplode("parts").alias("pos", "part"))
-    level = F.nullif(F.regexp_extract("part", r"^<h([1-6])", 1), F.lit("")).cast("int")
-    text = F.btrim(F.regexp_replace(F.regexp_replace("part", "<[^>]*>", " "), r"[ \t\n]+", " "))
-    return rows.select(F.floor(F.col("page_id") / 10).alias("document_id"), "page_id", "pos", level.alias("level"), text.alias("text"))
+    """(document_id, page_id, pos, level, text): what follows each heading,
+    paragraph, bold or list tag of the pages, in order; a document is ten pages."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.coalesce("html", F.lit("")), "<")).alias("pos", "part"))
+    rows = rows.where(F.col("part").rlike("^(h[1-6]|p|b|li)[ >]"))
+    level = F.nullif(F.regexp_extract("part", "^h([1-6])", 1), F.lit("")).cast("int")
+    text = F.btrim(F.regexp_replace(F.regexp_replace("part", "^[^>]*>", ""), r"[ \t\r\n]+", " "))
+    return rows.select(F.floor(F.col("page_id") / 10).alias("document_id"), "page_id", "pos", level.alias("level"), text.alias("text")).where("text != ''")
 
 
 PAGE_LINES = r"""
-  parts AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)(<(?:h[1-6]|p)[^>]*>.*?)(?:<(?:h[1-6]|/h|p|/p))', 1)) AS part, generate_subscripts(regexp_extract_all(html, '(?s)(<(?:h[1-6]|p)[^>]*>.*?)(?:<(?:h[1-6]|/h|p|/p))', 1), 1) - 1 AS pos FROM pages)"""
+  parts AS (SELECT page_id, unnest(string_split(coalesce(html, ''), '<')) AS part, generate_subscripts(string_split(coalesce(html, ''), '<'), 1) - 1 AS pos FROM pages),
+  page_lines AS (SELECT * FROM (SELECT page_id // 10 AS document_id, page_id, pos, TRY_CAST(nullif(regexp_extract(part, '^h([1-6])', 1), '') AS INTEGER) AS level,
+    trim(regexp_replace(regexp_replace(part, '^[^>]*>', ''), '[ \t\r\n]+', ' ', 'g')) AS text FROM parts WHERE regexp_matches(part, '^(h[1-6]|p|b|li)[ >]')) WHERE text <> '')"""
