@@ -81,11 +81,13 @@ def _logit(p: float) -> float:
 
 def choose(p: np.ndarray, q: np.ndarray, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
     """The `keep` buckets whose ratio stands out most from its sampling error,
-    and their ratios; p and q are document counts of label 1 and 0."""
-    p, q = p + 1.0, q + 1.0
+    and their ratios; p and q are document counts of label 1 and 0, smoothed by
+    one over the buckets that occur."""
+    seen = np.flatnonzero(p + q)
+    p, q = p[seen] + 1.0, q[seen] + 1.0
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    chosen = np.sort(np.argsort(-np.abs(ratio) / np.sqrt(1 / p + 1 / q), kind="stable")[:keep])
-    return chosen, ratio[chosen]
+    order = np.sort(np.argsort(-np.abs(ratio) / np.sqrt(1 / p + 1 / q), kind="stable")[:keep])
+    return seen[order], ratio[order]
 
 
 def train(features: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, prior: float, orders: tuple[int, ...] = ORDERS, bits: int = BITS, l2: float = 0.3, rounds: int = 800) -> Model:
