@@ -40,12 +40,12 @@ from paperloom.llm.common import id_remainder, materialize, slices, texts_of, th
 
 STATES = 8
 CLASSES = 1 << 16
-ROUNDS = 3
+ROUNDS = 2
 INIT_DOCS = 1000
 INIT_BYTES = 1 << 16
 INIT_ROUNDS = 15
 GROUP_BYTES = 24 << 20
-FLUSH = 300_000
+FLUSH = 500_000
 END = b""  # no word is empty
 
 
@@ -204,10 +204,10 @@ def _round(texts: DataFrame, model: Hmm, classes: int) -> tuple[np.ndarray, np.n
             starts, moves, emissions = starts + a, moves + b, emissions + c
         table = np.concatenate([emissions, moves, starts[None, :]])
         rows = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(table[rows, j]) for j in range(states))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(table[rows, j].astype(np.float32)) for j in range(states))], names=names)
 
-    kinds = ", ".join(["row int", *(f"{n} double" for n in names[1:])])
-    summed = texts.mapInArrow(run, kinds).groupBy("row").agg(*[F.sum(n).alias(n) for n in names[1:]]).toPandas()  # classes + states + 2 rows
+    kinds = ", ".join(["row int", *(f"{n} float" for n in names[1:])])
+    summed = texts.mapInArrow(run, kinds).groupBy("row").agg(*[F.sum(F.col(n).cast("double")).alias(n) for n in names[1:]]).toPandas()  # classes + states + 2 rows
     sent.unpersist()
     table = np.zeros((classes + 2 + states, states))
     table[summed["row"].to_numpy()] = summed[names[1:]].to_numpy()
@@ -243,7 +243,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 yield from flush()
         yield from flush()
 
-    asked = dealt.select("p", "text").mapInArrow(wanted, "p int, token binary").distinct()
+    # all columns of `dealt`, so that its exchange is the one the cogroup reads
+    asked = dealt.mapInArrow(wanted, "p int, token binary")
     answers = asked.join(counts, "token").select("p", "token", "c")
     space = float(np.log10(n + 1.0 * (v + 1)))
 
