@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from paperloom.operators.lexical import ranked
-from paperloom.operators.sizing import estimated_bytes, BROADCAST_BYTES
+from paperloom.operators.sizing import BROADCAST_BYTES
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,7 +28,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 50, digits: int = 6)
     """vectors (doc_id, vector) x queries (query_id, vector) -> (query_id,
     doc_id, score, rank).  The stated queries go to every partition of the
     vectors once; those of more than BROADCAST_BYTES in blocks of it."""
-    blocks = max(1, -(-estimated_bytes(queries) // BROADCAST_BYTES))
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, -(-n * (8 * width + 32) // BROADCAST_BYTES))
     q = queries.select("query_id", F.col("vector").alias("_q"))
     parts = [vectors.join(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), how="cross") for i in range(blocks)]
     scores = [p.select("query_id", "doc_id", F.round(dot(F.col("vector"), F.col("_q")), digits).alias("score")) for p in parts]

@@ -49,7 +49,7 @@ def test_dense_blocks_codec_and_models(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(50)], "doc_id long, vector array<float>")
     q = v.where("doc_id < 9").select(F.col("doc_id").alias("query_id"), "vector")
     one = sorted(map(tuple, vector.search(v, q, 5).collect()))
-    monkeypatch.setattr(vector, "BROADCAST_BYTES", 200)
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", 256)
     assert sorted(map(tuple, vector.search(v, q, 5).collect())) == one and len(one) == 45
     assert v.select(vector.unpack_f32(vector.pack_f32("vector")).alias("x")).collect() == v.select(F.col("vector").alias("x")).collect()
     got = vector.embed(spark.createDataFrame([("ab",), (None,)], "t string"), "t", lambda ts: np.array([[len(t), 0.0] for t in ts])).collect()
