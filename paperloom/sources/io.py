@@ -25,9 +25,10 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects that parse; a missing or corrupt file has no rows."""
-    df = spark.read.schema(f"{schema}, _corrupt STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("ignoreMissingFiles", True)
     try:
-        return df.json(path).where("_corrupt is null").drop("_corrupt")
+        whole = spark.read.option("wholetext", True).text(path)
+        parsed = whole.select(F.from_json("value", f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+        return parsed.where("x is not null and x._corrupt is null").select("x.*").drop("_corrupt")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
@@ -65,7 +66,8 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     `documents`; of several entries for an id the last counts."""
     entry = "struct<document_id:string,pdf_id:string,filename:string,relative_path:string,content_type:string,metadata_confidence:double>"
     whole = spark.read.option("wholetext", True).text(path)
-    listed = F.coalesce(F.from_json("value", f"array<{entry}>"), F.from_json(F.get_json_object("value", "$.selection"), f"array<{entry}>"), F.from_json(F.get_json_object("value", "$.documents"), f"array<{entry}>"))
+    body = F.coalesce(F.get_json_object("value", "$.selection"), F.get_json_object("value", "$.documents"), F.col("value"))
+    listed = F.from_json(body, f"array<{entry}>")
     rows = whole.select(F.posexplode(listed).alias("ord", "e")).select("ord", "e.*").withColumn("document_id", F.coalesce("document_id", "pdf_id")).where("document_id is not null")
     last = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("ord")))
     return rows.withColumn("_k", last).where("_k = 1").drop("_k", "ord", "pdf_id")
@@ -107,7 +109,8 @@ def parse_files(files: DataFrame, parser: Callable[[str, bytes], list[dict]], sc
                     rows += parser(path, content)
                 except Exception as e:  # one document must not end the batch
                     rows.append({"document_id": path, "page": None, "ocr_error": f"{type(e).__name__}: {e}"[:240]})
-            yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"} if "page" in names else {})
+            out = pd.DataFrame(rows, columns=names).astype(object)
+            yield out.where(out.notna(), None)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
