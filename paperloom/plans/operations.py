@@ -154,8 +154,8 @@ DAY = "timestamp '2024-01-01 00:00:00'"
 
 
 def _shop(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suppliers as resources of stores (a third each technicians, workstations
-    and devices), orders as tasks, customers as reservations of one day."""
+    """Suppliers as resources of stores of twelve (a third each technicians,
+    workstations and devices), orders as tasks, customers as reservations of one day."""
     k = F.col("s_suppkey")
     day = F.expr(DAY)
     minutes = lambda m: day + F.make_dt_interval(mins=m.cast("int"))
@@ -163,19 +163,19 @@ def _shop(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     store = lambda c: F.concat(F.lit("S"), c.cast("string"))
     skill = lambda c: F.concat(F.lit("skill"), c.cast("string"))
     resources = table(spark, d, "supplier").select(
-        kind.alias("kind"), k.cast("int").alias("ord"), F.concat(F.lit("R"), k.cast("string")).alias("id"), store(F.floor(k / 3) % 8).alias("store_id"), F.concat(F.lit("type"), (F.floor(k / 24) % 2).cast("string")).alias("type"),
+        kind.alias("kind"), k.cast("int").alias("ord"), F.concat(F.lit("R"), k.cast("string")).alias("id"), store(F.floor(k / 12)).alias("store_id"), F.concat(F.lit("type"), (F.floor(k / 3) % 2).cast("string")).alias("type"),
         F.array(F.struct(minutes(F.lit(480) + k % 5 * 7).alias("start"), minutes(F.lit(900) + k % 4 * 45).alias("end"))).alias("availability"),
-        F.array(F.struct(skill(F.floor(k / 24) % 2).alias("skill"), F.when(k % 2 == 0, minutes(F.lit(500) + k % 60)).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until")), F.struct(F.lit("skill2").alias("skill"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"))).alias("abilities"),
+        F.array(F.struct(skill(F.floor(k / 6) % 2).alias("skill"), F.when(k % 2 == 0, minutes(F.lit(500) + k % 60)).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until")), F.struct(F.lit("skill2").alias("skill"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"))).alias("abilities"),
     )
     o = F.col("o_orderkey")
     none = F.array().cast("array<string>")
-    tasks = table(spark, d, "orders").select(
-        o.cast("string").alias("task_id"), F.lit("b").alias("brand"), store(o % 9).alias("store_id"), F.lit("car").alias("category"), F.lit("ice").alias("powertrain"), (F.lit(20) + o % 5 * 25).cast("int").alias("duration_minutes"),
+    top = F.broadcast(table(spark, d, "supplier").agg(F.max("s_suppkey").alias("_n")))
+    tasks = table(spark, d, "orders").crossJoin(top).select(
+        o.cast("string").alias("task_id"), F.lit("b").alias("brand"), store(o % (F.floor(F.col("_n") / 12) + 2)).alias("store_id"), F.lit("car").alias("category"), F.lit("ice").alias("powertrain"), (F.lit(20) + o % 5 * 25).cast("int").alias("duration_minutes"),
         minutes(F.lit(470) + o % 200).alias("earliest_start"), minutes(F.lit(470) + o % 200 + 30 + o % 7 * 30).alias("latest_end"), F.array(skill(o % 4)).alias("required_skills"),
         F.when(o % 2 == 0, F.array(F.concat(F.lit("type"), (F.floor(o / 2) % 2).cast("string")))).otherwise(none).alias("required_workstation_types"), F.when(o % 3 == 0, F.array(F.lit("type1"), F.lit("type0"))).otherwise(none).alias("required_equipment_types"), F.lit(None).cast("array<string>").alias("allowed_technician_ids"),
     )
     c = F.col("c_custkey")
-    top = F.broadcast(table(spark, d, "supplier").agg(F.max("s_suppkey").alias("_n")))
     rk = c % F.col("_n") + 1
     reservations = table(spark, d, "customer").crossJoin(top).where("c_custkey % 2 = 0").select(F.element_at(F.array(*map(F.lit, ("technician", "workstation", "equipment"))), (rk % 3 + 1).cast("int")).alias("resource_type"), F.concat(F.lit("R"), rk.cast("string")).alias("resource_id"), minutes(F.lit(480) + c % 300).alias("start_time"), minutes(F.lit(480) + c % 300 + 15 + c % 40).alias("end_time"), F.lit("x").alias("task_id"), F.when(c % 5 == 0, "CANCELLED").otherwise("ACTIVE").alias("status"))
     return tasks, resources, reservations
@@ -195,9 +195,9 @@ def infeasible_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 #: The minute grid, every combination tried: what the reduced grid must equal.
 SHOP_SQL = f"""
-  WITH res AS (SELECT ['technician', 'workstation', 'equipment'][s_suppkey % 3 + 1] AS kind, s_suppkey AS ord, 'R' || s_suppkey AS id, 'S' || ((s_suppkey // 3) % 8) AS store_id, 'type' || ((s_suppkey // 24) % 2) AS type,
-      480 + s_suppkey % 5 * 7 AS a, 900 + s_suppkey % 4 * 45 AS z, 'skill' || ((s_suppkey // 24) % 2) AS skill, CASE WHEN s_suppkey % 2 = 0 THEN 500 + s_suppkey % 60 ELSE 0 END AS vf FROM supplier),
-  tasks AS (SELECT o_orderkey AS o, 'S' || (o_orderkey % 9) AS store_id, 20 + o_orderkey % 5 * 25 AS dur, 470 + o_orderkey % 200 AS e, 470 + o_orderkey % 200 + 30 + o_orderkey % 7 * 30 AS l, 'skill' || (o_orderkey % 4) AS skill,
+  WITH res AS (SELECT ['technician', 'workstation', 'equipment'][s_suppkey % 3 + 1] AS kind, s_suppkey AS ord, 'R' || s_suppkey AS id, 'S' || (s_suppkey // 12) AS store_id, 'type' || ((s_suppkey // 3) % 2) AS type,
+      480 + s_suppkey % 5 * 7 AS a, 900 + s_suppkey % 4 * 45 AS z, 'skill' || ((s_suppkey // 6) % 2) AS skill, CASE WHEN s_suppkey % 2 = 0 THEN 500 + s_suppkey % 60 ELSE 0 END AS vf FROM supplier),
+  tasks AS (SELECT o_orderkey AS o, 'S' || (o_orderkey % ((SELECT max(s_suppkey) FROM supplier) // 12 + 2)) AS store_id, 20 + o_orderkey % 5 * 25 AS dur, 470 + o_orderkey % 200 AS e, 470 + o_orderkey % 200 + 30 + o_orderkey % 7 * 30 AS l, 'skill' || (o_orderkey % 4) AS skill,
       CASE WHEN o_orderkey % 2 = 0 THEN 'type' || ((o_orderkey // 2) % 2) END AS wtype, o_orderkey % 3 = 0 AS eq FROM orders),
   rsv AS (SELECT 'R' || (c_custkey % (SELECT max(s_suppkey) FROM supplier) + 1) AS id, 480 + c_custkey % 300 AS s, 480 + c_custkey % 300 + 15 + c_custkey % 40 AS x FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 <> 0),
   fits AS (SELECT * FROM tasks WHERE e + dur <= l),
