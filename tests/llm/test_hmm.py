@@ -84,3 +84,17 @@ def test_no_training_rows(spark):
     (r,) = hmm.score(docs, docs["doc_id"] < 0).collect()
     assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
     assert hmm.report(docs.limit(0)).count() == 0
+
+
+def test_rounds_over_all_texts_are_three_and_sum_doubles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [" ".join(f"w{k}" for k in rng.integers(0, 50, 40)) for _ in range(60)]
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(words)], "doc_id long, text binary").repartition(3)
+    model = tiny(rng, classes=17)
+    want = model.expected(hmm.Batch([hmm.classes_of(t.encode().split(), 16) for t in words]))
+    for got, counts in zip(hmm._round(texts, model, 16), want, strict=True):
+        assert np.allclose(got, counts, rtol=1e-11, atol=1e-12)
+    seen, one = [], hmm._round
+    monkeypatch.setattr(hmm, "_round", lambda *a: seen.append(a[0]) or one(*a))
+    hmm.train(texts, hmm.count_tokens(texts), states=3, classes=16)
+    assert len(seen) == 3 and all(t is texts for t in seen)
