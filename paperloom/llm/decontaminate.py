@@ -157,30 +157,43 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows of which a twentieth or more is benchmark; from the
-    other rows the passages that occur are cut out.  The columns are those of docs."""
+    other rows the passages that occur are cut out.  The columns are those of docs.
+    Hits of all pattern blocks are collected on the original text, as in scan();
+    the last block decides, so the size of the blocks has no effect."""
     sc = docs.sparkSession.sparkContext
-    at = docs.columns.index(text_col)
-    for block in pattern_blocks(benchmark, window=window):
-        sent, key = sc.broadcast(block), uuid.uuid4().hex
+    at, columns, kept = docs.columns.index(text_col), len(docs.columns), docs.schema
+    # a column that no input has, behind all others
+    df = docs.withColumn(f"_hits_{uuid.uuid4().hex}", F.lit(None).cast("array<struct<first:int,last:int>>"))
+    carried = df.schema
+    blocks = [sc.broadcast(b) for b in pattern_blocks(benchmark, window=window, block_bytes=block_bytes)]
+    for k, sent in enumerate(blocks):
+        last, key = k == len(blocks) - 1, uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, key=key) -> Iterator[pa.RecordBatch]:
             auto = _automaton(key, sent.value)
             for batch in slices(batches, text_col):
-                keep, texts, changed = [], [], False
-                for text in texts_of(batch, text_col):
+                keep, texts, hits, changed = [], [], [], False
+                for text, was in zip(texts_of(batch, text_col), batch.column(columns).to_pylist(), strict=True):
                     n, ranges, _ = find(text, auto)
+                    ranges = merge(ranges + [(r["first"], r["last"]) for r in was or ()])
+                    hits.append([{"first": a, "last": b} for a, b in ranges])
                     keep.append(20 * sum(b - a for a, b in ranges) < n or not ranges)
-                    if ranges and keep[-1]:
+                    if last and ranges and keep[-1]:
                         text, changed = without(text, char_spans(text, ranges)), True
                     texts.append(text)
+                if not last:
+                    field = batch.schema.field(columns)
+                    yield batch.set_column(columns, field.name, pa.array(hits, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))))
+                    continue
+                batch = batch.select(range(columns))
                 if changed:
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        df = df.mapInArrow(run, kept if last else carried)
+    return df
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -78,3 +78,23 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.report(d, b).collect()] == [0]
     assert decontaminate.report(d.limit(0), b).count() == 0
+
+
+def test_stage_is_the_same_with_any_block_size(spark):
+    """Hits of several blocks add up to one decision, on the original text."""
+    one, two = (" ".join(f"{c}{i}" for i in range(13)) for c in "ab")
+    shared = " ".join([*(f"c{i}" for i in range(14)), *(f"d{i}" for i in range(13))])
+    words = shared.split()
+    items = [(1, one), (2, two), (3, " ".join(words[:20])), (4, " ".join(words[7:]))]
+    rows = [(1, "word " * 400 + one + " mid " + two + " end", "x"), (2, "word " * 900 + one + " mid " + two + " end", "x"), (3, "word " * 900 + shared + " end", None), (4, None, "x")]
+    fix_docs, fix_items = fixture()
+    rows += [(1000 + (i or 0), t, "x") for i, t in fix_docs]
+    d = spark.createDataFrame(rows, "doc_id long, text string, hits string")
+    b = spark.createDataFrame(items + [(i and i + 1000, t) for i, t in fix_items], "item_id long, text string").coalesce(1)
+    assert len(list(decontaminate.pattern_blocks(b, block_bytes=30))) > 3
+    key = lambda df: sorted(str(r) for r in df.collect())
+    got = decontaminate.decontaminate(d, b, block_bytes=30)
+    assert got.columns == d.columns and key(got) == key(decontaminate.decontaminate(d, b))
+    by_id = {r.doc_id: r.text for r in got.where("doc_id < 1000").collect()}
+    assert by_id == {2: "word " * 900 + " mid  end", 3: "word " * 900 + " end", 4: None}
+    assert {r.doc_id for r in decontaminate.report(d, b).where("contaminated and doc_id < 1000").collect()} == {1}
