@@ -46,7 +46,8 @@ class Encoder:
     The file's vocabulary is run as merge ranks (an id's rank is its merge's
     place, so the ids are those of the file's own library, which the tests
     hold it to); that takes a third of the time.  Special tokens' strings in a
-    text are ordinary text.
+    text are ordinary text.  A text that the pattern's engine gives up on, such
+    as a million spaces, is encoded whole by the file's own library.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -58,9 +59,22 @@ class Encoder:
         byte_of = _byte_characters()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in specials}
         self._encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._file, self._library = tokenizer_file, None
 
     def encode(self, text: str) -> bytes:
-        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            ids = self._encoding.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # backtracking beyond the engine's stack
+            return self._by_library(text)
+        return ids.astype("<u4", copy=False).tobytes()
+
+    def _by_library(self, text: str) -> bytes:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._file)
+            self._library.encode_special_tokens = True
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _byte_characters() -> dict[str, int]:

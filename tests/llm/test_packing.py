@@ -27,6 +27,13 @@ def test_ids_are_those_of_the_file_library():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
 
 
+def test_white_space_beyond_a_million_characters():
+    ref, enc = reference(), packing.Encoder(FILE)
+    for run in (" ", "\n", " \t"):
+        text = "a" + run * (1_200_000 // len(run)) + "b <|endoftext|>"
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids
+
+
 def best_sum(room, lengths):
     reach = {0}
     for x in lengths:
