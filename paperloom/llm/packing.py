@@ -45,12 +45,15 @@ class Encoder:
 
     The file's vocabulary is run as merge ranks (an id's rank is its merge's
     place, so the ids are those of the file's own library, which the tests
-    hold it to); that takes a third of the time.  Special tokens' strings in a
-    text are ordinary text.  A text that the pattern's engine gives up on, such
-    as a million spaces, is encoded whole by the file's own library.
+    hold it to); that takes a third of the time.  A text that holds an added
+    token, or that the pattern's engine gives up on, such as a million spaces,
+    is encoded whole by the file's own library.  As in the library, with
+    `encode_special_tokens` the strings of special tokens are ordinary text;
+    without it, which is the library's default and what the operator uses, each
+    is its one id.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, encode_special_tokens: bool = True):
         import tiktoken
 
         with open(tokenizer_file, encoding="utf-8") as f:
@@ -59,9 +62,12 @@ class Encoder:
         byte_of = _byte_characters()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in specials}
         self._encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._file, self._library = tokenizer_file, None
+        self._file, self._library, self._encode_special = tokenizer_file, None, encode_special_tokens
+        self._added = [t["content"] for t in vocabulary["added_tokens"] if not (t["special"] and encode_special_tokens)]
 
     def encode(self, text: str) -> bytes:
+        if any(a in text for a in self._added):
+            return self._by_library(text)
         try:
             ids = self._encoding.encode_to_numpy(text, disallowed_special=())
         except ValueError:  # backtracking beyond the engine's stack
@@ -73,7 +79,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self._file)
-            self._library.encode_special_tokens = True
+            self._library.encode_special_tokens = self._encode_special
         return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -91,7 +97,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(tokenizer_file: str) -> Encoder:
     """One for each worker process."""
     if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file, encode_special_tokens=False)
     return _ENCODERS[tokenizer_file]
 
 

@@ -34,6 +34,19 @@ def test_white_space_beyond_a_million_characters():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids
 
 
+def test_operator_gives_the_ids_of_the_library_at_its_defaults(spark):
+    from tokenizers import Tokenizer
+
+    rng, ref, enc = random.Random(4), Tokenizer.from_file(FILE), packing.encoder(FILE)
+    pool = ["<|endoftext|>", "<|endoftext|", "<|", "abc", " ", "\n", "日本", "'s", "12"]
+    texts = ["", "abc <|endoftext|> def", "<|endoftext|>" * 3, "a" + " " * 1_200_000 + "<|endoftext|>"] + ["".join(rng.choices(pool, k=rng.randrange(1, 20))) for _ in range(300)]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode(texts[1]), "<u4").tolist() == [39305, 220, 50256, 825]
+    (row,) = packing.pack(spark.createDataFrame([(1, texts[1])], "doc_id long, text string"), FILE).collect()
+    assert (row.doc_tokens, row.ids_crc32) == (5, zlib.crc32(np.array([39305, 220, 50256, 825, packing.END_ID], "<u4").tobytes()))
+
+
 def best_sum(room, lengths):
     reach = {0}
     for x in lengths:
