@@ -13,10 +13,13 @@ the row of the next shorter context, which by the rule above has the same code.
 Scoring a byte is then one lookup.
 
 The model is fitted on a bounded sample: for each language, about
-DOCS_PER_LANG training documents of up to DOC_BYTES bytes, the first by a hash
-of their id.  Its grams are counted on the executors.  Bytes outside the ALPHABET most
-frequent of the sample take the escape path in every context, and contexts of
-order three with fewer than MIN_CONTEXT bytes in the sample are not kept.
+DOCS_PER_LANG training documents, the first by a hash of their id, of up to
+DOC_BYTES bytes; where a language has fewer of those, also about as many longer
+ones, whole.
+Its grams are counted on the executors.  ALPHABET holds every byte that UTF-8
+has; bytes that the sample lacks take the escape path in every context.
+Contexts of order two have a row if the sample has them, those of order three
+if it has them with MIN_CONTEXT bytes or more.
 
 Null texts, empty ones and those without any letter are `und` with score 0; so
 is every text when there is no row to learn from.  Ties go to the language that
@@ -39,7 +42,7 @@ from paperloom.llm.common import id_remainder, slices, texts_of, thinned
 UNDETERMINED = "und"
 DOCS_PER_LANG = 400
 DOC_BYTES = 1 << 16
-ALPHABET = 112
+ALPHABET = 255  # UTF-8 has 243 byte values
 MIN_CONTEXT = 4
 START = b"\n\n\n"
 LETTER = re.compile(r"[^\W\d_]")
@@ -66,7 +69,7 @@ class Model:
         gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
         frequent = np.bincount(gram & 255, weights=n, minlength=256)
         frequent[START[0]] += 1
-        chosen = [int(b) for b in np.argsort(-frequent, kind="stable")[:alphabet] if frequent[b] > 0]
+        chosen = [int(b) for b in np.argsort(-frequent, kind="stable")[: min(alphabet, 255)] if frequent[b] > 0]
         self.a = a = len(chosen) + 1  # class 0: any other byte
         table = np.zeros(256, np.uint8)
         table[chosen] = np.arange(1, a)
@@ -74,24 +77,29 @@ class Model:
         cls = [table[(gram >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0)]
         context = (cls[0] * a + cls[1]) * a + cls[2]
         whole = cls[0] * cls[1] * cls[2] > 0
-        per_context = np.bincount(context[whole], weights=n[whole], minlength=a**3)
-        kept = np.flatnonzero(per_context >= min_context)
-        # rows: the order-two contexts, then the kept order-three contexts
-        self.row_of = np.tile(np.arange(a * a, dtype=np.int32), a)
-        self.row_of[kept] = a * a + np.arange(len(kept), dtype=np.int32)
-        bits = np.empty((a * a + len(kept), a, len(self.langs)), np.int16)
+        contexts, at = np.unique(context[whole], return_inverse=True)
+        kept = contexts[np.bincount(at, weights=n[whole], minlength=len(contexts)) >= min_context]
+        pairs = np.unique(context % (a * a))
+        # rows: the order-one contexts, the order-two contexts that occur, then the kept order-three contexts
+        self.pair_row = np.tile(np.arange(a, dtype=np.int32), a)
+        self.pair_row[pairs] = a + np.arange(len(pairs), dtype=np.int32)
+        self.row_of = np.repeat(np.arange(a + len(pairs), dtype=np.int32), a)
+        kept_pair = self.pair_row[kept % (a * a)].astype(np.int64)
+        self.row_of[kept_pair * a + kept // (a * a)] = a + len(pairs) + np.arange(len(kept), dtype=np.int32)
+        pair_row = self.pair_row[context % (a * a)].astype(np.int64)
+        deep_row = self.row_of[pair_row * a + cls[0]].astype(np.int64) - a - len(pairs)
+        bits = np.empty((a + len(pairs) + len(kept), a, len(self.langs)), np.int16)
         lang = counts["lang"].to_numpy()
         for k, name in enumerate(self.langs):
             own = lang == name
             c, m = [x[own] for x in cls], n[own]
             code = self._step(np.bincount(c[3], weights=m, minlength=a)[None, :], np.full((1, a), 8.0))
-            code = self._step(np.bincount(c[2] * a + c[3], weights=m, minlength=a * a).reshape(a, a), np.repeat(code, a, 0))
-            code = self._step(np.bincount((c[1] * a + c[2]) * a + c[3], weights=m, minlength=a**3).reshape(a * a, a), np.tile(code, (a, 1)))
-            at = self.row_of[context[own]] - a * a
-            deep = np.zeros(len(kept) * a)
-            np.add.at(deep, (at * a + c[3])[at >= 0], m[at >= 0])
-            deep = self._step(deep.reshape(len(kept), a), code[kept % (a * a)])
-            bits[:, :, k] = np.minimum(np.concatenate([code, deep]) * UNIT, 32767).round()
+            one = self._step(np.bincount(c[2] * a + c[3], weights=m, minlength=a * a).reshape(a, a), np.repeat(code, a, 0))
+            two = self._step(np.bincount((pair_row[own] - a) * a + c[3], weights=m, minlength=len(pairs) * a).reshape(len(pairs), a), one[pairs % a])
+            at = deep_row[own]
+            seen = np.bincount((at * a + c[3])[at >= 0], weights=m[at >= 0], minlength=len(kept) * a)
+            deep = self._step(seen.reshape(len(kept), a), two[kept_pair - a])
+            bits[:, :, k] = np.minimum(np.concatenate([one, two, deep]) * UNIT, 32767).round()
         self.bits = bits.reshape(-1, len(self.langs))
 
     @staticmethod
@@ -115,8 +123,8 @@ class Model:
         ends = np.cumsum([len(m) for m in mapped])
         a, total = self.a, np.zeros((len(filled), len(self.langs)))
         x = all_.astype(np.int32)
-        context = (x[:-3] * a + x[1:-2]) * a + x[2:-1]
-        where = self.row_of[context].astype(np.int64) * a + x[3:]
+        pair_row = self.pair_row[x[1:-2] * a + x[2:-1]]
+        where = self.row_of[pair_row * a + x[:-3]].astype(np.int64) * a + x[3:]
         begin = ends - [len(m) for m in mapped]
         skip = np.concatenate([begin[1:] - 3, begin[1:] - 2, begin[1:] - 1])  # grams that span two texts
         picked = self.bits[where]
@@ -128,8 +136,11 @@ class Model:
 
 def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_lang: int = DOCS_PER_LANG, doc_bytes: int = DOC_BYTES) -> Model | None:
     """Model of the rows where `learn` holds; None if there are none."""
-    rows = docs.where(learn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
-    sample = thinned(rows.where(F.octet_length("text").between(1, doc_bytes)), "id", docs_per_lang, "lang").select("lang", "text")
+    rows = docs.where(learn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and octet_length(text) > 0")
+    short = F.octet_length("text") <= doc_bytes
+    sizes = rows.where("id is not null").groupBy(F.col("lang").alias("_by")).agg(F.count_if(short).alias("_short"))  # a row for each language
+    few = rows.where(~short).join(F.broadcast(sizes.where(F.col("_short") < docs_per_lang)), F.col("lang") == F.col("_by")).select("lang", "text", "id")
+    sample = thinned(rows.where(short), "id", docs_per_lang, "lang").unionByName(thinned(few, "id", docs_per_lang, "lang")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -63,3 +63,28 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.report(docs).collect()] == ["und"]
     assert langid.report(docs.limit(0)).count() == 0
+
+
+def test_all_bytes_of_several_scripts_carry_evidence():
+    scripts = {"latin": (0x21, 0x180, 1), "several": (0x390, 0x700, 1), "india": (0x901, 0xE00, 2), "han": (0x4E00, 0x9F00, 61), "hangul": (0xAC00, 0xD700, 53)}
+    train = {k: [" ".join(chr(c) for c in range(*r)).lower().encode(), f"{chr(r[0])} abc".encode()] for k, r in scripts.items()}
+    assert len(set(b"".join(b"".join(t) for t in train.values()))) > 112
+    rows = []
+    for lang, texts in train.items():
+        g = np.concatenate([langid.grams(t) for t in texts])
+        rows += [(lang, int(x), int(n)) for x, n in zip(*np.unique(g, return_counts=True), strict=True)]
+    model = langid.Model(pd.DataFrame(rows, columns=["lang", "gram", "n"]), min_context=1)
+    texts = [t for ts in train.values() for t in ts] + ["δ ж 中 한 q".encode()]
+    got = model.code_lengths(texts)
+    for i, t in enumerate(texts):
+        for k, lang in enumerate(model.langs):
+            assert abs(got[i, k] - brute_bits(train[lang], t)) <= len(t) / langid.UNIT
+
+
+def test_a_language_of_long_documents_only_is_learnt(spark):
+    en, fr = "the quick brown fox jumps over the lazy dog and then it sleeps ", "le renard brun saute par dessus le chien paresseux et puis il dort "
+    rows = [(i, en, "en") for i in range(40)] + [(100 + i, fr * 1200, "fr") for i in range(12)] + [(500, fr, None)]
+    assert len(fr) * 1200 > langid.DOC_BYTES
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    by_id = {r.doc_id: r.lang_pred for r in langid.report(docs).collect()}
+    assert by_id[500] == by_id[100] == "fr" and by_id[0] == "en"
