@@ -4,9 +4,11 @@ Bayes log-count ratios.
 A text's features are the distinct character n-grams (ORDERS, lower-cased, any
 white space one space) hashed to 2**BITS buckets.  With p and q the smoothed
 document counts of a bucket in labelled toxic and other texts, its ratio is
-log((p / |p|) / (q / |q|)); the classifier is a logistic regression on the
-indicator features times their ratios, over the KEEP buckets whose ratio stands
-out most.  The bucket counts are summed on the executors.
+log((p / |p|) / (q / |q|)), shrunk towards zero by ERRORS of its own standard
+errors (and zero within them, as it is then no more than chance); the classifier
+is a logistic regression on the indicator features times these ratios.  No
+number of buckets is fixed: more labelled texts make more ratios sure.  The
+bucket counts are summed on the executors.
 
 It is fitted on a bounded sample of labelled training rows: about DOCS_PER_CLASS
 of each label, the first by a hash of the id.  The intercept is then moved from the
@@ -15,7 +17,10 @@ sample's class shares to those of all labelled training rows.
 Null and empty texts have no features and score the intercept alone; texts
 shorter than an n-gram have those that fit.  Without labels of both kinds every
 score is the share of label 1 (0 without any).  Of several labels for one id
-the largest counts; labels with a null id or value are ignored.
+the largest counts; labels with a null id or value are ignored.  Of the rows
+that repeat a sampled id each counts in the ratios and the first by its features
+in the regression.  Equal texts have equal scores, every row of docs has one,
+and an empty docs table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from paperloom.llm.common import id_remainder, slices, texts_of, thinned
 ORDERS = (4, 5, 6)
 BITS = 19
 DOCS_PER_CLASS = 2000
-KEEP = 1024
+ERRORS = 3.0
 THRESHOLD = 0.3
 _MULTIPLIER, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,15 +84,16 @@ def _logit(p: float) -> float:
     return float(np.log(p) - np.log1p(-p))
 
 
-def choose(p: np.ndarray, q: np.ndarray, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
-    """The `keep` buckets whose ratio stands out most from its sampling error,
-    and their ratios; p and q are document counts of label 1 and 0, smoothed by
-    one over the buckets that occur."""
+def choose(p: np.ndarray, q: np.ndarray, errors: float = ERRORS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose log-count ratio is more than `errors` standard errors
+    from zero, and their ratios less those errors; p and q are document counts
+    of label 1 and 0, smoothed by one over the buckets that occur."""
     seen = np.flatnonzero(p + q)
     p, q = p[seen] + 1.0, q[seen] + 1.0
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    order = np.sort(np.argsort(-np.abs(ratio) / np.sqrt(1 / p + 1 / q), kind="stable")[:keep])
-    return seen[order], ratio[order]
+    shrunk = np.abs(ratio) - errors * np.sqrt(1 / p + 1 / q)
+    sure = shrunk > 0
+    return seen[sure], (np.sign(ratio) * shrunk)[sure]
 
 
 def train(features: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, prior: float, orders: tuple[int, ...] = ORDERS, bits: int = BITS, l2: float = 0.3, rounds: int = 800) -> Model:

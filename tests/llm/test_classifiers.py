@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from paperloom.llm import quality, toxicity
 
@@ -41,11 +42,59 @@ def test_toxicity_without_labels(spark):
     assert toxicity.report(docs.limit(0), labels).count() == 0
 
 
-def test_ratio_is_the_naive_bayes_log_count_ratio():
+def test_ratio_is_the_naive_bayes_log_count_ratio_less_its_errors():
     p, q = np.array([5.0, 0, 3, 0]), np.array([0.0, 0, 3, 7])
-    chosen, ratio = toxicity.choose(p, q, keep=4)
     a, b = p[[0, 2, 3]] + 1, q[[0, 2, 3]] + 1  # the second bucket does not occur
-    assert chosen.tolist() == [0, 2, 3] and np.allclose(ratio, np.log(a / a.sum()) - np.log(b / b.sum()))
+    want = np.log(a / a.sum()) - np.log(b / b.sum())
+    chosen, ratio = toxicity.choose(p, q, errors=0)
+    assert chosen.tolist() == [0, 2, 3] and np.allclose(ratio, want)
+    chosen, ratio = toxicity.choose(p, q, errors=1)
+    error = np.sqrt(1 / a + 1 / b)
+    sure = np.abs(want) > error
+    assert chosen.tolist() == np.array([0, 2, 3])[sure].tolist() and np.allclose(np.abs(ratio), (np.abs(want) - error)[sure])
+
+
+def test_number_of_buckets_grows_with_the_evidence():
+    rng = np.random.default_rng(5)
+    share_p, share_q = rng.random(3000), rng.random(3000)
+    sizes = [len(toxicity.choose(rng.binomial(n, share_p), rng.binomial(n, share_q))[0]) for n in (20, 200, 2000)]
+    assert sizes == sorted(sizes) and sizes[0] < sizes[-1] and sizes[-1] > 1024
+
+
+def brute_toxicity(texts, labels, size, orders, l2=0.3):
+    """Counts, ratios and a regression by plain gradients, text by text."""
+    f = toxicity.Featurizer(orders, size)
+    sets = [set(f(t).tolist()) for t in texts]
+    p, q = {}, {}
+    for s, y in zip(sets, labels, strict=True):
+        for b in s:
+            p[b], q[b] = p.get(b, 0) + y, q.get(b, 0) + 1 - y
+    np_, nq = sum(p[b] + 1 for b in p), sum(q[b] + 1 for b in q)
+    ratio = {}
+    for b in p:
+        r, e = np.log((p[b] + 1) / np_) - np.log((q[b] + 1) / nq), toxicity.ERRORS * np.sqrt(1 / (p[b] + 1) + 1 / (q[b] + 1))
+        if abs(r) > e:
+            ratio[b] = np.sign(r) * (abs(r) - e)
+    names = sorted(ratio)
+    x = np.array([[ratio[b] * (b in s) for b in names] for s in sets])
+    y = np.array(labels, float)
+    w, c, importance = np.zeros(len(names)), 0.0, np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    for _ in range(6000):
+        g = (1 / (1 + np.exp(-(x @ w + c))) - y) * importance
+        w, c = w - 0.5 * (x.T @ g + l2 / len(y) * w), c - 0.5 * g.sum()
+    share = y.mean()
+    return 1 / (1 + np.exp(-(x @ w + c + np.log(share) - np.log1p(-share))))
+
+
+def test_toxicity_equals_a_plain_statement_of_the_method(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 12) + (" you idiot" if i % 3 == 0 else "")) for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marked, F.col("doc_id").isNotNull())
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    want = brute_toxicity([t.encode() for _, t in rows], [y for _, y in labels], toxicity.BITS, toxicity.ORDERS)
+    assert max(abs(got[i] - want[i]) for i, _ in rows) < 0.02
 
 
 def test_features_are_distinct_and_whole():
@@ -85,3 +134,32 @@ def test_risk_is_unbiased_and_prior_is_found():
     direct = 0.3 * np.logaddexp(0, neg[2000:, 0]).mean()
     assert abs(minus - direct) < 0.08
     assert abs(quality.estimate_prior(pos[2000:, 0], mixed[:, 0]) - 0.7) < 0.06
+
+
+def test_quality_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, x string, kind string")
+    marked = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.report(empty, marked).count() == 0
+    docs = spark.createDataFrame([(i, "some plain text here " * (i % 4 + 1), "c", "d") for i in range(40)] * 2, empty.schema)
+    got = quality.report(docs, spark.createDataFrame([(i, 1) for i in range(40)], marked.schema)).collect()
+    assert len(got) == 80 and len({(r.doc_id % 4, round(r.score, 9)) for r in got}) == 4  # equal texts, equal scores
+
+
+def test_quality_model_equals_one_fitted_on_the_same_rows_by_hand(spark):
+    rng = random.Random(11)
+    rows = [(i, good_and_bad(rng, i)) for i in range(300)]
+    labels = [(i, int(i % 5 != 0)) for i in range(0, 300, 2)]
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fit(docs, marked, F.col("doc_id") >= 0)
+    stats = {i: quality.statistics(t.encode()) for i, t in rows}
+    good = np.array([stats[i] for i, y in labels if y])
+    want = quality.train(good, np.array([stats[i] for i, _ in rows]))
+    assert abs(model.prior - want.prior) < 1e-9 and np.allclose(model.w, want.w)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, _ in rows:
+        knots, x = want.knots, np.array(stats[i])
+        ramps = [min(1.0, max(0.0, (x[j] - knots[k, j]) / max(knots[k + 1, j] - knots[k, j], 1e-9))) for k in range(len(knots) - 1) for j in range(len(x))]
+        width = [max(knots[-1, j] - knots[0, j], 0.02) for j in range(len(x))]
+        ramps += [min(1.0, max(0.0, (x[j] - knots[-1, j]) / width[j])) for j in range(len(x))] + [min(1.0, max(0.0, (knots[0, j] - x[j]) / width[j])) for j in range(len(x))]
+        z = sum(w * min(12, max(-12, (r - m) / s)) for w, r, m, s in zip(want.w, ramps, want.mean, want.scale, strict=True)) + want.b
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
