@@ -6,6 +6,7 @@ input (whatever their names) never reach it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -19,12 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where that
-    is unset (local tests) make one."""
+    """Use the folder the cluster names in spark.checkpoint.dir.  Only on a local
+    master, where all run on one machine, is one made if that is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
 
 
@@ -64,12 +67,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
         yield batch.slice(start, n - start)
 
 
-def thinned(rows: DataFrame, key: str, about: int, by: str | None = None) -> DataFrame:
+def thinned(rows: DataFrame, key: str, about: int, by: str | None = None, salt: str | None = None) -> DataFrame:
     """About `about` rows (of each value of `by`), the first by a hash of a key
     that differs between rows; rows with a null key are left out.  Two partial
     aggregations and a filter: no group meets in one task."""
     rows = rows.where(F.col(key).isNotNull())
-    place = F.xxhash64(key).cast("double") / 2.0**64 + 0.5
+    place = F.xxhash64(key, *([F.lit(salt)] if salt else [])).cast("double") / 2.0**64 + 0.5
     if by is None:
         n = rows.count()
         return rows.where(place * n <= about)

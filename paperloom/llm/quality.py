@@ -15,10 +15,14 @@ is reversed.  The scorer is linear in ramp features of bounded text statistics
 (repetition of words, word pairs and lines, character classes, word lengths),
 so it says the same about a text at any size of the corpus.
 
-Both samples are bounded: the SAMPLE first rows each, by a hash of the id.
+Both samples are bounded: about the SAMPLE first rows each, by a hash of the
+id, chosen by a threshold on the hash and not by a sort.
 
 Null and empty texts have the statistics of no words.  Without a positive every
-score is 0.5.  Of several labels for one id the largest counts.
+score is 0.5.  Of several labels for one id the largest counts; labels with a
+null id or value are ignored.  Of the rows that repeat a sampled id the first by
+its statistics is learnt from.  Equal texts have equal scores, every row of docs
+has one, and an empty docs table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import id_remainder, slices, texts_of
+from paperloom.llm.common import id_remainder, slices, texts_of, thinned
 
 SAMPLE = 4000
 THRESHOLD = 0.3
@@ -163,12 +167,11 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """learn: which rows (by id) may be learnt from; both samples are of them."""
     positive = labels.where(learn).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).where("y = 1 and id is not null").select("id")
-    first = positive.orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("kind", F.lit(1))
-    web = docs.where(learn).select(F.col(id_col).alias("id")).where("id is not null")
-    web = web.orderBy(F.xxhash64("id", F.lit("web")), "id").limit(sample).distinct().withColumn("kind", F.lit(0))
-    chosen = first.unionByName(web).groupBy("id").agg(F.collect_set("kind").alias("kinds"))  # 2 * sample ids
+    first = thinned(positive, "id", sample).withColumn("kind", F.lit(1))
+    web = thinned(docs.where(learn).select(F.col(id_col).alias("id")), "id", sample, salt="web").distinct().withColumn("kind", F.lit(0))
+    chosen = first.unionByName(web).groupBy("id").agg(F.collect_set("kind").alias("kinds"))  # about 2 * sample ids
     rows = _measured(docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"], "left_semi"), id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    got = rows.select("doc_id", "x", "kinds").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    got = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("kinds").alias("kinds")).toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, N_STATISTICS)
     is_p, is_u = (np.array([k in s for s in got["kinds"]], bool) for k in (1, 0))
     return train(x[is_p], x[is_u]) if is_p.any() and is_u.any() else None
