@@ -5,15 +5,18 @@ one level are passages; each passage, its paragraphs and its lines are
 normalised (lower case, single spaces) and hashed.  The own text of a message
 (level 0) gives hashes in the same three grains.  The original of a passage is
 the first message that stated it: the earliest turn of the same conversation
-before the quoting one, else the smallest (conversation, turn) of the corpus.
-Originals are reduced to one row per hash before the join, so a phrase that
-everyone writes makes one row and not all pairs.  A message replies to the
-latest turn that its level-1 passages link to in its own conversation; chains of
-replies are followed by pointer doubling.
-
-Null text is empty.  Messages with a null conversation or turn stay, unlinked.
-Of rows that repeat a (conversation, turn) each stays; they share their links.
-Positions number a conversation's rows by (thread, turn), ties by text.
+before the quoting one, else the smallest (conversation, turn) of any other
+conversation.  For each hash the two smallest conversations that state it are
+kept, so whoever quotes it finds one that is not its own; a phrase that everyone
+writes makes one row and not all pairs.  A message replies to the latest turn
+that its level-1 passages link to in its own conversation; chains of replies are
+followed by pointer doubling.
+
+Null text is empty.  Messages with a null conversation or turn stay, unlinked;
+those with a null conversation have position null, as there is nothing that they
+are a position in.  Of rows that repeat a (conversation, turn) each stays; they
+share their links.  Positions number a conversation's rows by (thread, turn),
+ties by text and role.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -102,10 +105,12 @@ def links(parsed: DataFrame) -> DataFrame:
     hashes = quoted.select("hash").distinct()
     stated = keyed.select("conv_id", "turn", F.explode("stated.hash").alias("hash")).join(hashes, "hash", "left_semi")
     first_here = stated.groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
-    first_any = stated.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
-    found = quoted.join(first_here, ["conv_id", "hash"], "left").join(first_any, "hash", "left")
+    # one row for each conversation that states a hash; the smallest, and the smallest of the others
+    least = first_here.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("here").alias("turn"))).alias("any"))
+    other = first_here.join(least, "hash").where(F.col("conv_id") != F.col("any.conv_id")).groupBy("hash").agg(F.min(F.struct("conv_id", F.col("here").alias("turn"))).alias("next"))
+    found = quoted.join(first_here, ["conv_id", "hash"], "left").join(least, "hash", "left").join(other, "hash", "left")
     here = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn")))
-    elsewhere = F.when((F.col("any.conv_id") != F.col("conv_id")) | (F.col("any.turn") < F.col("turn")), F.col("any"))
+    elsewhere = F.when(F.col("any.conv_id") != F.col("conv_id"), F.col("any")).otherwise(F.col("next"))
     found = found.withColumn("origin", F.coalesce(here, elsewhere)).where("origin is not null")
     best = found.groupBy("conv_id", "turn", "seq", "level").agg(F.min_by("origin", F.struct("grain", F.col("origin.conv_id") != F.col("conv_id"), -F.col("origin.turn"), "hash")).alias("origin"))
     return best.select("conv_id", "turn", "seq", "level", F.col("origin.conv_id").alias("origin_conv"), F.col("origin.turn").alias("origin_turn"))
@@ -144,11 +149,13 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """position from 0 by (thread_turn, turn, text) in each conversation: rows
-    are numbered in blocks of BLOCK_TURNS turns, and blocks by their counts."""
+    are numbered in blocks of BLOCK_TURNS turns, and blocks by their counts.
+    Rows without a conversation are not dealt into one window."""
     block = F.floor(F.col("turn") / BLOCK_TURNS)
-    rows = rows.withColumn("_block", F.struct("thread_turn", block.alias("b")))
+    loose = rows.where("conv_id is null").withColumn("position", F.lit(None).cast("long"))
+    rows = rows.where("conv_id is not null").withColumn("_block", F.struct("thread_turn", block.alias("b")))
     inside = Window.partitionBy("conv_id", "_block").orderBy("turn", "text", "role")
     sizes = rows.groupBy("conv_id", "_block").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
     numbered = rows.withColumn("_k", F.row_number().over(inside) - 1).alias("r").join(before.alias("s"), F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & F.col("r._block").eqNullSafe(F.col("s._block")))
-    return numbered.select("r.*", (F.col("_k") + F.coalesce("_before", F.lit(0))).alias("position"))
+    return numbered.select("r.*", (F.col("_k") + F.coalesce("_before", F.lit(0))).alias("position")).drop("_block", "_k").unionByName(loose)

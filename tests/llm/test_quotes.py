@@ -1,3 +1,5 @@
+import random
+
 from paperloom.llm import quotes
 
 MESSAGES = [
@@ -31,6 +33,7 @@ def test_positions_number_each_conversation(spark):
     by_conv = {}
     for r in rows:
         by_conv.setdefault(r.conv_id, []).append(r)
+    assert all(r.position is None for r in by_conv.pop(None))
     for rs in by_conv.values():
         assert sorted(r.position for r in rs) == list(range(len(rs)))
         order = [(r.thread_turn is not None, r.thread_turn or 0, r.turn or 0) for r in sorted(rs, key=lambda r: r.position)]
@@ -45,3 +48,46 @@ def test_blocks_of_turns_and_long_chains(spark):
 
 def test_empty(spark):
     assert quotes.conversations(frame(spark).limit(0)).count() == 0
+
+
+def brute_links(messages):
+    """(conversation, turn) -> {passage: origin} by trying every message for every grain."""
+    stated = [(c, t, {h for _, h in quotes.grains(quotes.own_text(quotes.blocks(x or "")))}) for c, t, _, x in messages if c is not None and t is not None]
+    out = {}
+    for c, t, _, x in messages:
+        if c is None or t is None:
+            continue
+        for seq, (level, body) in enumerate(quotes.blocks(x or "")):
+            best = None
+            for grain, h in quotes.grains(body) if level else ():
+                here = min((u for d, u, s in stated if d == c and h in s), default=None)
+                if here is not None and here < t:
+                    origin = (c, here)
+                else:
+                    origin = min(((d, u) for d, u, s in stated if d != c and h in s), default=None)
+                if origin is not None:
+                    best = min(filter(None, (best, ((grain, origin[0] != c, -origin[1], h), origin))))
+            if best:
+                out[c, t, seq] = best[1]
+    return out
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(6)
+    phrases = [f"phrase number {i} of the corpus" for i in range(12)]
+    rows = []
+    for c in range(9):
+        for t in range(8):
+            own = "\n".join(rng.sample(phrases, rng.randrange(3)))
+            quoted = "\n".join(f"> {p}" for p in rng.sample(phrases, rng.randrange(3)))
+            rows.append((c, t, "u", f"{quoted}\n{own}" if quoted else own))
+    rows += MESSAGES
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn, r.seq): (r.origin_conv, r.origin_turn) for r in quotes.links(quotes.parse(table)).collect()}
+    assert got == brute_links(rows) and len(got) > 20
+
+
+def test_own_later_turn_does_not_hide_another_conversation(spark):
+    rows = [(1, 2, "u", "> shared words\nwhat of it"), (1, 5, "u", "shared words"), (2, 0, "u", "shared words")]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2].n_linked == got[1, 2].n_elsewhere == 1
