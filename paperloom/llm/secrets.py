@@ -12,9 +12,12 @@ owners than MAX_OWNERS is a widely copied example; one of fewer, mixed enough
 to be random, looks live.  Live-looking tokens outside every base span are
 added as spans of kind `token`.
 
+Only hashes and places of values leave the text: no value is stored or
+shuffled.
+
 Null text is empty and has no candidates.  A null id or source counts as one
 repository or owner of its own.  Repeated rows are one repository, and each
-keeps its own row in the result.
+keeps its own row in the result.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ MIN_ASSIGNED = 12
 MAX_OWNERS = 1
 MIN_DISTINCT = 8
 
-SPAN = "struct<start:int,kind:int,end:int,value:string>"
+#: begin: where the value begins, in [start, end); random: whether it is mixed enough to be a live credential.
+SPAN = "struct<start:int,kind:int,end:int,begin:int,hash:string,random:boolean>"
 
 
 def _spans(text: Column, pattern: str, kind: int, value_group: int, least: int) -> Column:
@@ -48,24 +52,30 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int, least: int)
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["all"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
+        value = x["value"]
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (end - F.length(value)).alias("begin"), F.sha2(value, 256).alias("hash"), _looks_random(value).alias("random"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     walked = F.aggregate(zipped, start, step, lambda acc: acc["out"])
     return F.when(F.size(found) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(walked)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """(row, doc_id, owner, base, tokens): the spans of every row, computed once."""
+def _free(base: Column, tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", carry: Column | None = None) -> DataFrame:
+    """(row, doc_id, owner, base, tokens): the spans of every row, computed once;
+    with `carry`, also that column."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(owner_col).cast("string").alias("owner"))
+    more = [] if carry is None else [carry.alias("carried")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(owner_col).cast("string").alias("owner"), *more)
     spans = rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "owner",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "owner", *["carried"] * len(more),
         F.array_sort(F.concat(_spans(text, ASSIGN, 0, 2, MIN_ASSIGNED), _spans(text, ACCESS, 1, 0, 0), _spans(text, HEX, 2, 0, 0))).alias("base"),
         _spans(text, TOKEN, 3, 0, 0).alias("tokens"),
     )
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return materialize(spans.withColumn("tokens", free))
+    return materialize(spans.withColumn("tokens", _free(F.col("base"), F.col("tokens"))))
 
 
 def _looks_random(value: Column) -> Column:
@@ -76,23 +86,27 @@ def _looks_random(value: Column) -> Column:
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, repositories, owners) of every candidate value of the corpus."""
     each = found.select("doc_id", "owner", F.explode(F.concat("base", "tokens")).alias("s"))
-    rows = each.select(F.sha2("s.value", 256).alias("hash"), F.coalesce("owner", F.lit("")).alias("owner"), "doc_id")
+    rows = each.select("s.hash", F.coalesce("owner", F.lit("")).alias("owner"), "doc_id")
     by_repository = rows.groupBy("hash", "owner", "doc_id").agg(F.count("*").alias("n"))
     by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     return by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
+def judged(found: DataFrame) -> DataFrame:
+    """(row, spans) of the rows of candidates() that have any."""
+    each = found.select("row", F.explode(F.concat("base", "tokens")).alias("s")).select("row", "s.*")
+    each = each.join(ownership(found), "hash")
+    live = (F.col("owners") <= MAX_OWNERS) & F.col("random")
+    each = each.withColumn("live", live).where(f"kind < {len(KINDS) - 1} or live")
+    # a row's spans come from one text: as many as it holds
+    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "begin", "hash", "repositories", "owners", "live"))).alias("spans"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, spans (array of start, kind, end, value,
-    repositories, owners, live), base spans always kept, token spans if live."""
+    """One row per document: doc_id, spans (array of start, kind, end, begin,
+    hash, repositories, owners, live), base spans always kept, token spans if live."""
     found = candidates(docs, id_col, text_col, owner_col)
-    frequency = ownership(found)
-    each = found.select("row", F.explode(F.concat("base", "tokens")).alias("s"))
-    each = each.withColumn("hash", F.sha2("s.value", 256)).join(frequency, "hash")
-    live = (F.col("owners") <= MAX_OWNERS) & _looks_random(F.col("s.value"))
-    each = each.select("row", "s.*", "repositories", "owners", live.alias("live")).where(f"kind < {len(KINDS) - 1} or live")
-    # a row's spans come from one text: as many as it holds
-    grouped = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "repositories", "owners", "live"))).alias("spans"))
+    grouped = judged(found)
     none = F.array().cast(grouped.schema["spans"].dataType)
     return found.join(grouped, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
@@ -114,15 +128,26 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mark: str = "[secret]") -> DataFrame:
     """docs with every live-looking value, and every assigned value or access
-    key, replaced by mark; other hexadecimal runs that many owners share stay.
-    The columns are those of docs; rows keep their number."""
-    found = scan(docs.select(id_col, text_col, owner_col), id_col, text_col, owner_col)
-    values = found.select(F.col("doc_id").alias("_id"), F.transform(F.filter("spans", lambda s: (s["kind"] < 2) | s["live"]), lambda s: s["value"]).alias("_values"))
-    values = values.where("size(_values) > 0").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("_values"))).alias("_values"))
-    joined = docs.join(values, docs[id_col].eqNullSafe(F.col("_id")), "left")
-    longest = F.reverse(F.array_sort(F.transform("_values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    clean = F.aggregate(longest, F.col(text_col), lambda text, v: F.replace(text, v["v"], F.lit(mark)))
-    return joined.select(*[F.when(F.col("_values").isNull(), docs[text_col]).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    key, replaced by mark where it stands; other hexadecimal runs that many
+    owners share stay.  The columns are those of docs; rows keep their number,
+    null and repeated ids included, as spans are joined to their own row.  Rows
+    without any candidate are not shuffled."""
+    found = candidates(docs, id_col, text_col, owner_col, carry=F.struct(*[F.col(c) for c in docs.columns]))
+    any_ = (F.size("base") > 0) | (F.size("tokens") > 0)
+    hit = found.where(any_).join(judged(found.where(any_)), "row", "left")
+    cut = F.array_sort(F.transform(F.filter("spans", lambda s: (s["kind"] < 2) | s["live"]), lambda s: F.struct(s["begin"].alias("a"), s["end"].alias("b"))))
+    text = F.col(f"carried.`{text_col}`").cast("string")
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["a"] - acc["at"])
+        return F.when(s["a"] >= acc["at"], F.struct(s["b"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["b"]).alias("at"), acc["out"].alias("out")))
+
+    tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    clean = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, tail)
+    clean = F.when(F.size(cut) > 0, clean).otherwise(text).cast(docs.schema[text_col].dataType)
+    columns = [F.col(f"carried.`{c}`").alias(c) for c in docs.columns]
+    masked = [clean.alias(c) if c == text_col else F.col(f"carried.`{c}`").alias(c) for c in docs.columns]
+    return found.where(~any_).select(*columns).unionByName(hit.select(*masked))
 
 
 def oracle() -> str:
