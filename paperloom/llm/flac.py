@@ -3,13 +3,17 @@
 Writing picks for each block of 1024 samples the cheapest of a constant, a
 verbatim or a fixed linear predictor of order 0 to 2 with Rice-coded residuals;
 each frame has its CRC-8 and CRC-16, each stream its MD5 and a seek point per
-block.  With all frame offsets at hand, reading decodes the Rice codes of all
-frames of a batch in step, one code of every frame at a time, so numpy works on
-thousands of values.  `decode_stream` reads any stream of this format (stereo
+block.  With all frame offsets at hand, reading decodes the Rice codes of
+FRAMES frames in step, one code of every frame at a time, so numpy works on
+thousands of values and a long text takes no more memory than FRAMES blocks
+besides its bytes.  `decode_stream` reads any stream of this format (stereo
 decorrelation, LPC, wasted bits, partitions, escapes, no seek table), sample by
-sample.  Both check every checksum and raise FlacError.
+sample; streams that the quick way does not know go there.  Both check every
+checksum and raise FlacError.  `read_from` decodes from any sample on, starting
+at the seek point before it.
 
-Null text is empty, and its payload one unit of zero bytes.
+Null text is empty, and its payload one unit of zero bytes.  Rows keep their
+number; repeated rows have equal streams.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from paperloom.llm.common import slices, texts_of
 BLOCK = 1024
 RATE = 8000
 UNIT = 64
-MAX_QUOTIENT = 24
+MAX_QUOTIENT = 24  # the writer's; the quick reader sends longer codes to the plain one
+FRAMES = 2048
 SLICE = 2 << 20
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))  # coefficients of the fixed predictors: fixed values
 
@@ -114,10 +119,28 @@ def encode_batch(payloads: list[bytes]) -> list[bytes]:
     number = np.concatenate([np.arange(k) for k in per])
     owner = np.repeat(np.arange(len(payloads)), per)
     n = np.minimum(BLOCK, sizes[owner] - number * BLOCK)
-    column = np.arange(BLOCK)
+    raw, at, parts, frame_size = b"".join(payloads), np.concatenate([[0], np.cumsum(n)]), [], []
+    for a in range(0, total, FRAMES):
+        b = min(a + FRAMES, total)
+        frames, size = _encode_frames(np.frombuffer(raw, np.uint8, int(at[b] - at[a]), int(at[a])), number[a:b], n[a:b])
+        parts.append(frames)
+        frame_size.append(size)
+    frame_size, raw = np.concatenate(frame_size), b"".join(parts)
+    begin, first = np.concatenate([[0], np.cumsum(frame_size)]), np.concatenate([[0], np.cumsum(per)])
+    out = []
+    for i, payload in enumerate(payloads):
+        a, b = first[i], first[i + 1]
+        out.append(_stream(payload, (begin[a:b] - begin[a]).tolist(), frame_size[a:b].tolist(), raw[begin[a] : begin[b]]))
+    return out
+
+
+def _encode_frames(samples: np.ndarray, number: np.ndarray, n: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The frames of consecutive blocks and their sizes; number: of the block in
+    its stream, n: its samples."""
+    total, column = len(n), np.arange(BLOCK)
     valid = column < n[:, None]
     x = np.full((total, BLOCK), 128, np.uint8)
-    x[valid] = np.frombuffer(b"".join(payloads), np.uint8)
+    x[valid] = samples
     x = x.astype(np.int16) - 128
     z = np.empty((3, total, BLOCK), np.int16)
     r = x
@@ -163,12 +186,7 @@ def encode_batch(payloads: list[bytes]) -> list[bytes]:
     buf[begin[:-1] + head_size] = np.where(constant, 0, np.where(fixed, (8 | order) << 1, 2))
     crc = _crc16_all(buf, begin[:-1], frame_size - 2)
     buf[begin[1:] - 2], buf[begin[1:] - 1] = crc >> 8, crc & 255
-    raw, first = buf.tobytes(), np.concatenate([[0], np.cumsum(per)])
-    out = []
-    for i, payload in enumerate(payloads):
-        a, b = first[i], first[i + 1]
-        out.append(_stream(payload, (begin[a:b] - begin[a]).tolist(), frame_size[a:b].tolist(), raw[begin[a] : begin[b]]))
-    return out
+    return buf[: int(begin[-1])].tobytes(), frame_size
 
 
 def _stream(payload: bytes, offsets: list[int], sizes: list[int], frames: bytes) -> bytes:
@@ -202,38 +220,75 @@ def metadata(stream: bytes) -> dict:
 
 
 def decode_batch(streams: list[bytes]) -> list[bytes]:
-    """Payloads of streams written by encode_batch; others go to decode_stream."""
+    """Payloads of 8-bit mono streams: those written by encode_batch in step,
+    others, and any that the quick reader refuses, by decode_stream."""
     infos = [metadata(s) for s in streams]
-    own = [m["bits"] == 8 and m["channels"] == 1 and m["block"] == BLOCK and len(m["points"]) == -(-m["samples"] // BLOCK) for m in infos]
-    out: list[bytes] = [b""] * len(streams)
-    chosen = [i for i, ok in enumerate(own) if ok and infos[i]["samples"]]
-    for i, ok in enumerate(own):
-        if not ok:
+    own = [i for i, m in enumerate(infos) if m["bits"] == 8 and m["channels"] == 1 and m["block"] == BLOCK and m["samples"] and len(m["points"]) == -(-m["samples"] // BLOCK)]
+    out: list[bytes | None] = [None] * len(streams)
+    if own:
+        try:
+            for i, payload in zip(own, _decode_own([streams[i] for i in own], [infos[i] for i in own]), strict=True):
+                out[i] = payload
+        except FlacError:
+            if len(own) > 1:  # find the one; the others stay on the quick way
+                for i in own:
+                    (out[i],) = decode_batch([streams[i]])
+    for i, payload in enumerate(out):
+        if payload is None:
             out[i] = _unsigned(decode_stream(streams[i]))
-    if not chosen:
-        return out
-    buf = np.frombuffer(b"".join(streams[i] for i in chosen) + bytes(16), np.uint8)
-    base = np.concatenate([[0], np.cumsum([len(streams[i]) for i in chosen])])
-    begin = np.concatenate([b + infos[i]["start"] + np.array([p[1] for p in infos[i]["points"]], np.int64) for i, b in zip(chosen, base, strict=False)])
-    n = np.concatenate([np.array([p[2] for p in infos[i]["points"]], np.int64) for i in chosen])
-    counts = np.array([len(infos[i]["points"]) for i in chosen])
+    return out
+
+
+def _decode_own(streams: list[bytes], infos: list[dict]) -> list[bytes]:
+    """Payloads of streams that encode_batch wrote."""
+    buf = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
+    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
+    begin = np.concatenate([b + m["start"] + np.array([p[1] for p in m["points"]], np.int64) for m, b in zip(infos, base, strict=False)])
+    n = np.concatenate([np.array([p[2] for p in m["points"]], np.int64) for m in infos])
+    counts = np.array([len(m["points"]) for m in infos])
     number = np.concatenate([np.arange(c) for c in counts])
     first = np.concatenate([[0], np.cumsum(counts)])
     end = np.empty(len(begin), np.int64)
     end[:-1] = begin[1:]
     end[first[1:] - 1] = base[1:]
-    samples = _decode_frames(buf, begin, end, number, n)
-    flat = (samples + 128).astype(np.uint8)[np.arange(BLOCK) < n[:, None]].tobytes()
-    at = 0
-    for i in chosen:
-        size = infos[i]["samples"]
-        out[i] = flat[at : at + size]
-        at += size
-        if hashlib.md5(out[i].translate(bytes(b ^ 128 for b in range(256)))).digest() != infos[i]["md5"]:
+    if (end - begin < 8).any() or (begin < 0).any() or (end > base[-1]).any() or (n < 1).any() or (n > BLOCK).any():
+        raise FlacError("seek points that no frame fits")
+    parts = []
+    for a in range(0, len(begin), FRAMES):
+        at = slice(a, a + FRAMES)
+        samples = _decode_frames(buf, begin[at], end[at], number[at], n[at])
+        parts.append((samples + 128).astype(np.uint8)[np.arange(BLOCK) < n[at][:, None]].tobytes())
+    flat, at, out = b"".join(parts), 0, []
+    for m in infos:
+        out.append(flat[at : at + m["samples"]])
+        at += m["samples"]
+        if hashlib.md5(out[-1].translate(bytes(b ^ 128 for b in range(256)))).digest() != m["md5"]:
             raise FlacError("MD5 differs")
     return out
 
 
+def read_from(stream: bytes, sample: int, count: int | None = None) -> list[np.ndarray]:
+    """`count` samples (all, if None) of each channel from `sample` on: frames
+    are decoded from the last seek point at or before it, those before are not
+    read.  Without a seek table decoding begins at the first frame."""
+    info = metadata(stream)
+    ends = [x for x in (info["samples"] or None, None if count is None else sample + count) if x is not None]
+    end = min(ends, default=None)
+    at, offset, _ = max((p for p in info["points"] if p[0] <= sample), default=(0, 0, 0))
+    bits, parts = _Bits(stream, info["start"] + offset), [[] for _ in range(info["channels"])]
+    begin = at
+    while bits.at < 8 * len(stream) and (end is None or at < end):
+        got = _frame(bits, info)
+        at += len(got[0])
+        if at > sample:
+            for to, x in zip(parts, got, strict=True):
+                to.append(np.array(x, np.int64))
+        else:
+            begin = at
+    stop = None if end is None else max(0, end - begin)
+    return [(np.concatenate(p) if p else np.empty(0, np.int64))[sample - begin : stop] for p in parts]
+
+
 def _decode_frames(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Samples (rows of BLOCK) of all frames."""
     head, head_size = _headers(number, n)

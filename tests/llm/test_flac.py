@@ -113,3 +113,43 @@ def test_report_and_blocks(spark):
     blocks = flac.pcm_blocks(flac.store(docs)).where("doc_id = 4").orderBy("block").collect()
     assert b"".join(b.pcm for b in blocks) == flac.padded(b"x" * 5000) and [b.sample_offset for b in blocks] == [b.block * 1024 for b in blocks]
     assert flac.report(docs.limit(0)).count() == 0
+
+
+def with_rate_code(stream, code):
+    """The same stream with another rate code in its frame headers, checksums redone."""
+    info = flac.metadata(stream)
+    ends = [p[1] for p in info["points"][1:]] + [len(stream) - info["start"]]
+    out = bytearray(stream)
+    for i, ((_, at, n), end) in enumerate(zip(info["points"], ends, strict=True)):
+        a, b = info["start"] + at, info["start"] + end
+        out[a + 2] |= code
+        head = a + 5 + (i > 127) + 2 * (n != flac.BLOCK)
+        out[head] = flac.crc8(bytes(out[a:head]))
+        out[b - 2 : b] = flac.crc16(bytes(out[a : b - 2])).to_bytes(2, "big")
+    return bytes(out)
+
+
+def test_valid_streams_that_the_quick_reader_refuses_are_read():
+    p = [flac.padded(b"some words " * 300), flac.padded(b"other words " * 300)]
+    media = flac.encode_batch(p)
+    assert flac.decode_batch([with_rate_code(media[0], 4), media[1]]) == p
+
+
+def test_long_payloads_are_cut_into_runs_of_frames(monkeypatch):
+    p = payloads()
+    whole = flac.encode_batch(p)
+    monkeypatch.setattr(flac, "FRAMES", 3)
+    assert flac.encode_batch(p) == whole and flac.decode_batch(whole) == p
+
+
+def test_reading_begins_at_any_sample():
+    p = flac.padded(bytes(random.Random(2).choices(b"etaoin shrdlu", k=5000)))
+    (m,) = flac.encode_batch([p])
+    for at in (0, 1, 1023, 1024, 3000, len(p) - 1, len(p)):
+        for count in (None, 0, 7, 2000):
+            (got,) = flac.read_from(m, at, count)
+            assert (got + 128).astype(np.uint8).tobytes() == p[at : None if count is None else at + count]
+    broken = bytearray(m)  # what lies before the seek point is not read
+    broken[flac.metadata(m)["start"] + 10] ^= 255
+    (got,) = flac.read_from(bytes(broken), 2048, 100)
+    assert (got + 128).astype(np.uint8).tobytes() == p[2048:2148]
