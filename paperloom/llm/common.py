@@ -67,6 +67,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
         yield batch.slice(start, n - start)
 
 
+def few_rows(df: DataFrame, most: int = 1 << 14) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows, which is looked up;
+    else as it is, for Spark to join in its own way."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
 def thinned(rows: DataFrame, key: str, about: int, by: str | None = None, salt: str | None = None) -> DataFrame:
     """About `about` rows (of each value of `by`), the first by a hash of a key
     that differs between rows; rows with a null key are left out.  Two partial
@@ -76,5 +83,5 @@ def thinned(rows: DataFrame, key: str, about: int, by: str | None = None, salt:
     if by is None:
         n = rows.count()
         return rows.where(place * n <= about)
-    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))  # a row for each label
-    return rows.join(F.broadcast(sizes), rows[by] == sizes["_by"]).where(place * F.col("_n") <= about).drop("_by", "_n")
+    sizes = few_rows(rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")))  # a row for each label
+    return rows.join(sizes, rows[by] == sizes["_by"]).where(place * F.col("_n") <= about).drop("_by", "_n")

@@ -7,47 +7,43 @@ else the escape -log2(q / (N + q)) is paid and the next shorter context tried,
 down to a uniform code over 256 bytes.  A text goes to the language that codes
 it in the fewest bits.
 
-Because the statistics are frozen, the bits of every (context, byte) are worked
-out once for all languages together: contexts that no language has seen share
-the row of the next shorter context, which by the rule above has the same code.
-Scoring a byte is then one lookup.
+Code lengths are exact: every byte value, every context that the sample has and
+every count take part, in double precision.  As the statistics are frozen, a
+gram (a byte after its three predecessors) costs the same wherever it stands, so
+the distinct grams of a batch are coded once for each language and summed by
+text.  Long texts are coded in pieces that carry their three bytes of context.
 
 The model is fitted on a bounded sample: for each language, about
 DOCS_PER_LANG training documents, the first by a hash of their id, of up to
 DOC_BYTES bytes; where a language has fewer of those, also about as many longer
-ones, whole.
-Its grams are counted on the executors.  ALPHABET holds every byte that UTF-8
-has; bytes that the sample lacks take the escape path in every context.
-Contexts of order two have a row if the sample has them, those of order three
-if it has them with MIN_CONTEXT bytes or more.
-
-Null texts, empty ones and those without any letter are `und` with score 0; so
-is every text when there is no row to learn from.  Ties go to the language that
-sorts first.
+ones, whole.  Its grams are counted on the executors.
+
+Null texts, empty ones and those without any letter (Unicode category L) are
+`und` with score 0; so is every text when there is no row to learn from.  Ties
+go to the language that sorts first.  Rows keep their number, equal texts have
+equal predictions, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import id_remainder, slices, texts_of, thinned
+from paperloom.llm.common import few_rows, id_remainder, slices, texts_of, thinned
 
 UNDETERMINED = "und"
 DOCS_PER_LANG = 400
 DOC_BYTES = 1 << 16
-ALPHABET = 255  # UTF-8 has 243 byte values
-MIN_CONTEXT = 4
+ORDER = 3
+PIECE = 2 << 20
 START = b"\n\n\n"
-LETTER = re.compile(r"[^\W\d_]")
-UNIT = 256  # code lengths are kept in 256ths of a bit
-
+LETTER = regex.compile(r"\p{L}")
 
 
 def prepared(text: bytes) -> bytes:
@@ -55,91 +51,86 @@ def prepared(text: bytes) -> bytes:
 
 
 def grams(text: bytes) -> np.ndarray:
-    """Four-byte grams as big-endian numbers, one for each byte of text."""
-    a = np.frombuffer(START + text, np.uint8).astype(np.uint32)
+    """Four-byte grams as big-endian numbers, one for each byte behind the first three."""
+    a = np.frombuffer(text, np.uint8).astype(np.uint32)
     return (a[:-3] << 24) | (a[1:-2] << 16) | (a[2:-1] << 8) | a[3:]
 
 
+class _Tree:
+    """Frozen context tree of one language: for each order the bits of the grams
+    that it has seen and of the escapes from its contexts, by sorted key."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.orders = []
+        for order in range(ORDER, -1, -1):
+            seen, at = np.unique(gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, weights=n)
+            context, of = np.unique(seen >> 8, return_inverse=True)
+            total, distinct = np.bincount(of, weights=count), np.bincount(of)
+            self.orders.append((seen, np.log2((total + distinct)[of]) - np.log2(count), context, np.log2(total + distinct) - np.log2(distinct)))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of each gram."""
+        out, left = np.zeros(len(gram)), np.arange(len(gram))
+        for k, (seen, bits, context, escape) in enumerate(self.orders):
+            key = gram[left] & ((1 << 8 * (ORDER + 1 - k)) - 1)
+            at, found = _find(seen, key)
+            out[left[found]] += bits[at[found]]
+            left, key = left[~found], key[~found] >> 8
+            at, found = _find(context, key)
+            out[left[found]] += escape[at[found]]
+        out[left] += 8
+        return out
+
+
+def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in a sorted table, and whether it does."""
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return at, table[at] == key
+
+
 class Model:
-    """Frozen code lengths of all languages."""
+    """A frozen context tree for each language."""
 
-    def __init__(self, counts: pd.DataFrame, alphabet: int = ALPHABET, min_context: int = MIN_CONTEXT):
+    def __init__(self, counts: pd.DataFrame):
         """counts: lang, gram, n."""
         self.langs = sorted(counts["lang"].unique())
-        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-        frequent = np.bincount(gram & 255, weights=n, minlength=256)
-        frequent[START[0]] += 1
-        chosen = [int(b) for b in np.argsort(-frequent, kind="stable")[: min(alphabet, 255)] if frequent[b] > 0]
-        self.a = a = len(chosen) + 1  # class 0: any other byte
-        table = np.zeros(256, np.uint8)
-        table[chosen] = np.arange(1, a)
-        self.table = table.tobytes()
-        cls = [table[(gram >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0)]
-        context = (cls[0] * a + cls[1]) * a + cls[2]
-        whole = cls[0] * cls[1] * cls[2] > 0
-        contexts, at = np.unique(context[whole], return_inverse=True)
-        kept = contexts[np.bincount(at, weights=n[whole], minlength=len(contexts)) >= min_context]
-        pairs = np.unique(context % (a * a))
-        # rows: the order-one contexts, the order-two contexts that occur, then the kept order-three contexts
-        self.pair_row = np.tile(np.arange(a, dtype=np.int32), a)
-        self.pair_row[pairs] = a + np.arange(len(pairs), dtype=np.int32)
-        self.row_of = np.repeat(np.arange(a + len(pairs), dtype=np.int32), a)
-        kept_pair = self.pair_row[kept % (a * a)].astype(np.int64)
-        self.row_of[kept_pair * a + kept // (a * a)] = a + len(pairs) + np.arange(len(kept), dtype=np.int32)
-        pair_row = self.pair_row[context % (a * a)].astype(np.int64)
-        deep_row = self.row_of[pair_row * a + cls[0]].astype(np.int64) - a - len(pairs)
-        bits = np.empty((a + len(pairs) + len(kept), a, len(self.langs)), np.int16)
-        lang = counts["lang"].to_numpy()
-        for k, name in enumerate(self.langs):
-            own = lang == name
-            c, m = [x[own] for x in cls], n[own]
-            code = self._step(np.bincount(c[3], weights=m, minlength=a)[None, :], np.full((1, a), 8.0))
-            one = self._step(np.bincount(c[2] * a + c[3], weights=m, minlength=a * a).reshape(a, a), np.repeat(code, a, 0))
-            two = self._step(np.bincount((pair_row[own] - a) * a + c[3], weights=m, minlength=len(pairs) * a).reshape(len(pairs), a), one[pairs % a])
-            at = deep_row[own]
-            seen = np.bincount((at * a + c[3])[at >= 0], weights=m[at >= 0], minlength=len(kept) * a)
-            deep = self._step(seen.reshape(len(kept), a), two[kept_pair - a])
-            bits[:, :, k] = np.minimum(np.concatenate([one, two, deep]) * UNIT, 32767).round()
-        self.bits = bits.reshape(-1, len(self.langs))
-
-    @staticmethod
-    def _step(seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Bits of each byte class (columns) in each context (rows)."""
-        seen = seen.copy()
-        seen[:, 0] = 0  # other bytes, and contexts that end in one, are never seen
-        total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, np.log2(total + distinct) - np.log2(distinct), 0.0)
-            return np.where(seen > 0, np.log2(total + distinct) - np.log2(seen), escape + shorter)
-
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        own = {lang: rows for lang, rows in counts.groupby("lang")}
+        self.trees = [_Tree(own[lang]["gram"].to_numpy(np.uint32), own[lang]["n"].to_numpy(np.float64)) for lang in self.langs]
+
+    def code_lengths(self, texts: list[bytes], piece: int = PIECE) -> np.ndarray:
         """Bits of each text (rows) under each language (columns)."""
         out = np.zeros((len(texts), len(self.langs)))
-        filled = [i for i, t in enumerate(texts) if t]
-        if not filled:
-            return out
-        mapped = [(START + texts[i]).translate(self.table) for i in filled]
-        all_ = np.frombuffer(b"".join(mapped), np.uint8)
-        ends = np.cumsum([len(m) for m in mapped])
-        a, total = self.a, np.zeros((len(filled), len(self.langs)))
-        x = all_.astype(np.int32)
-        pair_row = self.pair_row[x[1:-2] * a + x[2:-1]]
-        where = self.row_of[pair_row * a + x[:-3]].astype(np.int64) * a + x[3:]
-        begin = ends - [len(m) for m in mapped]
-        skip = np.concatenate([begin[1:] - 3, begin[1:] - 2, begin[1:] - 1])  # grams that span two texts
-        picked = self.bits[where]
-        picked[skip] = 0
-        total = np.add.reduceat(picked, begin, axis=0, dtype=np.int64)
-        out[filled] = total / UNIT
+        parts: list[tuple[int, bytes]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for a in range(0, len(text), piece):
+                part = START + text[:piece] if a == 0 else text[a - ORDER : a + piece]
+                if held and held + len(part) > piece:
+                    self._add(out, parts)
+                    parts, held = [], 0
+                parts.append((i, part))
+                held += len(part)
+        self._add(out, parts)
         return out
 
+    def _add(self, out: np.ndarray, parts: list[tuple[int, bytes]]) -> None:
+        if not parts:
+            return
+        found = [grams(part) for _, part in parts]
+        at, distinct = pd.factorize(np.concatenate(found))
+        begin = np.cumsum([0, *map(len, found[:-1])])
+        owner = [i for i, _ in parts]
+        for k, tree in enumerate(self.trees):
+            np.add.at(out[:, k], owner, np.add.reduceat(tree.bits(distinct)[at], begin))
+
 
 def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_lang: int = DOCS_PER_LANG, doc_bytes: int = DOC_BYTES) -> Model | None:
     """Model of the rows where `learn` holds; None if there are none."""
     rows = docs.where(learn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and octet_length(text) > 0")
     short = F.octet_length("text") <= doc_bytes
-    sizes = rows.where("id is not null").groupBy(F.col("lang").alias("_by")).agg(F.count_if(short).alias("_short"))  # a row for each language
-    few = rows.where(~short).join(F.broadcast(sizes.where(F.col("_short") < docs_per_lang)), F.col("lang") == F.col("_by")).select("lang", "text", "id")
+    sizes = few_rows(rows.where("id is not null").groupBy(F.col("lang").alias("_by")).agg(F.count_if(short).alias("_short")))
+    few = rows.where(~short).join(sizes.where(F.col("_short") < docs_per_lang), F.col("lang") == F.col("_by")).select("lang", "text", "id")
     sample = thinned(rows.where(short), "id", docs_per_lang, "lang").unionByName(thinned(few, "id", docs_per_lang, "lang")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +138,7 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "d
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = texts_of(batch)
             for lang in np.unique(langs):
-                g, n = np.unique(np.concatenate([grams(prepared(texts[i])) for i in np.flatnonzero(langs == lang)]), return_counts=True)
+                g, n = np.unique(np.concatenate([grams(START + prepared(texts[i])) for i in np.flatnonzero(langs == lang)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

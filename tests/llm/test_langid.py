@@ -35,20 +35,21 @@ def test_code_lengths_are_exact():
     train = {"a": [b"the cat sat on the mat", b"that hat"], "b": [b"der hund und die katze", "größe".encode()]}
     rows = []
     for lang, texts in train.items():
-        g = np.concatenate([langid.grams(t) for t in texts])
+        g = np.concatenate([langid.grams(langid.START + t) for t in texts])
         rows += [(lang, int(x), int(n)) for x, n in zip(*np.unique(g, return_counts=True), strict=True)]
-    model = langid.Model(pd.DataFrame(rows, columns=["lang", "gram", "n"]), alphabet=200, min_context=1)
+    model = langid.Model(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
     texts = [b"the hund", b"", b"xyz~~ the", "ßß katze".encode(), b"\n", b"that cat and der hat " * 20]
     got = model.code_lengths(texts)
     for i, t in enumerate(texts):
         for k, lang in enumerate(model.langs):
-            assert abs(got[i, k] - brute_bits(train[lang], t)) <= len(t) / langid.UNIT
+            assert abs(got[i, k] - brute_bits(train[lang], t)) < 1e-6
+    assert np.allclose(model.code_lengths(texts, piece=7), got)  # long texts go in pieces
 
 
 def test_predictions_and_edges(spark):
     en, fr = "the quick brown fox jumps over the lazy dog and then it sleeps ", "le renard brun saute par dessus le chien paresseux et puis il dort "
     rows = [(i, (en if i % 2 else fr) * (1 + i % 3), "en" if i % 2 else "fr", "x") for i in range(60)]
-    rows += [(100, None, "en", None), (101, "", "fr", None), (102, "123 !!", None, None), (103, en * 500, None, None), (104, fr.upper(), None, None), (None, en, None, None), (103, en * 500, None, None)]
+    rows += [(100, None, "en", None), (101, "", "fr", None), (102, "123 !! ½ ² ①", None, None), (103, en * 500, None, None), (104, fr.upper(), None, None), (None, en, None, None), (103, en * 500, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = langid.report(docs).collect()
     assert len(got) == len(rows)
@@ -71,14 +72,14 @@ def test_all_bytes_of_several_scripts_carry_evidence():
     assert len(set(b"".join(b"".join(t) for t in train.values()))) > 112
     rows = []
     for lang, texts in train.items():
-        g = np.concatenate([langid.grams(t) for t in texts])
+        g = np.concatenate([langid.grams(langid.START + t) for t in texts])
         rows += [(lang, int(x), int(n)) for x, n in zip(*np.unique(g, return_counts=True), strict=True)]
-    model = langid.Model(pd.DataFrame(rows, columns=["lang", "gram", "n"]), min_context=1)
+    model = langid.Model(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
     texts = [t for ts in train.values() for t in ts] + ["δ ж 中 한 q".encode()]
     got = model.code_lengths(texts)
     for i, t in enumerate(texts):
         for k, lang in enumerate(model.langs):
-            assert abs(got[i, k] - brute_bits(train[lang], t)) <= len(t) / langid.UNIT
+            assert abs(got[i, k] - brute_bits(train[lang], t)) < 1e-6
 
 
 def test_a_language_of_long_documents_only_is_learnt(spark):
@@ -88,3 +89,11 @@ def test_a_language_of_long_documents_only_is_learnt(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     by_id = {r.doc_id: r.lang_pred for r in langid.report(docs).collect()}
     assert by_id[500] == by_id[100] == "fr" and by_id[0] == "en"
+
+
+def test_more_values_than_a_broadcast_takes_are_joined_otherwise(spark):
+    from paperloom.llm.common import few_rows
+
+    df = spark.range(100).withColumnRenamed("id", "v")
+    for most in (10, 100):
+        assert few_rows(df, most).count() == 100
