@@ -91,36 +91,65 @@ def test_candidate_quality(spark):
     assert (c.score, c.quality) == (0.0, "failed")
 
 
-def page(number, text, toc=None, status="pass"):
-    return {"page": number, "text": text, "toc_items": toc or [], "post_processing": {"rag_text_status": status, "table_quality": None}}
+PAGE = "document_id string, page int, text string, toc_items array<struct<level:int,title:string,page:int>>, post_processing struct<rag_text_status:string,table_quality:string>, title string"
 
 
-def test_sections_span_pages_and_keep_labels():
-    got = sections.fold_document("D", [page(1, "# Engine\nFirst."), page(2, "More prose.\n##### Detail\ntext")])
-    assert [(s["title"], s["page_start"], s["page_end"], s["subheadings"], s["boundary"]["confidence"]) for s in got] == [("Engine", 1, 2, ["Detail"], 0.8)]
-    assert got[0]["section_id"] == "D:s0001"
+def page(number, text, toc=None, status="pass", document="D", tables=None):
+    return (document, number, text, toc, (status, tables), "clashing name")
 
 
-def test_toc_gives_paths_and_rebases():
-    toc = [{"level": 1, "title": "Chapter one", "page": 1}, {"level": 2, "title": "Cooling system", "page": 1}, {"level": 1, "title": "Chapter two", "page": 3}]
-    got = sections.fold_document("D", [page(1, "## Cooling system\nWater.", toc), page(2, "### Pump\nIt pumps."), page(4, "### Pump\nAgain.")])
-    assert [(s["path"], s["boundary"]["source"]) for s in got] == [(["Chapter one", "Cooling system"], "pdf_toc+markdown"), (["Chapter one", "Cooling system", "Pump"], "markdown_heading"), (["Chapter two", "Pump"], "markdown_heading")]
+def split(spark, *pages):
+    return sections.split_sections(spark.createDataFrame(list(pages), PAGE)).orderBy("section_id").collect()
 
 
-def test_plain_chapter_quarantine_and_masking():
-    toc = [{"level": 1, "title": "Brakes", "page": 1}]
-    got = sections.fold_document("D", [page(1, "Brakes\nText of it.", toc), page(2, "lost", status="quarantine"), page(3, "<!-- Start of picture text --># No heading<!-- End of picture text -->\nTail")])
-    assert [(s["title"], s["boundary"]["confidence"]) for s in got] == [("Brakes", 0.95), ("Document introduction", 0.5)]
-    assert "No heading" in got[1]["text"] and got[0]["page_end"] == 1
-    with pytest.raises(ValueError):
-        sections.fold_document(" ", [])
+def test_sections_span_pages_and_keep_labels(spark):
+    (s,) = split(spark, page(1, "# Engine\nFirst."), page(2, "More prose.\n##### Detail\ntext"))
+    assert (s.title, s.page_start, s.page_end, s.subheadings, s.boundary.confidence, s.section_id) == ("Engine", 1, 2, ["Detail"], 0.8, "D:s0001")
+    assert s.text == "# Engine\n\nFirst.\n\nMore prose.\n\n##### Detail\n\ntext"
+    (s,) = split(spark, page(1, "### Injection\nA.\n##### Pump\nB.\n##### Rail\nC."))
+    assert s.subheadings == ["Pump", "Rail"] and s.level == 3
+
+
+def test_toc_gives_paths_and_rebases(spark):
+    toc = [(1, "Chapter one", 1), (2, "Cooling system", 1), (1, "Chapter two", 3), (2, "Cooling system", 1), (0, "not a level", 1), (1, " ## ", 2), (1, "no page", None)]
+    got = split(spark, page(1, "## Cooling system\nWater.", toc), page(2, "### Pump\nIt pumps."), page(4, "### Pump\nAgain."))
+    assert [(s.path, s.boundary.source) for s in got] == [(["Chapter one", "Cooling system"], "pdf_toc+markdown"), (["Chapter one", "Cooling system", "Pump"], "markdown_heading"), (["Chapter two", "Pump"], "markdown_heading")]
+    assert got[0].boundary.confidence == 1.0 and got[0].level == 2
+
+
+def test_similar_titles_match_the_nearest_entry(spark):
+    toc = [(1, "Engine control unit", 1), (1, "Engine control units", 3), (2, "Something else", 3)]
+    got = split(spark, page(1, "prose", toc), page(3, "## Engine  Control Unit\ntext"), page(9, "## Engine control unit\nfar"))
+    assert [(s.title, s.path, s.boundary.source) for s in got[1:2]] == [("Engine Control Unit", ["Engine control unit"], "pdf_toc+markdown")]
+    assert len(got) == 2 and got[1].text.endswith("far")  # a running header long after its entry
+
+
+def test_plain_chapter_quarantine_and_masking(spark):
+    toc = [(1, "Brakes", 1)]
+    got = split(spark, page(1, "Brakes\nText of it.", toc), page(2, "lost", status="quarantine"), page(3, "<!-- Start of picture text --># No heading<!-- End of picture text -->\nTail"))
+    assert [(s.title, s.boundary.confidence, s.boundary.page) for s in got] == [("Brakes", 0.95, 1), ("Document introduction", 0.5, None)]
+    assert "No heading" in got[1].text and got[0].page_end == 1 and got[1].page_start == 3
+    for bad in (" ", None, "a/b"):
+        with pytest.raises(Exception, match="not a document id"):
+            split(spark, page(1, "x", document=bad))
+
+
+def test_same_title_under_two_chapters_and_two_documents(spark):
+    toc = [(1, "Part A", 1), (1, "Part B", 2)]
+    pages = [page(n, f"# Part {c}\n## Overview of parts\nBody {c}.", toc if n == 1 else None, document=d) for d in ("A", "B") for n, c in ((1, "A"), (2, "B"))]
+    got = split(spark, *pages)
+    assert [s.section_id for s in got] == [f"{d}:s{i:04d}" for d in "AB" for i in (1, 2, 3, 4)]
+    assert [s.path for s in got[:4]] == [["Part A"], ["Part A", "Overview of parts"], ["Part B"], ["Part B", "Overview of parts"]]
 
 
-def test_split_sections_frame(spark):
-    schema = "document_id string, page int, text string, toc_items array<struct<level:int,title:string,page:int>>, post_processing struct<rag_text_status:string,table_quality:string>"
-    rows = [(d, 1, "# Same title\nBody.", None, ("warning" if d == "B" else "pass", None)) for d in ("A", "B")]
-    got = sections.split_sections(spark.createDataFrame(rows, schema)).orderBy("section_id").collect()
-    assert [(r.section_id, r.quality.rag_text_status) for r in got] == [("A:s0001", "pass"), ("B:s0001", "warning")]
+def test_section_quality_numbers_and_edges(spark):
+    rows = [page(1, "# One here\na", status="warning", tables="ok"), page(None, "b\n# ##\n", status=None, tables="failed"), page(2, None), page(3, "", status="odd")]
+    (s,) = split(spark, *rows)
+    assert (s.quality.rag_text_status, s.quality.table_quality, s.page_start, s.page_end) == ("warning", "failed", 1, 4) and s.text.endswith("# ##")
+    assert sections.split_sections(spark.createDataFrame([], PAGE)).count() == 0
+    assert split(spark, page(1, "  \n ")) == []
+    (s,) = split(spark, page(1, "#### Notes\nlabel first"))
+    assert (s.title, s.subheadings) == ("Document introduction", [])
 
 
 def test_window_plan_paths(spark):
