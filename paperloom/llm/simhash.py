@@ -12,7 +12,7 @@ value (65 at most) are linked to the smallest of them.  Both ways are exact.
 
 Null and word-free texts have fingerprint zero and are linked like any other.
 A null id never becomes a component id unless every id in the component is null.
-Repeated rows stay repeated rows.
+Repeated rows stay repeated rows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -118,6 +118,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat one id, one stays."""
     classes = materialize(near_duplicates(docs, id_col, text_col))
     gone = classes.where("doc_id > component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(gone, docs[id_col] == F.col("_id"), "left_anti")  # the one shuffle of texts, if `gone` is large
     repeated = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    once = docs.join(gone.unionByName(repeated), docs[id_col] == F.col("_id"), "left_anti")
-    return once.unionByName(docs.join(repeated, docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+    if not repeated.take(1):
+        return kept
+    once = docs.join(repeated, docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, docs[id_col] == F.col("_id"), "left_anti").unionByName(once)
