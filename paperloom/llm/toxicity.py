@@ -165,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
             found = [slot[features(t)] for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([f[f >= 0].tobytes() for f in found], pa.binary())], names=["id", "y", "f"])
 
-    rows = texts.select("id", "y", "text").mapInArrow(featurize, "id long, y int, f binary").toPandas()
-    rows = rows.sort_values(["id", "f"], kind="stable").drop_duplicates("id")
+    rows = texts.select("id", "y", "text").mapInArrow(featurize, "id long, y int, f binary")
+    rows = rows.groupBy("id", "y").agg(F.min("f").alias("f")).toPandas().sort_values("id")
     share = known.agg(F.avg("y")).first()[0] or 0.0
     return train([np.frombuffer(f, np.int32) for f in rows["f"]], rows["y"].to_numpy(), chosen, ratio, share)
 
