@@ -55,7 +55,7 @@ def select_page(threshold: float = 0.10) -> dict[str, Column]:
 
 def plain(text: Column) -> Column:
     """Without tags, white space collapsed."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), r"(?U)\s+", " "))
 
 
 def line_key(text: Column) -> Column:
@@ -94,19 +94,29 @@ def language(text: Column) -> Column:
     return F.when(text.rlike(r"[一-鿿]"), "zh").otherwise("en")
 
 
-#: Keys whose values are never shown: fixed values.
-SENSITIVE = ("api_key", "authorization", "password", "secret", "token", "cookie", "credential")
+#: Keys whose values are never shown, and limits of what is: fixed values.
+SENSITIVE = ("text", "content", "document", "body", "pdf", "prompt", "output", "input", "query")
+SHOWN_CHARACTERS, SHOWN_ITEMS = 256, 20
 
 
-def redacted(value: Column, key: str) -> Column:
+def _shortened(value: Column) -> Column:
+    return F.when(F.length(value) > SHOWN_CHARACTERS, F.concat(F.substring(value, 1, SHOWN_CHARACTERS), F.lit("…"))).otherwise(value)
+
+
+def redacted(value: Column, key: str = "") -> Column:
     """A string value fit for a trace."""
-    if any(s in key.lower() for s in SENSITIVE):
-        return F.lit("[redacted]")
-    return F.when(F.length(value) > 256, F.concat(F.substring(value, 1, 256), F.lit("…"))).otherwise(value)
+    return F.lit("[redacted]") if key.casefold() in SENSITIVE else _shortened(value)
 
 
 def redacted_items(values: Column) -> Column:
-    return F.slice(values, 1, 20)
+    """The first strings of a list, fit for a trace."""
+    return F.transform(F.slice(values, 1, SHOWN_ITEMS), _shortened)
+
+
+def redacted_map(values: Column) -> Column:
+    """The first entries of a map of strings, fit for a trace."""
+    safe = lambda e: F.when(F.lower(e["key"]).isin(*SENSITIVE), "[redacted]").otherwise(_shortened(e["value"]))
+    return F.map_from_entries(F.transform(F.slice(F.map_entries(values), 1, SHOWN_ITEMS), lambda e: F.struct(e["key"], safe(e))))
 
 
 def lines(text: Column) -> Column:

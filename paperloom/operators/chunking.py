@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from paperloom.functions.text import lines
+from paperloom.functions.text import lines, loose_key
 from paperloom.operators.ranking import chunk_profile
 
 SIZE, OVERLAP = 1800, 200
@@ -18,6 +18,8 @@ SIZE, OVERLAP = 1800, 200
 SEPARATORS = (r"\n(?=#{4,6}[ \t]+)", r"\n{2,}", r"\n", "。", r"\. ", " ", "")
 NAVIGATION = ("contents", "table of contents", "test your knowledge")
 PARSER, SPLITTER = "paperloom", "recursive_character"
+HEADING = r"(?mUd)^(#{1,6})\s+(.+?)\s*$"
+MARKS = "|*-_`# "
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -70,19 +72,20 @@ def splitter(size: int = SIZE, overlap: int = OVERLAP):
 
 def found_subheadings(text: Column, known: Column) -> Column:
     """Known subheadings that occur as headings of text, in their own spelling."""
-    heads = F.transform(F.filter(lines(text), lambda x: x.rlike(r"^#{1,6}[ \t]+\S")), lambda x: F.lower(F.btrim(F.btrim(F.regexp_replace(x, r"^#{1,6}[ \t]+", "")), F.lit("#* "))))
-    canonical = F.transform(heads, lambda h: F.get(F.filter(known, lambda k: F.lower(k) == h), F.lit(0)))
+    heads = F.transform(F.regexp_extract_all(text, F.lit(HEADING), F.lit(2)), lambda x: F.lower(F.btrim(x)))
+    spelt = lambda h: F.filter(known, lambda k: F.lower(k) == h)
+    canonical = F.transform(heads, lambda h: F.get(spelt(h), F.size(spelt(h)) - 1))
     return F.array_distinct(F.array_compact(canonical))
 
 
 def meaningful(text: Column, titles: Column) -> Column:
-    """Whether a line is left that is no heading, image, comment, page number
-    or structural title, and has a letter or digit."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"!\[[^\]]*\]\([^)]*\)", "")
-    key = lambda x: F.regexp_replace(F.lower(x), r"(?U)[^\w]+", "")
-    known = F.transform(titles, key)
-    counts = lambda x: ~x.rlike(r"^\s*#{1,6}[ \t]") & x.rlike(r"[\p{L}\p{N}]") & ~x.rlike(r"(?i)^\s*(page\s*)?\d+\s*$") & ~F.array_contains(known, key(x))
-    return F.exists(lines(bare), counts)
+    """Whether, without headings, images and comments, a line is left that,
+    stripped of MARKS, is neither a number nor one of the structural titles (of
+    the section and its path), and has a letter or digit."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, HEADING, ""), r"!\[[^\]]*\]\([^)]*\)", ""), r"(?s)<!--.*?-->", "")
+    known = F.transform(titles, loose_key)
+    inner = F.transform(lines(bare), lambda x: F.btrim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), F.lit(MARKS)))
+    return F.exists(inner, lambda x: x.rlike(r"[\p{L}\p{N}]") & ~x.rlike(r"(?U)^\s*\d+\s*$") & ~F.array_contains(known, loose_key(x)))
 
 
 def chunk_sections(sections: DataFrame, profiles: DataFrame | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -99,7 +102,7 @@ def chunk_sections(sections: DataFrame, profiles: DataFrame | None = None, size:
     cut = cut.withColumn("_subs", found_subheadings(F.col("chunk"), F.coalesce("subheadings", empty)))
     w = Window.partitionBy("section_id").orderBy("_pos")
     cut = cut.withColumn("subheading", F.last(F.when(F.size("_subs") > 0, F.element_at("_subs", -1)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = cut.where(meaningful(F.col("chunk"), F.concat(F.array("title"), F.coalesce("path", empty), F.coalesce("subheadings", empty))))
+    kept = cut.where(meaningful(F.col("chunk"), F.filter(F.concat(F.array("title"), F.coalesce("path", empty)), lambda t: F.coalesce(t, F.lit("")) != "")))
     kept = kept.withColumn("chunk_index", F.row_number().over(w))
     shown = F.when(F.size("_subs") > 0, F.col("_subs")).when(F.col("subheading").isNotNull(), F.array("subheading")).otherwise(empty)
     return kept.select(

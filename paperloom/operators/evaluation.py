@@ -61,8 +61,10 @@ def annotation_violations(cases: DataFrame, sections: DataFrame, positives_per_d
 
 def normalised_case(cases: DataFrame) -> DataFrame:
     """Inputs, reference outputs and metadata of evaluation cases; a missing id
-    is its place."""
+    is its place in the file, and a case without a query is an error."""
     place = F.concat(F.lit("case_"), F.col("_ord").cast("string"))
+    told = F.raise_error(F.concat(F.lit("an evaluation case has no query: "), F.coalesce("case_id", place)))
+    cases = cases.withColumn("query", F.when(F.coalesce("query", F.lit("")) != "", F.col("query")).otherwise(told.cast("string")))
     return cases.select(
         F.coalesce("case_id", place).alias("case_id"), F.struct("query", "question_type", "required_knowledge").alias("inputs"),
         F.struct("expected_title", "expected_path_contains").alias("reference"), F.struct(F.coalesce("case_id", place).alias("case_id"), "question_type").alias("metadata"),

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.functions.text import table_tokens
+from paperloom.functions.text import plain, table_tokens
 
 ROWS = "array<array<string>>"
+#: How tables are found in text: fixed values.
+MARKDOWN_TABLE = r"(?ms)(?:^|\n)(\|[^\n]+\|\n\|[-:| ]+\|\n(?:\|[^\n]+\|\n?)+)"
+HTML_TABLE, HTML_ROW, HTML_CELL = r"(?is)<table\b.*?</table>", r"(?is)<tr\b.*?</tr>", r"(?is)<t[dh]\b.*?</t[dh]>"
 
 
 def markdown_cells(table: Column) -> Column:
@@ -18,16 +21,17 @@ def markdown_cells(table: Column) -> Column:
 
 
 def html_cells(table: Column) -> Column:
-    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.btrim(F.regexp_replace(c, "<[^>]+>", ""))))
+    rows = F.regexp_extract_all(table, F.lit(HTML_ROW), F.lit(0))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(HTML_CELL), F.lit(0)), plain))
 
 
 def markdown_tables(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?m)(?:^[ \t]*\|.*(?:\n|\z)){2,}"), F.lit(0))
+    """Blocks of lines between bars whose second line is a separator."""
+    return F.regexp_extract_all(text, F.lit(MARKDOWN_TABLE), F.lit(1))
 
 
 def html_tables(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?is)<table.*?</table>"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(HTML_TABLE), F.lit(0))
 
 
 def clean_rows(rows: Column) -> Column:
@@ -40,7 +44,7 @@ def _reasons(*rules: tuple[Column, str]) -> Column:
 
 
 def table_check(rows: Column) -> Column:
-    """struct(columns, empty_ratio, fragmented_ratio, consistent, reasons, quality)."""
+    """struct(rows, columns, empty_ratio, fragmented_ratio, consistent, reasons, quality)."""
     widths = F.transform(rows, lambda r: F.size(r))
     cells = F.flatten(rows)
     filled = F.filter(cells, lambda c: c != "")
@@ -49,19 +53,24 @@ def table_check(rows: Column) -> Column:
     short = F.size(F.filter(filled, lambda c: F.length(c) <= 3)) / F.greatest(F.size(filled), F.lit(1))
     consistent = F.size(F.array_distinct(F.filter(widths, lambda w: w > 0))) <= 1
     reasons = _reasons((columns < 2, "single_column"), (empty > 0.45, "empty_cells"), (short > 0.45, "fragmented_cells"), (~consistent, "inconsistent_columns"))
-    return F.struct(columns.alias("columns"), F.round(empty, 3).alias("empty_ratio"), F.round(short, 3).alias("fragmented_ratio"), consistent.alias("consistent"), reasons.alias("reasons"), F.when(F.size(reasons) > 0, "low").otherwise("good").alias("quality"))
+    return F.struct(F.size(rows).alias("rows"), columns.alias("columns"), F.round(empty, 3).alias("empty_ratio"), F.round(short, 3).alias("fragmented_ratio"), consistent.alias("consistent"), reasons.alias("reasons"), F.when(F.size(reasons) > 0, "low").otherwise("good").alias("quality"))
 
 
 def page_tables(pages: DataFrame) -> DataFrame:
     """(document_id, page, table_id, check): Markdown tables first, then HTML."""
-    found = F.concat(F.transform(markdown_tables(F.col("text")), markdown_cells), F.transform(html_tables(F.col("text")), html_cells))
-    rows = pages.select("document_id", "page", F.posexplode(found).alias("i", "rows"))
+    rows = pages.select("document_id", "page", F.posexplode(text_tables(F.col("text"))).alias("i", "rows"))
     return rows.select("document_id", "page", F.format_string("p%d_t%d", "page", F.col("i") + 1).alias("table_id"), table_check(F.col("rows")).alias("check"))
 
 
+def text_tables(text: Column) -> Column:
+    """Cells of the tables of a text, Markdown ones first."""
+    return F.concat(F.transform(markdown_tables(text), markdown_cells), F.transform(html_tables(text), html_cells))
+
+
 def candidate_quality(rows: Column, words: Column, watermark_keys: Column) -> Column:
     """struct(score, quality, columns, consistency, empty_ratio, short_ratio,
-    coverage, watermark_rate, reasons) of an extracted grid."""
+    coverage, watermark_rate, reasons) of an extracted grid.  One of fewer than
+    two rows or without columns has failed, and is empty in every measure."""
     rows = clean_rows(rows)
     widths = F.transform(rows, lambda r: F.size(r))
     columns, n = F.coalesce(F.array_max(widths), F.lit(0)), F.size(rows)
@@ -80,10 +89,14 @@ def candidate_quality(rows: Column, words: Column, watermark_keys: Column) -> Co
     bounded = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     score = F.round(bounded(0.35 * consistency + 0.25 * (1 - empty) + 0.15 * (1 - short) + 0.25 * coverage - 0.20 * rate), 3)
     void = (n < 2) | (columns == 0)
-    reasons = F.when(void, F.array(F.lit("too_few_rows"))).otherwise(_reasons((columns < 2, "single_column"), (empty > 0.45, "empty_cells"), (consistency < 0.75, "inconsistent_columns"), (short > 0.45, "fragmented_cells"), (coverage < 0.55, "low_coverage"), (rate > 0.10, "watermark_contamination")))
+    reasons = F.when(n < 2, F.array(F.lit("fewer_than_two_rows"))).when(columns == 0, F.array(F.lit("no_columns"))).otherwise(_reasons((columns < 2, "single_column"), (empty > 0.45, "empty_cells"), (consistency < 0.75, "inconsistent_columns"), (short > 0.45, "fragmented_cells"), (coverage < 0.55, "low_source_coverage"), (rate > 0.10, "watermark_contamination")))
     score = F.when(void, 0.0).otherwise(score)
     quality = F.when(void, "failed").otherwise(graded(score, F.size(reasons) == 0))
-    return F.struct(score.alias("score"), quality.alias("quality"), columns.alias("columns"), F.round(consistency, 3).alias("consistency"), F.round(empty, 3).alias("empty_ratio"), F.round(short, 3).alias("short_ratio"), F.round(coverage, 3).alias("coverage"), F.round(rate, 3).alias("watermark_rate"), reasons.alias("reasons"))
+    told = lambda x, none: F.when(void, F.lit(none)).otherwise(x)
+    return F.struct(
+        score.alias("score"), quality.alias("quality"), columns.alias("columns"), told(consistency, 0.0).alias("consistency"), told(empty, 1.0).alias("empty_ratio"), told(short, 1.0).alias("short_ratio"),
+        told(coverage, 0.0).alias("coverage"), told(rate, 0.0).alias("watermark_rate"), reasons.alias("reasons"),
+    )
 
 
 def graded(score: Column, clean: Column) -> Column:

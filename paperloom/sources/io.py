@@ -79,9 +79,19 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Cases of one or several shards, with their place as _ord."""
-    df = read_array(spark, paths, schemas.CASES)
-    return df.withColumn("_ord", F.row_number().over(Window.orderBy("case_id")))
+    """Cases of one or several shards, with their place in their file as _ord,
+    from 1."""
+    fields = ", ".join("{}: {}".format(*c.strip().split(" ", 1)) for c in schemas.CASES.split(", "))
+    whole = spark.read.option("wholetext", True).text(paths)
+    listed = F.from_json("value", f"array<struct<{fields}>>", {"mode": "FAILFAST"})
+    return whole.select(F.posexplode(listed).alias("_at", "c")).select("c.*", (F.col("_at") + 1).alias("_ord"))
+
+
+def read_shards(spark: SparkSession, paths: list[str], expected: int = 4) -> DataFrame:
+    """Annotated cases of exactly `expected` shards."""
+    if len(paths) != expected:
+        raise ValueError(f"{expected} shards are needed, not {len(paths)}")
+    return read_cases(spark, paths)
 
 
 def read_table(spark: SparkSession, path: str, defaults: dict[str, Column] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def test_page_ladder(spark):
 def test_text_helpers(spark):
     row = spark.createDataFrame([("Hello, 世界 A1! Straße",)], "t string").select(
         T.tokens(F.col("t")).alias("tok"), T.language(F.col("t")).alias("l"), T.title_key(F.col("t")).alias("k"), T.line_key(F.col("t")).alias("lk"), T.clean_title(F.lit("  ## A   title ## ")).alias("c"), T.plain(F.lit("<b>a</b>\n b")).alias("p"),
-        T.redacted(F.lit("x"), "api_key").alias("r"), F.length(T.redacted(F.lit("y" * 300), "query")).alias("n"), T.table_tokens(F.lit("ab a AB 12")).alias("tt"), F.size(T.lines(F.lit("a\x0cb\u2028c\r\nd"))).alias("ln"),
+        T.redacted(F.lit("x"), "document").alias("r"), F.length(T.redacted(F.lit("y" * 300), "question")).alias("n"), T.table_tokens(F.lit("ab a AB 12")).alias("tt"), F.size(T.lines(F.lit("a\x0cb\u2028c\r\nd"))).alias("ln"),
     ).first()
     assert row.tok == ["hello", "世", "界", "a1", "stra", "e"] and row.l == "zh" and row.k == "hello世界a1strasse" and row.lk == "helloa1strae"
     assert (row.c, row.p, row.r, row.n, row.tt, row.ln) == ("A title", "a b", "[redacted]", 257, ["ab", "12"], 4)
@@ -38,30 +38,57 @@ def picture(*lines):
     return "before <!-- Start of picture text -->" + "<br>".join(lines) + "<!-- End of picture text --> after"
 
 
+PARSING = "struct<status:string,strategy:string,selected_replacement_ratio:double,ocr_used:boolean>"
+FINE = ("complete", "markdown", 0.0, False)
+
+
+def raw_pages(spark, *rows):
+    return spark.createDataFrame([(d, p, t, x, "clash") for d, p, t, x in rows], f"document_id string, page int, text string, parsing {PARSING}, kept string")
+
+
 def test_repeat_rule_beats_noise_rule(spark):
-    pages = spark.createDataFrame([("D", p, picture(f"Caption {p} long", "Protected by copyright", "x")) for p in (1, 2, 3)], "document_id string, page int, text string")
-    rows = cleaning.exploded_lines(pages)
-    got = cleaning.cleaned_pages(cleaning.judged_lines(rows, cleaning.repeated_keys(rows))).orderBy("page").collect()
-    assert [r.text for r in got] == ["Caption 1 long", "Caption 2 long", "Caption 3 long"]
+    pages = raw_pages(spark, *[("D", p, picture(f"Caption {p} long", "Protected by copyright", "x"), FINE) for p in (1, 2, 3)])
+    got = cleaning.cleaned_pages(pages).orderBy("page").collect()
+    assert [r.text for r in got] == [f"before <!-- Start of picture text -->\nCaption {p} long\n<!-- End of picture text --> after" for p in (1, 2, 3)]
     assert sum(r.watermark_removed for r in got) == 6 and sum(r.image_internal_text_removed for r in got) == 0
 
 
+def test_page_text_is_kept(spark):
+    whole = "# Head\nBody prose.\n" + picture("a caption").removeprefix("before ") + "\nTail. " + picture("copyright", "ab") + picture() + "\n"
+    got = {r.page: r for r in cleaning.cleaned_pages(raw_pages(spark, ("D", 1, whole, FINE), ("D", 2, "no block $1 \\ here", FINE), ("D", 3, None, None), (None, None, "loose", FINE))).collect()}
+    assert len(got) == 4 and got[2].text == "no block $1 \\ here" and got[3].text == "" and got[None].text == "loose"
+    assert got[1].text == "# Head\nBody prose.\n<!-- Start of picture text -->\na caption\n<!-- End of picture text --> after\nTail. before  afterbefore  after\n"
+    assert (got[1].watermark_removed, got[1].image_internal_text_removed, got[1].raw_chars) == (1, 1, len(whole))
+    assert cleaning.cleaned_pages(raw_pages(spark, ("D", 1, "x", FINE)).limit(0)).count() == 0
+
+
 def test_noise_digits_and_geometry(spark):
-    pages = spark.createDataFrame([("D", 1, picture("ab", "a1", "Rotated mark"))], "document_id string, page int, text string")
+    pages = raw_pages(spark, ("D", 1, picture("ab", "a1", "Rotated mark"), FINE), ("D", 2, picture("Rotated mark"), FINE))
     spans = spark.createDataFrame([("D", 1, "Rotated mark", 1.0, 1.0)] * 20 + [("D", 2, "Level", 1.0, 0.0)] * 30 + [("D", 3, "Few", 1.0, 1.0)] * 19, "document_id string, page int, text string, dx double, dy double")
     keys = cleaning.geometry_keys(spans)
-    assert [r.line_key for r in keys.collect()] == ["rotatedmark"]
-    fates = {r.line: r.fate for r in cleaning.judged_lines(cleaning.exploded_lines(pages), cleaning.repeated_keys(cleaning.exploded_lines(pages)), keys).collect()}
-    assert fates == {"ab": "image_noise", "a1": "kept", "Rotated mark": "geometry_watermark"}
+    assert [(r.page, r.line_key) for r in keys.collect()] == [(1, "rotatedmark")]
+    assert [(r.pages, r.turned) for r in cleaning.turned_lines(spans).collect()] == [(1, 20)]
+    fates = {(r.page, r.line): r.fate for r in cleaning.judged_lines(cleaning.exploded_lines(pages), cleaning.repeated_keys(cleaning.exploded_lines(pages)), keys).collect()}
+    assert fates == {(1, "ab"): "image_noise", (1, "a1"): "kept", (1, "Rotated mark"): "geometry_watermark", (2, "Rotated mark"): "kept"}
+    got = {r.page: r for r in cleaning.process_pages(pages, keys).collect()}
+    assert (got[1].geometry_watermark_removed, got[1].watermark_removed, got[1].image_internal_text_removed, got[1].geometry_watermark_detected) == (1, 1, 1, True)
+    assert "Rotated mark" in got[2].text and not got[2].geometry_watermark_detected
 
 
 def test_gate_and_document_report(spark):
-    rows = [("D", 1, "fine", "complete", None, False, 0.0, 0, 0), ("D", 2, "fine", "complete", "markdown_empty", False, 0.0, 1, 0), ("D", 3, "fine", "failed", "no_extractable_text", True, 0.0, 0, 0), ("D", 4, "protected by COPYRIGHT", "complete", None, False, 0.0, 0, 0), ("D", 5, "t", "complete", None, False, 0.0, 0, 1)]
-    df = cleaning.gated(spark.createDataFrame(rows, "document_id string, page int, text string, parsing_status string, fallback_reason string, ocr_used boolean, selected_replacement_ratio double, low_tables int, failed_tables int"))
-    assert [r.rag_text_status for r in df.orderBy("page").collect()] == ["pass", "warning", "quarantine", "quarantine", "quarantine"]
-    r = cleaning.document_report(df).first()
-    assert (r.pages, r.passed, r.warned, r.quarantined, r.fallback_pages, r.ocr_pages, r.failed_pages) == (5, 1, 1, 3, 2, 1, 1)
-    assert r.warnings == sorted(["failed_table", "low_quality_table", "ocr_used", "parser_failed", "parser_fallback", "watermark_in_text"])
+    poor = "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |\n"
+    rows = [
+        ("D", 1, "fine\n" + poor, FINE), ("D", 2, "fine", ("complete", "plain_text", 0.0, False)), ("D", 3, "fine", ("failed", "ocr", 0.5, True)),
+        ("D", 4, "protected by COPYRIGHT", FINE), ("D", 5, "t", FINE), ("D", 6, "no provenance", None), ("D", 7, "t", FINE),
+    ]
+    extracted = spark.createDataFrame([("D", 5, "failed"), ("D", 7, "warning")], "document_id string, page int, selected_status string")
+    pages = cleaning.process_pages(raw_pages(spark, *rows), table_pages=extracted)
+    got = {r.page: r for r in pages.collect()}
+    assert [got[i].rag_text_status for i in range(1, 8)] == ["pass", "warning", "quarantine", "quarantine", "quarantine", "pass", "warning"]
+    assert got[3].warnings == ["parser_fallback", "ocr_used", "parser_failed", "corrupted_text"] and got[1].low_quality_tables == got[1].table_count == 1 and got[5].table_detected and not got[1].table_detected
+    r = cleaning.document_report(pages).first()
+    assert (r.page_count, r.normal_pages, r.warning_pages, r.failed_pages, r.parser_fallback_pages, r.ocr_pages, r.parser_failed_pages, r.watermark_in_text_pages, r.table_count, r.low_quality_tables) == (7, 2, 2, 3, 2, 1, 1, 1, 1, 1)
+    assert r.warnings == ["corrupted_text", "failed_table", "low_quality_table", "ocr_used", "parser_failed", "parser_fallback", "watermark_in_text"]
 
 
 def test_watermark_region(spark):
@@ -73,10 +100,11 @@ def test_watermark_region(spark):
 def test_page_tables(spark):
     md = "| Name | Value | Unit |\n|---|---|---|\n| Pressure | Twelve | Millibar |\n"
     poor = "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |\n"
-    html = "<table><tr><td>One thing</td></tr></table>"
-    pages = spark.createDataFrame([("D", 1, md), ("D", 2, poor + "\n" + html)], "document_id string, page int, text string")
+    html = "<table><tr><td>One <b>thing</b></td></tr></table>"
+    pages = spark.createDataFrame([("D", 1, md), ("D", 2, poor + "\n" + html), ("D", 3, "| no separator |\n| so no table |\n")], "document_id string, page int, text string")
     got = {r.table_id: r.check for r in tables.page_tables(pages).collect()}
     assert got["p1_t1"].quality == "good" and got["p1_t1"].columns == 3
+    assert len(got) == 3 and got["p1_t1"].rows == 2
     assert got["p2_t1"].reasons == ["fragmented_cells"] and got["p2_t2"].reasons == ["single_column"]
 
 
@@ -84,11 +112,24 @@ def test_candidate_quality(spark):
     full = [["Name", "Value", "Unit"], ["Pressure", "Twelve", "Millibar"], ["Torque", "Thirty", "Newton"]]
     holed = [["Name", "Value", "Unit"], ["Pressure", None, "Millibar"], ["Torque", " ", "Newton"]]
     words = [c for r in full for c in r]
-    df = spark.createDataFrame([(full, words, []), (holed, ["mark"] * 3 + words, ["watermark"]), ([["a"]], ["a"], [])], "rows array<array<string>>, words array<string>, keys array<string>")
-    a, b, c = (r[0] for r in df.select(tables.candidate_quality(F.col("rows"), F.col("words"), F.col("keys"))).collect())
+    df = spark.createDataFrame([(full, words, []), (holed, ["mark"] * 3 + words, ["watermark"]), ([["a"]], ["a"], []), ([[], []], ["a"], [])], "rows array<array<string>>, words array<string>, keys array<string>")
+    a, b, c, d = (r[0] for r in df.select(tables.candidate_quality(F.col("rows"), F.col("words"), F.col("keys"))).collect())
     assert a.score >= 0.8 and a.quality == "good" and (a.consistency, a.empty_ratio, a.coverage, a.watermark_rate, a.reasons) == (1.0, 0.0, 1.0, 0.0, [])
     assert b.score < a.score and b.quality in ("warning", "failed") and "watermark_contamination" in b.reasons
-    assert (c.score, c.quality) == (0.0, "failed")
+    for void, reason in ((c, "fewer_than_two_rows"), (d, "no_columns")):
+        assert (void.score, void.quality, void.consistency, void.empty_ratio, void.short_ratio, void.coverage, void.watermark_rate, void.reasons) == (0.0, "failed", 0.0, 1.0, 1.0, 0.0, 0.0, [reason])
+
+
+def test_meaningful_body(spark):
+    cases = [("#### Sub\nSub", True), ("| 12 |", False), ("Page 12", True), ("# Engine\n**Engine**", False), ("chapter", False), ("![x](y) <!-- c -->", False), ("--- \n `7` ", False), ("a body", True), ("", False), (None, None)]
+    df = spark.createDataFrame(cases, "t string, want boolean")
+    for r in df.select("t", "want", chunking.meaningful(F.col("t"), F.array(F.lit("Engine"), F.lit("Chapter"))).alias("got")).collect():
+        assert r.want is None or r.got is r.want, r
+
+
+def test_redaction_of_traces(spark):
+    row = spark.createDataFrame([({"query": "secret question", "Text": "x", "tokens": "12"}, ["a" * 300] * 30)], "m map<string,string>, a array<string>").select(T.redacted_map(F.col("m")).alias("m"), T.redacted_items(F.col("a")).alias("a"), T.redacted(F.lit("v"), "QUERY").alias("q"), T.redacted(F.lit("v"), "query_id").alias("i")).first()
+    assert row.m == {"query": "[redacted]", "Text": "[redacted]", "tokens": "12"} and len(row.a) == 20 and row.a[0] == "a" * 256 + "…" and (row.q, row.i) == ("[redacted]", "v")
 
 
 PAGE = "document_id string, page int, text string, toc_items array<struct<level:int,title:string,page:int>>, post_processing struct<rag_text_status:string,table_quality:string>, title string"
