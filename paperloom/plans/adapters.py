@@ -1,7 +1,7 @@
 """The supplied tables as the domain's views, and the same views in SQL.
 
 chunks: documents (section = source, content type and confidence by id, quality
-from labels); queries: eight words of each benchmark passage; samples: events;
+from labels); queries: the benchmark passages; samples: events;
 page lines: the headings and paragraphs of raw pages; grids: parts; tasks,
 resources and reservations: orders, suppliers and line items; order log: events.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators.sizing import small
 from paperloom.schemas import CONTENT_TYPES, QUESTION_TYPES
 
 
@@ -41,12 +42,11 @@ CHUNKS = f"""
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.split("text", r"[ \n]+"), 3, 8)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), _pick(QUESTION_TYPES, F.col("item_id") % 8).alias("question_type"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), _pick(QUESTION_TYPES, F.col("item_id") % 8).alias("question_type"))
 
 
 QUERIES = f"""
-  queries AS (SELECT item_id AS query_id, array_to_string(string_split_regex(text, '[ \\n]+')[3:10], ' ') AS query, {_sql_list(QUESTION_TYPES)}[item_id % 8 + 1] AS question_type FROM benchmark)"""
+  queries AS (SELECT item_id AS query_id, text AS query, {_sql_list(QUESTION_TYPES)}[item_id % 8 + 1] AS question_type FROM benchmark)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark is the stated query set."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return docs.join(F.broadcast(items), F.contains("text", "passage")).select("query_id", "doc_id").distinct()
+    return docs.join(small(items), F.contains("text", "passage")).select("query_id", "doc_id").distinct()
 
 
 RELEVANT = "\n  relevant AS (SELECT DISTINCT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"

@@ -160,7 +160,7 @@ def rrf_weight_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_by_slice(spark: SparkSession, d: str) -> DataFrame:
-    lang = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("language"))
+    lang = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.language(F.coalesce("text", F.lit(""))).alias("language"))
     return evaluation.metrics(stage_ranks(spark, d).join(lang, "query_id"), "language", "stage")
 
 
@@ -219,7 +219,7 @@ ORACLES = {
     "rank_delta": f"""{HYBRID} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS before_rank, b.final_rank AS after_rank, coalesce(a.rank, 21) - coalesce(b.final_rank, 21) AS delta
       FROM (SELECT * FROM rrf WHERE rank <= {TOP}) a FULL JOIN (SELECT * FROM reranked WHERE final_rank <= 10) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id""",
     "eval_metrics": f"{STAGE_RANKS} SELECT stage, {METRICS} FROM stage_ranks GROUP BY stage",
-    "eval_by_slice": f"{STAGE_RANKS} SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS language, stage, {METRICS} FROM stage_ranks GROUP BY ALL",
+    "eval_by_slice": f"{STAGE_RANKS} SELECT language, stage, {METRICS} FROM stage_ranks JOIN (SELECT item_id AS query_id, CASE WHEN regexp_matches(coalesce(text, ''), '[一-鿿]') THEN 'zh' ELSE 'en' END AS language FROM benchmark) USING (query_id) GROUP BY ALL",
     "reranker_effect": f"""{STAGE_RANKS}, wide AS (SELECT query_id, max(rank) FILTER (stage = 'rrf') AS rrf, max(rank) FILTER (stage = 'reranker') AS reranker FROM stage_ranks GROUP BY query_id)
       SELECT coalesce(question_type, 'overall') AS question_type, {_effect} FROM wide JOIN queries USING (query_id) GROUP BY ROLLUP (question_type)""",
     "bad_case_detect": BAD_CASE_SQL,
