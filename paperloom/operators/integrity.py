@@ -5,23 +5,118 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+BLOCK = 1024
 ARTIFACTS = ("raw_pages", "clean_pages", "sections", "chunks", "table_report", "quality_report")
 
 
-def canonical_hash(*fields: str | Column) -> Column:
-    """SHA-256 of the JSON of a struct whose fields stand in alphabetical order,
-    nulls kept; internal to this store, not a JSON canonical form of others."""
-    named = {f: F.col(f) for f in fields if isinstance(f, str)}
-    return F.sha2(F.to_json(F.struct(*[named[k].alias(k) for k in sorted(named)]), {"ignoreNullFields": "false"}), 256)
+def canonical_json(payload: Column, sparse: tuple[str, ...] = (), empty: tuple[str, ...] = ()) -> Column:
+    """JSON of a struct with sorted keys, no white space and characters as they
+    are, nulls kept; fields of `sparse` lose their null members, fields of
+    `empty` that are null are {}.  Key order and the form of numbers are not to
+    be had from the built-in writer."""
 
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            value = json.loads(text)
+            for k in sparse:
+                if isinstance(value.get(k), dict):
+                    value[k] = {m: x for m, x in value[k].items() if x is not None}
+            value |= {k: {} for k in empty if value.get(k) is None}
+            return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
-def merkle(rows: DataFrame, key: str, id_col: str, hash_col: str, out: str = "merkle_sha256") -> DataFrame:
-    """Hash of the sorted (id, hash) list of each key."""
-    pair = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(hash_col).alias("h"))))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(pair, lambda p: F.concat_ws(":", p["i"].cast("string"), p["h"])), ","), 256).alias(out))
+        return texts.map(one)
+
+    return run(F.to_json(payload, {"ignoreNullFields": "false"}))
+
+
+def canonical_hash(*fields: str, sparse: tuple[str, ...] = (), empty: tuple[str, ...] = ()) -> Column:
+    """SHA-256 of the canonical JSON of the named columns."""
+    return F.sha2(canonical_json(F.struct(*fields), sparse, empty), 256)
+
+
+_list = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+_text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+#: Fields that take part in the stored hashes: fixed values.
+DOCUMENT_FIELDS = ("id", "filename", "source_path", "source_sha256", "content_type", "metadata_confidence", "pipeline_version", "pipeline_fingerprint", "page_count", "section_count", "chunk_count")
+HASH_ALGORITHM = "sha256"
+
+
+def section_hash() -> Column:
+    """Of a section's content, over the columns of schemas.SECTIONS."""
+    payload = F.struct(F.col("section_id").alias("id"), "document_id", _text("title"), _list("path"), "level", "page_start", "page_end", _text("text"), _list("subheadings"), "quality", "boundary")
+    return F.sha2(canonical_json(payload, ("boundary",), ("quality", "boundary")), 256)
+
+
+def chunk_hash() -> Column:
+    """Of a chunk's content, over the columns of schemas.CHUNKS."""
+    plain = ["section_title", _list("section_path"), "section_level", "section_page_start", "section_page_end", "subheading", _list("subheadings"), _text("text")]
+    index_text = F.coalesce(F.nullif("index_text", F.lit("")), F.col("text"), F.lit("")).alias("index_text")
+    kind = F.coalesce(F.nullif("document_content_type", F.lit("")), F.lit("other")).alias("content_type")
+    payload = F.struct(F.col("chunk_id").alias("id"), "document_id", "section_id", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), kind, "metadata_confidence", *plain, index_text, "quality", "boundary", "parser", "splitter", "source_sha256")
+    return F.sha2(canonical_json(payload, ("boundary",), ("quality", "boundary")), 256)
+
+
+def document_hashes(documents: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, sections, chunks, computed_sha256): of each document the numbers of
+    its rows and the hash of its fields with the sorted (id, hash) pairs of its
+    sections and chunks, which carry content_sha256."""
+    def pairs(rows: DataFrame, id_col: str, name: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("a"), F.col("content_sha256").alias("b"))))  # one document's rows
+        return rows.groupBy(F.col("document_id").alias("id")).agg(F.transform(listed, lambda p: F.array(p["a"], p["b"])).alias(name))
+
+    none = F.array().cast("array<array<string>>")
+    both = documents.select(*DOCUMENT_FIELDS).join(pairs(sections, "section_id", "sections"), "id", "left").join(pairs(chunks, "chunk_id", "chunks"), "id", "left")
+    both = both.withColumns({c: F.coalesce(c, none) for c in ("sections", "chunks")})
+    return both.select("id", F.size("sections").alias("n_sections"), F.size("chunks").alias("n_chunks"), canonical_hash(*DOCUMENT_FIELDS, "sections", "chunks").alias("computed_sha256"))
+
+
+def verify_store(documents: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(violation, key) of everything whose stored hash or count is not that of
+    its content; no rows: the store is whole."""
+    now_s, now_c = sections.withColumn("_now", section_hash()), chunks.withColumn("_now", chunk_hash())
+    fresh = document_hashes(documents, now_s.withColumn("content_sha256", F.col("_now")), now_c.withColumn("content_sha256", F.col("_now")))
+    d = documents.select("id", "artifact_sha256", "hash_algorithm", "section_count", "chunk_count").join(fresh, "id")
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    parts = [
+        _named(d.where(~F.col("hash_algorithm").eqNullSafe(F.lit(HASH_ALGORITHM)) | F.col("artifact_sha256").isNull()), "no_active_hash", "id"), _named(now_s.where(differs("content_sha256", "_now")), "section_hash_mismatch", "section_id"),
+        _named(now_c.where(differs("content_sha256", "_now")), "chunk_hash_mismatch", "chunk_id"), _named(d.where(differs("section_count", "n_sections") | differs("chunk_count", "n_chunks")), "count_mismatch", "id"),
+        _named(d.where(differs("artifact_sha256", "computed_sha256")), "document_hash_mismatch", "id"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def to_import(stored: DataFrame, incoming: DataFrame, broken: DataFrame) -> DataFrame:
+    """(id, change) of incoming (id, artifact_sha256): imported where the stored
+    hash differs or is missing, or is equal but its document is in `broken`
+    (id), as verification found it; else skipped."""
+    was = stored.select("id", F.col("artifact_sha256").alias("_was")).dropDuplicates(["id"])
+    bad = broken.select("id").distinct().withColumn("_bad", F.lit(True))
+    keep = F.col("_was").eqNullSafe(F.col("artifact_sha256")) & F.col("_bad").isNull()
+    return incoming.join(was, "id", "left").join(bad, "id", "left").select("id", F.when(keep, "skipped").otherwise("imported").alias("change"))
+
+
+def _digest(pairs: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["i"].cast("string"), p["h"])), ","), 256)
+
+
+def merkle(rows: DataFrame, key: str, id_col: str, hash_col: str, block: Column, out: str = "merkle_sha256") -> DataFrame:
+    """Two levels of hashes: of the sorted (id, hash) list of each block of a
+    key, then of the sorted (block, hash) list.  A key of any size is grouped a
+    block at a time; a block holds as many ids as `block` gives it."""
+    listed = lambda a, b: F.array_sort(F.collect_list(F.struct(F.col(a).alias("i"), F.col(b).alias("h"))))
+    leaves = rows.withColumn("_b", block).groupBy(key, "_b").agg(F.count("*").alias("_n"), _digest(listed(id_col, hash_col)).alias("_h"))
+    return leaves.groupBy(key).agg(F.sum("_n").alias("n"), _digest(listed("_b", "_h")).alias(out))
 
 
 def fingerprint(settings: dict) -> str:

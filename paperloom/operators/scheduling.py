@@ -76,46 +76,84 @@ def starts(tasks: DataFrame, resources: DataFrame, reservations: DataFrame) -> D
     return every.where("end <= latest_end").select("task_id", "start", "end")
 
 
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...], width: str = "day") -> DataFrame:
+    """Pairs of left (*keys, start, end) and right (*keys, start_time, end_time)
+    rows whose half-open intervals overlap.  Both sides are spread over the
+    `width` steps of the calendar that they touch and joined on keys and step; a
+    pair counts in the step in which the later of the two begins, so once."""
+    def spread(df: DataFrame, a: str, b: str) -> DataFrame:
+        last = F.date_trunc(width, F.col(b) - F.expr("INTERVAL 1 MICROSECOND"))
+        return df.where(F.col(a) < F.col(b)).withColumn("_step", F.explode(F.sequence(F.date_trunc(width, a), last, F.expr(f"INTERVAL 1 {width}"))))
+
+    both = spread(left, "start", "end").join(spread(right, "start_time", "end_time"), [*keys, "_step"])
+    once = F.col("_step") == F.date_trunc(width, F.greatest("start", "start_time"))
+    return both.where(once & overlaps(F.col("start"), F.col("end"), F.col("start_time"), F.col("end_time"))).drop("_step")
+
+
+def free_intervals(resources: DataFrame, reservations: DataFrame) -> DataFrame:
+    """resources with free: what its ACTIVE reservations leave of each
+    availability, worked out once for each resource."""
+    slot = "array<struct<start:timestamp,end:timestamp>>"
+    booked = reservations.where("status = 'ACTIVE' and start_time < end_time").groupBy(F.col("resource_type").alias("kind"), F.col("resource_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("start_time").alias("start"), F.col("end_time").alias("end")))).alias("_booked"))
+    held = resources.join(booked, ["kind", "id"], "left").withColumn("_booked", F.coalesce("_booked", F.array().cast(slot)))
+
+    def left_of(a: Column) -> Column:
+        def step(acc: Column, r: Column) -> Column:
+            gap = F.array(F.struct(acc["at"].alias("start"), F.least(r["start"], a["end"]).alias("end")))
+            opens = (r["start"] > acc["at"]) & (acc["at"] < a["end"])
+            return F.struct(F.greatest(acc["at"], r["end"]).alias("at"), F.when(opens, F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+        whole = lambda acc: F.when(acc["at"] < a["end"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), a["end"].alias("end"))))).otherwise(acc["out"])
+        return F.aggregate("_booked", F.struct(a["start"].alias("at"), F.array().cast(slot).alias("out")), step, whole)
+
+    return held.withColumn("free", F.flatten(F.transform("availability", left_of))).drop("_booked")
+
+
 def plan(tasks: DataFrame, resources: DataFrame, reservations: DataFrame, vehicle: dict[str, str] | None = None) -> DataFrame:
     """One row per task: task_id, status, start, end, technician_id,
     workstation_id, equipment_ids, reasons.  vehicle: brand, store_id, category
-    and powertrain that a task must match."""
+    and powertrain that a task must match.
+
+    Every candidate start meets the resources of its store once; one grouping by
+    start holds the first free choice of each kind, and one by task the earliest
+    start that has all of them and what was missing throughout."""
     scope = F.lit(True)
     for k, v in (vehicle or {}).items():
         scope = scope & (F.col(k) == v)
+    none = F.array().cast("array<string>")
     tasks = tasks.withColumn("_scope", scope).withColumn("_fits", F.col("earliest_start") + _minutes(F.col("duration_minutes")) <= F.col("latest_end"))
-    tasks = tasks.withColumn("_types", F.array_sort(F.array_distinct(F.coalesce("required_equipment_types", F.array().cast("array<string>")))))
+    tasks = tasks.withColumn("_types", F.array_sort(F.array_distinct(F.coalesce("required_equipment_types", none))))
     open_ = tasks.where("_scope and _fits")
-    slots = starts(open_, resources, reservations)
-    wanted = slots.join(open_, "task_id")
-    available = F.exists("availability", lambda a: contains(a["start"], a["end"], F.col("start"), F.col("end")))
-    able = resources.withColumnRenamed("store_id", "_store").withColumnRenamed("type", "_type")
-    near = wanted.join(able, F.col("store_id") == F.col("_store")).where(available)
-    held = F.transform(F.filter(F.coalesce("abilities", F.array().cast("array<struct<skill:string,valid_from:timestamp,valid_until:timestamp>>")), lambda a: valid_throughout(a["valid_from"], a["valid_until"], F.col("start"), F.col("end"))), lambda a: a["skill"])
+    needs = open_.select("task_id", "store_id", "required_skills", F.coalesce("required_workstation_types", none).alias("_places"), "allowed_technician_ids", "_types")
+    slots = starts(open_, resources, reservations).join(needs, "task_id")
+    within = lambda spans: F.exists(spans, lambda a: contains(a["start"], a["end"], F.col("start"), F.col("end")))
+    able = free_intervals(resources, reservations).select(F.col("store_id").alias("_store"), "kind", "id", "ord", "type", "availability", "free", F.coalesce("abilities", F.array().cast("array<struct<skill:string,valid_from:timestamp,valid_until:timestamp>>")).alias("abilities"))
+    held = F.transform(F.filter("abilities", lambda a: valid_throughout(a["valid_from"], a["valid_until"], F.col("start"), F.col("end"))), lambda a: a["skill"])
     allowed = F.col("allowed_technician_ids").isNull() | F.array_contains("allowed_technician_ids", F.col("id"))
     fit = (
         F.when(F.col("kind") == "technician", allowed & has_all(F.col("required_skills"), held))
-        .when(F.col("kind") == "workstation", (F.size(F.coalesce("required_workstation_types", F.array().cast("array<string>"))) == 0) | F.array_contains("required_workstation_types", F.col("_type")))
-        .otherwise(F.array_contains("_types", F.col("_type")))
+        .when(F.col("kind") == "workstation", (F.size("_places") == 0) | F.array_contains("_places", F.col("type")))
+        .otherwise(F.array_contains("_types", F.col("type")))
     )
-    near = near.where(fit).select("task_id", "start", "end", "kind", "id", "ord", F.col("_type").alias("type"))
-    busy = conflicts(near, reservations).select("task_id", "start", "kind", "id").withColumn("_busy", F.lit(True))
-    near = near.join(busy, ["task_id", "start", "kind", "id"], "left")
-    free = near.where("_busy is null")
-    first = lambda d, kind: d.where(F.col("kind") == kind).groupBy("task_id", "start").agg(F.min_by("id", "ord").alias(f"{kind}_id"))
+    near = slots.join(able, F.col("store_id") == F.col("_store")).where(within("availability")).where(fit)
+    near = near.select("task_id", "start", "kind", "id", "ord", "type", within("free").alias("free"))
+    first = lambda kind: F.min_by("id", F.when((F.col("kind") == kind) & F.col("free"), F.col("ord")))
+    found = near.groupBy("task_id", "start").agg(
+        first("technician").alias("technician_id"), first("workstation").alias("workstation_id"), F.bool_or(F.col("kind") == "technician").alias("t"), F.bool_or(F.col("kind") == "workstation").alias("w"),
+        F.collect_list(F.when(F.col("kind") == "equipment", F.struct("type", "free", "ord", "id"))).alias("_devices"),  # of one store
+    )
+    at = slots.select("task_id", "start", "end", "_types").join(found, ["task_id", "start"], "left").withColumn("_devices", F.coalesce("_devices", F.array().cast("array<struct<type:string,free:boolean,ord:int,id:string>>")))
     # different types hold different devices, so the first free one of each type is the first free choice
-    devices = lambda d: d.where("kind = 'equipment'").groupBy("task_id", "start", "type").agg(F.min_by("id", "ord").alias("id")).groupBy("task_id", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("type", "id"))), lambda x: x["id"]).alias("equipment_ids"))
-    base = slots.join(open_.select("task_id", F.size("_types").alias("_n")), "task_id")
-    full = F.col("_n") == F.size(F.coalesce("equipment_ids", F.array().cast("array<string>")))
-    chosen = base.join(first(free, "technician"), ["task_id", "start"]).join(first(free, "workstation"), ["task_id", "start"]).join(devices(free), ["task_id", "start"], "left").where(full)
-    chosen = chosen.withColumn("_k", F.row_number().over(Window.partitionBy("task_id").orderBy("start"))).where("_k = 1")
-    chosen = chosen.select("task_id", "start", "end", "technician_id", "workstation_id", F.coalesce("equipment_ids", F.array().cast("array<string>")).alias("equipment_ids"))
-    seen = base.join(near.groupBy("task_id", "start").agg(F.bool_or(F.col("kind") == "technician").alias("t"), F.bool_or(F.col("kind") == "workstation").alias("w")), ["task_id", "start"], "left").join(devices(near), ["task_id", "start"], "left")
-    seen = seen.groupBy("task_id").agg(F.bool_or(F.coalesce("t", F.lit(False))).alias("t"), F.bool_or(F.coalesce("w", F.lit(False))).alias("w"), F.bool_or(full).alias("e"))
+    device = lambda ty: F.array_min(F.transform(F.filter("_devices", lambda d: (d["type"] == ty) & d["free"]), lambda d: F.struct(d["ord"], d["id"])))["id"]
+    at = at.withColumns({"equipment_ids": F.transform("_types", device), "e": F.forall("_types", lambda ty: F.exists("_devices", lambda d: d["type"] == ty))})
+    complete = F.col("technician_id").isNotNull() & F.col("workstation_id").isNotNull() & F.forall("equipment_ids", lambda i: i.isNotNull())
+    best = F.min(F.when(complete, F.struct("start", "end", "technician_id", "workstation_id", "equipment_ids")))
+    by_task = at.groupBy("task_id").agg(best.alias("b"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in "twe"])
+    out = tasks.join(by_task, "task_id", "left")
     missing = F.array_compact(F.array(F.when(~F.col("t"), "no_qualified_technician"), F.when(~F.col("w"), "no_compatible_workstation"), F.when(~F.col("e"), "no_required_equipment")))
-    out = tasks.join(chosen, "task_id", "left").join(seen, "task_id", "left")
-    reasons = F.when(~F.col("_scope"), F.array(F.lit("scope_mismatch"))).when(~F.col("_fits"), F.array(F.lit("window_too_short"))).when(F.col("start").isNotNull(), F.array().cast("array<string>")).when(F.size(missing) > 0, missing).otherwise(F.array(F.lit("resource_conflict"), F.lit("no_available_time")))
-    return out.select("task_id", F.when(F.col("start").isNotNull(), "FEASIBLE").otherwise("INFEASIBLE").alias("status"), "start", "end", "technician_id", "workstation_id", "equipment_ids", reasons.alias("reasons"))
+    done = F.col("b").isNotNull()
+    reasons = F.when(~F.col("_scope"), F.array(F.lit("scope_mismatch"))).when(~F.col("_fits"), F.array(F.lit("window_too_short"))).when(done, none).when(F.size(missing) > 0, missing).otherwise(F.array(F.lit("resource_conflict"), F.lit("no_available_time")))
+    return out.select("task_id", F.when(done, "FEASIBLE").otherwise("INFEASIBLE").alias("status"), "b.start", "b.end", "b.technician_id", "b.workstation_id", "b.equipment_ids", reasons.alias("reasons"))
 
 
 def invalid(tasks: DataFrame) -> DataFrame:

@@ -43,12 +43,13 @@ def release_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bad_case_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Labels as the stored state, documents as what is found now."""
+    """Labels as the stored state (of two reasons), documents as what is found now."""
+    reason = F.when(F.col("quality") == 0, "low_quality").otherwise("empty")
     stored = table(spark, d, "labels").select(
-        F.concat(F.col("doc_id").cast("string"), F.lit(":retrieval:empty")).alias("key"), F.col("doc_id").cast("string").alias("case_id"), F.lit("retrieval").alias("failure_stage"), F.lit("empty").alias("reason"), F.lit("v1").alias("introduced_by_version"), F.lit(False).alias("safety"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(":retrieval:"), reason).alias("key"), F.col("doc_id").cast("string").alias("case_id"), F.lit("retrieval").alias("failure_stage"), reason.alias("reason"), F.lit("v1").alias("introduced_by_version"), F.lit(False).alias("safety"),
         F.when(F.col("toxic") == 1, "FIXED").when(F.col("quality") == 1, "CONFIRMED").otherwise("OPEN").alias("status"), F.when(F.col("quality") == 1, "bm25").alias("root_cause"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("updated_at"),
     )
-    found = table(spark, d, "documents").where("doc_id % 3 = 0").select(
+    found = table(spark, d, "documents").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":retrieval:empty")).alias("key"), F.col("doc_id").cast("string").alias("case_id"), F.lit("retrieval").alias("failure_stage"), F.lit("empty").alias("reason"), F.lit("v2").alias("introduced_by_version"), F.lit(False).alias("safety")
     )
     out = monitoring.upsert_bad_cases(stored, found, F.lit("2024-02-01 00:00:00").cast("timestamp"))
@@ -80,10 +81,41 @@ CITATION_SQL = """
 
 def _hashed(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").select("doc_id", "source", F.sha2(text, 256).alias("content_sha256"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return table(spark, d, "documents").select("doc_id", "source", "lang", F.sha2(text, 256).alias("content_sha256"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-HASHED = "h AS (SELECT doc_id, source, sha256(concat_ws('|', doc_id::VARCHAR, coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS content_sha256, sha256(coalesce(text, '')) AS text_sha256 FROM documents)"
+HASHED = "h AS (SELECT doc_id, source, lang, sha256(concat_ws('|', doc_id::VARCHAR, coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS content_sha256, sha256(coalesce(text, '')) AS text_sha256 FROM documents)"
+
+
+def canonical_hash(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("share", F.col("doc_id") / 8)
+    return docs.select("doc_id", integrity.canonical_hash("doc_id", "text", "lang", "source", "share").alias("canonical_sha256"))
+
+
+def _store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sources as documents, their rows by language as sections, rows as chunks;
+    every thirteenth chunk was changed after its hash was taken."""
+    docs = table(spark, d, "documents").where("source is not null").withColumn("section_id", F.concat_ws(":s", "source", F.coalesce("lang", F.lit("none"))))
+    quality = F.struct(F.lit("pass").alias("rag_text_status"), F.lit(None).cast("string").alias("table_quality"))
+    boundary = F.struct(F.lit("implicit").alias("source"), F.lit(0.5).alias("confidence"), F.lit(None).cast("int").alias("page"))
+    none = F.lit(None).cast("string")
+    sections = docs.groupBy("section_id", F.col("source").alias("document_id"), F.col("lang").alias("title")).agg(F.max("n_chars").cast("int").alias("level")).select("section_id", "document_id", "title", F.array("title").alias("path"), "level", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("").alias("text"), F.array().cast("array<string>").alias("subheadings"), quality.alias("quality"), boundary.alias("boundary"))
+    chunks = docs.select(
+        F.concat_ws(":c", "section_id", "doc_id").alias("chunk_id"), F.col("source").alias("document_id"), none.alias("document_content_type"), F.lit(0.95).alias("metadata_confidence"), "section_id", F.col("lang").alias("section_title"), F.array("lang").alias("section_path"), F.lit(1).alias("section_level"), F.lit(1).alias("section_page_start"), F.lit(1).alias("section_page_end"),
+        F.lit(1).alias("chunk_index"), none.alias("subheading"), F.array().cast("array<string>").alias("subheadings"), "text", none.alias("index_text"), quality.alias("quality"), boundary.alias("boundary"), none.alias("parser"), none.alias("splitter"), none.alias("source_sha256"), "doc_id",
+    )
+    sections, chunks = sections.withColumn("content_sha256", integrity.section_hash()), chunks.withColumn("content_sha256", integrity.chunk_hash())
+    counts = sections.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("section_count")).join(chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("chunk_count")), "id")
+    named = counts.select("id", none.alias("filename"), none.alias("source_path"), none.alias("source_sha256"), F.lit("other").alias("content_type"), F.lit(0.95).alias("metadata_confidence"), F.lit(4).alias("pipeline_version"), none.alias("pipeline_fingerprint"), F.lit(1).alias("page_count"), "section_count", "chunk_count")
+    made = integrity.document_hashes(named, sections, chunks).select("id", F.col("computed_sha256").alias("artifact_sha256"))
+    documents = named.join(made, "id").withColumn("hash_algorithm", F.lit(integrity.HASH_ALGORITHM))
+    changed = chunks.withColumn("text", F.when(F.col("doc_id") % 13 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    return documents, sections, changed
+
+
+def store_verify(spark: SparkSession, d: str) -> DataFrame:
+    """What verification finds: each changed chunk, and the document of each."""
+    return integrity.verify_store(*_store(spark, d))
 
 
 def referential_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -115,9 +147,10 @@ REFERENTIAL_SQL = """
 
 
 def incremental_changed(spark: SparkSession, d: str) -> DataFrame:
-    h = _hashed(spark, d).select(F.col("doc_id").alias("document_id"), F.col("content_sha256").alias("artifact_sha256"))
-    stored = h.where("document_id % 10 != 0").withColumn("artifact_sha256", F.when(F.col("document_id") % 7 == 0, "stale").otherwise(F.col("artifact_sha256")))
-    return integrity.changes(stored, h.where("document_id % 11 != 0"))
+    """All documents; by their language French ones are new, German ones went."""
+    h = _hashed(spark, d).select(F.col("doc_id").alias("document_id"), "lang", F.when(F.col("doc_id") % 7 == 0, "stale").otherwise(F.col("content_sha256")).alias("was"), F.col("content_sha256").alias("artifact_sha256"))
+    stored = h.where(~F.col("lang").eqNullSafe(F.lit("fr"))).select("document_id", F.col("was").alias("artifact_sha256"))
+    return integrity.changes(stored, h.where(~F.col("lang").eqNullSafe(F.lit("de"))))
 
 
 def interval_conflicts(spark: SparkSession, d: str) -> DataFrame:
@@ -128,8 +161,8 @@ def interval_conflicts(spark: SparkSession, d: str) -> DataFrame:
     day = F.col("o_orderdate").cast("timestamp")
     top = table(spark, d, "supplier").agg(F.max("s_suppkey").alias("_n"))
     want = table(spark, d, "orders").crossJoin(F.broadcast(top)).select("o_orderkey", (F.col("o_custkey") % F.col("_n") + 1).alias("id"), day.alias("start"), (day + F.make_dt_interval(days=F.lit(2))).alias("end"))
-    hit = (F.col("id") == F.col("resource_id")) & scheduling.overlaps(F.col("start"), F.col("end"), F.col("start_time"), F.col("end_time"))
-    return want.join(res, hit).groupBy("o_orderkey").agg(F.count("*").alias("n_conflicts"))
+    pairs = scheduling.overlap_pairs(want, res.withColumnRenamed("resource_id", "id"), ("id",))
+    return pairs.groupBy("o_orderkey").agg(F.count("*").alias("n_conflicts"))
 
 
 INTERVAL_SQL = """
@@ -177,7 +210,7 @@ def _shop(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     )
     c = F.col("c_custkey")
     rk = c % F.col("_n") + 1
-    reservations = table(spark, d, "customer").crossJoin(top).where("c_custkey % 2 = 0").select(F.element_at(F.array(*map(F.lit, ("technician", "workstation", "equipment"))), (rk % 3 + 1).cast("int")).alias("resource_type"), F.concat(F.lit("R"), rk.cast("string")).alias("resource_id"), minutes(F.lit(480) + c % 300).alias("start_time"), minutes(F.lit(480) + c % 300 + 15 + c % 40).alias("end_time"), F.lit("x").alias("task_id"), F.when(c % 5 == 0, "CANCELLED").otherwise("ACTIVE").alias("status"))
+    reservations = table(spark, d, "customer").crossJoin(top).select(F.element_at(F.array(*map(F.lit, ("technician", "workstation", "equipment"))), (rk % 3 + 1).cast("int")).alias("resource_type"), F.concat(F.lit("R"), rk.cast("string")).alias("resource_id"), minutes(F.lit(480) + c % 300).alias("start_time"), minutes(F.lit(480) + c % 300 + 15 + c % 40).alias("end_time"), F.lit("x").alias("task_id"), F.when(F.col("c_acctbal") < 0, "CANCELLED").otherwise("ACTIVE").alias("status"))
     return tasks, resources, reservations
 
 
@@ -199,7 +232,7 @@ SHOP_SQL = f"""
       480 + s_suppkey % 5 * 7 AS a, 900 + s_suppkey % 4 * 45 AS z, 'skill' || ((s_suppkey // 6) % 2) AS skill, CASE WHEN s_suppkey % 2 = 0 THEN 500 + s_suppkey % 60 ELSE 0 END AS vf FROM supplier),
   tasks AS (SELECT o_orderkey AS o, 'S' || (o_orderkey % ((SELECT max(s_suppkey) FROM supplier) // 12 + 2)) AS store_id, 20 + o_orderkey % 5 * 25 AS dur, 470 + o_orderkey % 200 AS e, 470 + o_orderkey % 200 + 30 + o_orderkey % 7 * 30 AS l, 'skill' || (o_orderkey % 4) AS skill,
       CASE WHEN o_orderkey % 2 = 0 THEN 'type' || ((o_orderkey // 2) % 2) END AS wtype, o_orderkey % 3 = 0 AS eq FROM orders),
-  rsv AS (SELECT 'R' || (c_custkey % (SELECT max(s_suppkey) FROM supplier) + 1) AS id, 480 + c_custkey % 300 AS s, 480 + c_custkey % 300 + 15 + c_custkey % 40 AS x FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 <> 0),
+  rsv AS (SELECT 'R' || (c_custkey % (SELECT max(s_suppkey) FROM supplier) + 1) AS id, 480 + c_custkey % 300 AS s, 480 + c_custkey % 300 + 15 + c_custkey % 40 AS x FROM customer WHERE c_acctbal IS NULL OR c_acctbal >= 0),
   fits AS (SELECT * FROM tasks WHERE e + dur <= l),
   grid AS (SELECT *, unnest(generate_series(e, l - dur)) AS t FROM fits),
   spans AS (SELECT DISTINCT store_id, t, dur FROM grid),
@@ -232,13 +265,13 @@ def active_reservations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_state_machine(spark: SparkSession, d: str) -> DataFrame:
-    """Every event as a command; users of one remainder share a store."""
+    """Every event as a command; ten users share a store, five a technician."""
     e = table(spark, d, "events")
     kind = F.element_at(F.array(*map(F.lit, ("create", "create", "check_in", "complete", "cancel", "reschedule"))), (F.col("event_id") % 6 + 1).cast("int"))
     at = F.date_trunc("hour", "ts")
     commands = e.select(
         F.col("event_id").alias("command_id"), kind.alias("kind"), F.concat(F.lit("O"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("event_id") / 60).cast("string")).alias("order_key"), F.lit(None).cast("string").alias("idempotency_key"), F.when(F.col("event_id") % 5 == 0, "CUSTOMER").otherwise("SERVICE_ADVISOR").alias("actor_role"),
-        F.concat(F.lit("T"), (F.col("user_id") % 20).cast("string")).alias("technician_id"), F.concat(F.lit("W"), (F.col("user_id") % 40).cast("string")).alias("workstation_id"), F.array().cast("array<string>").alias("equipment_ids"), at.alias("start_time"), (at + F.make_dt_interval(hours=F.lit(2))).alias("end_time"), (F.col("user_id") % 20).alias("store"),
+        F.concat(F.lit("T"), F.floor(F.col("user_id") / 5).cast("string")).alias("technician_id"), F.concat(F.lit("W"), F.floor(F.col("user_id") / 2).cast("string")).alias("workstation_id"), F.array().cast("array<string>").alias("equipment_ids"), at.alias("start_time"), (at + F.make_dt_interval(hours=F.lit(2))).alias("end_time"), F.floor(F.col("user_id") / 10).alias("store"),
     )
     return workorders.apply_commands(commands, "store")
 
@@ -246,8 +279,8 @@ def order_state_machine(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "runtime_health": lambda s, d: monitoring.runtime_health(A.samples(s, d)), "stage_latency": lambda s, d: monitoring.stage_latency(A.samples(s, d)), "health_by_dimension": lambda s, d: monitoring.health_by_dimension(A.samples(s, d)),
     "error_counts": lambda s, d: monitoring.error_counts(A.samples(s, d)), "alerts_vs_baseline": alerts_vs_baseline, "release_gate": release_gate, "bad_case_upsert": bad_case_upsert, "citation_quality": lambda s, d: monitoring.answer_quality(_records(s, d)),
-    "content_hash": lambda s, d: _hashed(s, d).select("doc_id", "content_sha256"), "exact_duplicates": lambda s, d: integrity.exact_duplicates(_hashed(s, d), "doc_id", "text_sha256"), "merkle_document_hash": lambda s, d: integrity.merkle(_hashed(s, d), "source", "doc_id", "content_sha256"),
-    "referential_violations": referential_violations, "incremental_changed": incremental_changed, "interval_conflicts": interval_conflicts, "capability_division": capability_division, "first_fit_schedule": first_fit_schedule, "infeasible_reasons": infeasible_reasons,
+    "content_hash": lambda s, d: _hashed(s, d).select("doc_id", "content_sha256"), "exact_duplicates": lambda s, d: integrity.exact_duplicates(_hashed(s, d), "doc_id", "text_sha256"), "merkle_document_hash": lambda s, d: integrity.merkle(_hashed(s, d), "source", "doc_id", "content_sha256", F.floor(F.col("doc_id") / integrity.BLOCK)),
+    "canonical_hash": canonical_hash, "store_verify": store_verify, "referential_violations": referential_violations, "incremental_changed": incremental_changed, "interval_conflicts": interval_conflicts, "capability_division": capability_division, "first_fit_schedule": first_fit_schedule, "infeasible_reasons": infeasible_reasons,
     "order_state_transitions": lambda s, d: workorders.invalid_transitions(order_log(s, d)).groupBy("from_status", "to_status", "allowed").agg(F.count("*").alias("n")), "active_reservations": active_reservations, "order_state_machine": order_state_machine,
     "id_collisions": lambda s, d: integrity.id_collisions(_hashed(s, d), "text_sha256"),
 }
@@ -261,15 +294,17 @@ ORACLES = {
       {{'m': 'failure_rate', 'v': 1 - cur.success_rate, 't': (1 - bas.success_rate) * 2}}]) AS x FROM cur, bas WHERE cur.requests >= 20) SELECT x.m AS metric, round(x.v, 6) AS value, round(x.t, 6) AS threshold FROM c WHERE round(x.v, 6) > round(x.t, 6)""",
     "release_gate": f"""{HALVES}, f AS (SELECT array_to_string(list_filter(['hit@5 regressed', CASE WHEN cur.success_rate < bas.success_rate THEN 'mrr regressed' END, CASE WHEN cur.p95 > bas.p95 * 1.2 THEN 'p95 latency regressed' END, 'new severe bad cases'], lambda x: x IS NOT NULL), '; ') AS failures FROM cur, bas)
       SELECT failures = '' AS passed, failures FROM f""",
-    "bad_case_upsert": """WITH s AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'FIXED' WHEN quality = 1 THEN 'CONFIRMED' ELSE 'OPEN' END AS status, CASE WHEN quality = 1 THEN 'bm25' END AS cause FROM labels), f AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 = 0)
-      SELECT coalesce(s.doc_id, f.doc_id) || ':retrieval:empty' AS key, CASE WHEN s.doc_id IS NOT NULL AND (f.doc_id IS NULL OR s.status <> 'FIXED') THEN s.status ELSE 'OPEN' END AS status, CASE WHEN s.doc_id IS NOT NULL AND (f.doc_id IS NULL OR s.status <> 'FIXED') THEN s.cause END AS root_cause,
-        CASE WHEN f.doc_id IS NOT NULL THEN 'v2' ELSE 'v1' END AS introduced_by_version, CASE WHEN s.doc_id IS NOT NULL THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN f.doc_id IS NOT NULL THEN '2024-02-01' ELSE '2024-01-01' END AS updated FROM s FULL JOIN f ON s.doc_id = f.doc_id""",
+    "bad_case_upsert": """WITH s AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'low_quality' ELSE 'empty' END AS reason, CASE WHEN toxic = 1 THEN 'FIXED' WHEN quality = 1 THEN 'CONFIRMED' ELSE 'OPEN' END AS status, CASE WHEN quality = 1 THEN 'bm25' END AS cause FROM labels), f AS (SELECT DISTINCT doc_id, 'empty' AS reason FROM documents)
+      SELECT coalesce(s.doc_id, f.doc_id) || ':retrieval:' || coalesce(s.reason, f.reason) AS key, CASE WHEN s.doc_id IS NOT NULL AND (f.doc_id IS NULL OR s.status <> 'FIXED') THEN s.status ELSE 'OPEN' END AS status, CASE WHEN s.doc_id IS NOT NULL AND (f.doc_id IS NULL OR s.status <> 'FIXED') THEN s.cause END AS root_cause,
+        CASE WHEN f.doc_id IS NOT NULL THEN 'v2' ELSE 'v1' END AS introduced_by_version, CASE WHEN s.doc_id IS NOT NULL THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN f.doc_id IS NOT NULL THEN '2024-02-01' ELSE '2024-01-01' END AS updated FROM s FULL JOIN f ON s.doc_id = f.doc_id AND s.reason = f.reason""",
     "citation_quality": CITATION_SQL,
     "content_hash": f"WITH {HASHED} SELECT doc_id, content_sha256 FROM h",
     "exact_duplicates": f"WITH {HASHED} SELECT text_sha256, count(*) AS copies, min(doc_id) AS first_id FROM h GROUP BY text_sha256 HAVING count(*) > 1",
-    "merkle_document_hash": f"WITH {HASHED} SELECT source, count(*) AS n, sha256(string_agg(doc_id || ':' || content_sha256, ',' ORDER BY doc_id, content_sha256)) AS merkle_sha256 FROM h GROUP BY source",
+    "merkle_document_hash": f"WITH {HASHED} SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(b || ':' || x, ',' ORDER BY b, x)) AS merkle_sha256 FROM (SELECT source, doc_id // {integrity.BLOCK} AS b, count(*) AS n, sha256(string_agg(doc_id || ':' || content_sha256, ',' ORDER BY doc_id, content_sha256)) AS x FROM h GROUP BY ALL) GROUP BY source",
+    "canonical_hash": "SELECT doc_id, sha256(to_json({'doc_id': doc_id, 'lang': lang, 'share': doc_id / 8, 'source': source, 'text': text})::VARCHAR) AS canonical_sha256 FROM documents",
+    "store_verify": "SELECT 'chunk_hash_mismatch' AS violation, source || ':s' || coalesce(lang, 'none') || ':c' || doc_id AS key FROM documents WHERE source IS NOT NULL AND doc_id % 13 = 0 UNION ALL SELECT DISTINCT 'document_hash_mismatch', source FROM documents WHERE source IS NOT NULL AND doc_id % 13 = 0",
     "referential_violations": REFERENTIAL_SQL,
-    "incremental_changed": f"""WITH {HASHED}, a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE content_sha256 END AS x FROM h WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, content_sha256 AS y FROM h WHERE doc_id % 11 <> 0)
+    "incremental_changed": f"""WITH {HASHED}, a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE content_sha256 END AS x FROM h WHERE lang IS DISTINCT FROM 'fr'), b AS (SELECT doc_id, content_sha256 AS y FROM h WHERE lang IS DISTINCT FROM 'de')
       SELECT coalesce(a.doc_id, b.doc_id) AS document_id, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN x = y THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
     "interval_conflicts": INTERVAL_SQL, "capability_division": CAPABILITY_SQL,
     "first_fit_schedule": f"""{SHOP_SQL} SELECT o::VARCHAR AS task_id, {_clock("t")} AS start, {_clock("t + dur")} AS "end", tech AS technician_id, ws AS workstation_id, CASE WHEN eq THEN e0 || ',' || e1 ELSE '' END AS equipment_ids FROM best""",

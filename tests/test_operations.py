@@ -259,3 +259,40 @@ def test_bad_case_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.key, r.status) for r in held["df"].collect()] == [("k", "OPEN")]
+
+
+STORE_SECTION = "section_id string, document_id string, title string, path array<string>, level int, page_start int, page_end int, text string, subheadings array<string>, quality struct<rag_text_status:string,table_quality:string>, boundary struct<source:string,confidence:double,page:int>"
+
+
+def test_hashes_are_those_of_canonical_json(spark):
+    """The bytes hashed are those of sorted, compact JSON with characters as they are."""
+    import hashlib
+    import json
+
+    rows = [("D:s1", "D", 'Title "ä" \\ \n\t\u2028', ["a", "b"], 1, 1, 2, "text/", ["x"], ("pass", None), ("implicit", 0.5, None)), ("D:s2", "D", None, None, None, None, None, None, None, None, None)]
+    got = {r.section_id: r.h for r in spark.createDataFrame(rows, STORE_SECTION).select("section_id", integrity.section_hash().alias("h")).collect()}
+    first = {"id": "D:s1", "document_id": "D", "title": rows[0][2], "path": ["a", "b"], "level": 1, "page_start": 1, "page_end": 2, "text": "text/", "subheadings": ["x"], "quality": {"rag_text_status": "pass", "table_quality": None}, "boundary": {"source": "implicit", "confidence": 0.5}}
+    second = {"id": "D:s2", "document_id": "D", "title": "", "path": [], "level": None, "page_start": None, "page_end": None, "text": "", "subheadings": [], "quality": {}, "boundary": {}}
+    for key, payload in (("D:s1", first), ("D:s2", second)):
+        assert got[key] == hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    numbers = spark.createDataFrame([(0.1, 1e21, 1e-7, 3.0, -0.0)], "a double, b double, c double, d double, e double").select(integrity.canonical_json(F.struct("e", "d", "c", "b", "a")).alias("j")).first().j
+    assert numbers == json.dumps({"a": 0.1, "b": 1e21, "c": 1e-7, "d": 3.0, "e": -0.0}, separators=(",", ":"))
+
+
+def test_equal_hash_of_a_broken_store_is_imported_again(spark):
+    stored = spark.createDataFrame([("A", "h1"), ("B", "h2"), ("C", "h3")], "id string, artifact_sha256 string")
+    incoming = spark.createDataFrame([("A", "h1"), ("B", "h2"), ("C", "new"), ("E", "h")], "id string, artifact_sha256 string")
+    got = {r.id: r.change for r in integrity.to_import(stored, incoming, spark.createDataFrame([("B",)], "id string")).collect()}
+    assert got == {"A": "skipped", "B": "imported", "C": "imported", "E": "imported"}
+
+
+def test_overlap_pairs_equal_all_pairs(spark):
+    import datetime
+    import random
+
+    rng, day = random.Random(3), datetime.datetime(2024, 1, 1)
+    spans = lambda n: [(i, i % 3, day + datetime.timedelta(hours=a), day + datetime.timedelta(hours=a + rng.randrange(0, 90))) for i in range(n) for a in [rng.randrange(300)]]
+    a, b = spans(60), spans(80)
+    left, right = spark.createDataFrame(a, "i int, id int, start timestamp, end timestamp"), spark.createDataFrame(b, "j int, id int, start_time timestamp, end_time timestamp")
+    got = sorted((r.i, r.j) for r in scheduling.overlap_pairs(left, right, ("id",)).collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3])
