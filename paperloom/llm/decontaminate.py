@@ -6,9 +6,12 @@ consecutive words of an item (or all words of a shorter one) are one pattern,
 with a space at either end, and the normalised text is scanned once.  Offsets
 of hits are mapped back to code points of the original text.
 
-The benchmark is a fixed set of tests, not a part of the corpus.  Its automaton
-goes to the workers in blocks of at most BLOCK_BYTES of patterns, one broadcast
-and one pass over the documents for each, so no broadcast grows beyond that.
+The benchmark is a fixed set of tests, not a part of the corpus.  Its texts go
+to the workers in blocks whose patterns have about BLOCK_BYTES, one broadcast and
+one pass over the documents for each; workers cut the windows themselves, so what
+is sent is an eighth of that.  With several blocks the hits found so far are
+written to the shared checkpoint folder before the next block is sent, and the
+driver holds one block at a time.
 
 Null and word-free texts have no words and no hits.  Items with a null id or
 text, and items without words, have no windows.  Items that share an id count
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import slices, texts_of
+from paperloom.llm.common import materialize, slices, texts_of
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -49,34 +52,41 @@ def windows_of(text: bytes | None, window: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def pattern_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[dict[bytes, list[str]]]:
-    """Patterns and the ids of the items that hold them, block by block; the
-    driver holds one block at a time."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
+    """Items (id, text) block by block, by the bytes of their windows, and whether
+    the block is the last; the driver holds one block at a time."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("i is not null and t is not null")
-    block: dict[bytes, list[str]] = {}
+    block: list[tuple[str, bytes]] = []
     total = 0
     for row in rows.toLocalIterator():
-        for pattern in windows_of(bytes(row.t), window):
-            if pattern not in block:
-                total += len(pattern)
-                block[pattern] = []
-            block[pattern].append(row.i)
-        if total >= block_bytes:
-            yield block
-            block, total = {}, 0
-    yield block
-
-
-def _automaton(key: str, block: dict[bytes, list[str]]) -> ahocorasick.Automaton | None:
+        size = sum(map(len, windows_of(bytes(row.t), window)))
+        if block and total + size > block_bytes:
+            yield block, False
+            block, total = [], 0
+        block.append((row.i, bytes(row.t)))
+        total += size
+    yield block, True
+
+
+def patterns_of(block: list[tuple[str, bytes]], window: int = WINDOW) -> dict[bytes, set[str]]:
+    """Windows and the ids of the items that hold them."""
+    found: dict[bytes, set[str]] = {}
+    for item, text in block:
+        for pattern in windows_of(text, window):
+            found.setdefault(pattern, set()).add(item)
+    return found
+
+
+def _automaton(key: str, block: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton | None:
     """Built once in each worker process."""
     if key not in _BUILT:
         _BUILT.clear()
-        auto = ahocorasick.Automaton()
-        for pattern, items in block.items():
+        auto, patterns = ahocorasick.Automaton(), patterns_of(block, window)
+        for pattern, items in patterns.items():
             auto.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, len(pattern), tuple(items)))
-        if block:
+        if patterns:
             auto.make_automaton()
-        _BUILT[key] = auto if block else None
+        _BUILT[key] = auto if patterns else None
     return _BUILT[key]
 
 
@@ -120,12 +130,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     sc = docs.sparkSession.sparkContext
     start = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     df = start.withColumns({"hits": F.lit(None).cast("array<struct<first:int,last:int>>"), "items": F.lit(None).cast("array<string>")})
-    blocks = [sc.broadcast(b) for b in pattern_blocks(benchmark, window=window, block_bytes=block_bytes)]
-    for k, sent in enumerate(blocks):
-        last, key = k == len(blocks) - 1, uuid.uuid4().hex
+    for block, last in item_blocks(benchmark, window=window, block_bytes=block_bytes):
+        sent, key = sc.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, key=key) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(key, sent.value)
+            auto = _automaton(key, sent.value, window)
             for batch in slices(batches):
                 texts = texts_of(batch)
                 before = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
@@ -144,6 +153,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_pydict(columns)
 
         df = df.mapInArrow(run, SCAN if last else "doc_id long, text string, hits array<struct<first:int,last:int>>, items array<string>")
+        if not last:
+            df = materialize(df)
+            sent.destroy()
     return df
 
 
@@ -167,12 +179,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     # a column that no input has, behind all others
     df = docs.withColumn(f"_hits_{uuid.uuid4().hex}", F.lit(None).cast("array<struct<first:int,last:int>>"))
     carried = df.schema
-    blocks = [sc.broadcast(b) for b in pattern_blocks(benchmark, window=window, block_bytes=block_bytes)]
-    for k, sent in enumerate(blocks):
-        last, key = k == len(blocks) - 1, uuid.uuid4().hex
+    for block, last in item_blocks(benchmark, window=window, block_bytes=block_bytes):
+        sent, key = sc.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, key=key) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(key, sent.value)
+            auto = _automaton(key, sent.value, window)
             for batch in slices(batches, text_col):
                 keep, texts, hits, changed = [], [], [], False
                 for text, was in zip(texts_of(batch, text_col), batch.column(columns).to_pylist(), strict=True):
@@ -193,6 +204,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         df = df.mapInArrow(run, kept if last else carried)
+        if not last:
+            df = materialize(df)
+            sent.destroy()
     return df
 
 
@@ -202,3 +216,21 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
         out.append(s[at:a])
         at = b
     return "".join([*out, s[at:]]).encode()
+
+
+def oracle() -> str:
+    """report() in DuckDB, by joining windows of every length that occurs."""
+    words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+      WITH items AS (SELECT item_id::VARCHAR AS item, {words.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+      windows AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + {WINDOW} - 1], ' ') AS p
+                  FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - {WINDOW} + 1))) AS i FROM items WHERE len(w) > 0)),
+      d AS (SELECT row_number() OVER () AS row, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+      grams AS (SELECT row, i, n, array_to_string(w[i:i + n - 1], ' ') AS p
+                FROM (SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+      hits AS (SELECT row, i, n, item FROM grams JOIN windows USING (n, p)),
+      hit_words AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(generate_series(i, i + n - 1)) AS k FROM hits) GROUP BY row),
+      hit_items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+      SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+      FROM d LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)"""

@@ -28,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm": lambda spark, d: hmm.report(read(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
 }
-ORACLES: dict[str, str] = {"op8_secrets": secrets.oracle()}
+ORACLES: dict[str, str] = {"op6_decontamination": decontaminate.oracle(), "op8_secrets": secrets.oracle()}

@@ -55,7 +55,7 @@ def test_blocks_give_the_same(spark):
     docs, items = fixture()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     key = lambda df: sorted((str(r) for r in df.collect()))
-    assert len(list(decontaminate.pattern_blocks(b, block_bytes=200))) > 2
+    assert len(list(decontaminate.item_blocks(b, block_bytes=200))) > 2
     assert key(decontaminate.scan(d, b, block_bytes=200)) == key(decontaminate.scan(d, b))
 
 
@@ -91,10 +91,35 @@ def test_stage_is_the_same_with_any_block_size(spark):
     rows += [(1000 + (i or 0), t, "x") for i, t in fix_docs]
     d = spark.createDataFrame(rows, "doc_id long, text string, hits string")
     b = spark.createDataFrame(items + [(i and i + 1000, t) for i, t in fix_items], "item_id long, text string").coalesce(1)
-    assert len(list(decontaminate.pattern_blocks(b, block_bytes=30))) > 3
+    assert len(list(decontaminate.item_blocks(b, block_bytes=30))) > 3
     key = lambda df: sorted(str(r) for r in df.collect())
     got = decontaminate.decontaminate(d, b, block_bytes=30)
     assert got.columns == d.columns and key(got) == key(decontaminate.decontaminate(d, b))
     by_id = {r.doc_id: r.text for r in got.where("doc_id < 1000").collect()}
     assert by_id == {2: "word " * 900 + " mid  end", 3: "word " * 900 + " end", 4: None}
     assert {r.doc_id for r in decontaminate.report(d, b).where("contaminated and doc_id < 1000").collect()} == {1}
+
+
+def test_duckdb_twin(spark, tmp_path):
+    import duckdb
+
+    docs, items = fixture()
+    spark.createDataFrame([r for r in docs if r[0] is not None], "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    got = decontaminate.report(*(spark.read.parquet(str(tmp_path / n)) for n in ("documents", "benchmark")))
+    want = con.execute(decontaminate.oracle())
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_null_ids_and_columns_of_any_name(spark):
+    passage = " ".join(f"k{i}" for i in range(13))
+    rows = [(None, "word " * 400 + passage, 1, "a"), (None, passage, 2, "b"), (1, None, 3, "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, hits int, items string")
+    b = spark.createDataFrame([(1, passage, "x")], "item_id long, text string, doc_id string")
+    got = {r.hits: r for r in decontaminate.decontaminate(d, b).collect()}
+    assert set(got) == {1, 3} and got[1].text == "word " * 400 and got[1]["items"] == "a"
+    assert decontaminate.decontaminate(d.limit(0), b).count() == 0
