@@ -1,7 +1,12 @@
 import random
+from pathlib import Path
+
+import pytest
 
 from paperloom.llm import quotes
 
+TABLES = Path("/root/testdata/sf0.01")
+
 MESSAGES = [
     (1, 0, "user", "Shall we meet on Monday?\n\nThe room is free."),
     (1, 1, "assistant", "> shall we  meet on MONDAY?\n>\n> The room is free.\nYes, Monday works."),
@@ -91,3 +96,33 @@ def test_own_later_turn_does_not_hide_another_conversation(spark):
     rows = [(1, 2, "u", "> shared words\nwhat of it"), (1, 5, "u", "shared words"), (2, 0, "u", "shared words")]
     got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[1, 2].n_linked == got[1, 2].n_elsewhere == 1
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="the supplied tables are not here")
+def test_derived_replies_of_a_whole_table(spark):
+    """The supplied conversations quote nothing; here every turn but the first
+    quotes the one before, every fourth one also a message of the conversation before."""
+    table = {(r.conv_id, r.turn): r for r in spark.read.parquet(str(TABLES / "conversations.parquet")).where("conv_id is not null and turn is not null").collect()}
+    stated = {k: "\n".join(x.strip() for x in (r.text or "").split("\n")).strip() for k, r in table.items()}
+    owners = {}
+    for k, t in stated.items():
+        for _, h in quotes.grains(t):
+            owners.setdefault(h, set()).add(k)
+    quoting = lambda t: "\n".join(f"> {x}" for x in t.split("\n"))
+    rows, replies = [], {}
+    for (c, t), own in stated.items():
+        parts = []
+        if stated.get((c, t - 1)):
+            parts.append(quoting(stated[c, t - 1]))
+            replies[c, t] = t - 1
+        if t % 4 == 3 and stated.get((c - 1, 0)):
+            parts.append(f"> {quoting(stated[c - 1, 0])}".replace("\n>", "\n> >"))
+        rows.append((c, t, table[c, t].role, "\n".join([*parts, own])))
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows) > 100 and len(replies) > 50
+    for k, r in got.items():
+        assert r.text == stated[k]
+        if k in replies:
+            whole = quotes.digest(stated[k[0], replies[k]])
+            earliest = min(t for c, t in owners[whole] if c == k[0])
+            assert r.parent_turn == earliest and r.n_linked >= 1
