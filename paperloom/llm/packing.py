@@ -11,7 +11,8 @@ is not nearly full at most.
 Ids come from a public tokenizer file, whose path is a parameter.
 
 Null text is empty: its document is the single end id.  Repeated rows and rows
-with the same or a null id are documents of their own.
+with the same or a null id are documents of their own.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-#: Pre-token pattern of the byte-level vocabulary: a fixed value.
+#: Pre-token pattern that byte-level files mean by use_regex: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -58,6 +59,8 @@ class Encoder:
 
         with open(tokenizer_file, encoding="utf-8") as f:
             vocabulary = json.load(f)
+        pre, model = vocabulary.get("pre_tokenizer") or {}, vocabulary["model"]
+        self._plain = not vocabulary.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
         specials = {t["content"] for t in vocabulary["added_tokens"] if t["special"]}
         byte_of = _byte_characters()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in specials}
@@ -66,7 +69,7 @@ class Encoder:
         self._added = [t["content"] for t in vocabulary["added_tokens"] if not (t["special"] and encode_special_tokens)]
 
     def encode(self, text: str) -> bytes:
-        if any(a in text for a in self._added):
+        if not self._plain or any(a in text for a in self._added):
             return self._by_library(text)
         try:
             ids = self._encoding.encode_to_numpy(text, disallowed_special=())

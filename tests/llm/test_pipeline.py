@@ -36,3 +36,10 @@ def test_stages_run_on_a_small_corpus(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == ids
     assert {m.__name__.split(".")[-1] for m in (quality, simhash, decontaminate, secrets)} and got.count() > 290
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
