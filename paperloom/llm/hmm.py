@@ -16,23 +16,35 @@ recursions over its texts and returns expected counts, which are summed by
 class across partitions; ROUNDS such rounds go over all training texts.  The
 first parameters come from a few rounds over about INIT_DOCS texts on the driver.
 
-Exact token counts are never broadcast.  Texts are dealt into groups of about
-GROUP_BYTES, each group asks for the counts of the distinct tokens it holds, and
-the answers meet the texts in one cogroup; the scaled forward recursion there
-gives the exact likelihood.
-
-Null text is empty: its one token is the end.  Rows keep their number.  A null
-id counts as remainder 0.  Without training rows a score is the base score.
+Scoring goes over the texts where they lie; no text is shuffled.  The counts of
+the most frequent tokens, HEAD of HEAD_BYTES each at most, are broadcast, which
+bounds their size; for each text the pass gives its likelihood under the hidden
+Markov model, the sums over its head tokens, and its other tokens, whose exact
+counts are joined by token.  Each of those is rare, so no key of the join is hot
+but for those longer than HEAD_BYTES, which Spark splits like any skewed join.
+
+Texts are read in pieces, so a long one costs its token numbers and not its
+words.  Long texts of a partition run through the recursions together, and the
+backward one keeps the forward values of SEGMENT tokens at a time: those of
+earlier segments are computed again from the values at their start.
+
+Null text is empty: its one token is the end.  Rows keep their number, null and
+repeated ids included.  A null id counts as remainder 0.  Without training rows
+a score is the base score.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +56,73 @@ ROUNDS = 3
 INIT_DOCS = 1000
 INIT_BYTES = 1 << 16
 INIT_ROUNDS = 15
-GROUP_BYTES = 24 << 20
+HEAD = 1 << 18
+HEAD_BYTES = 64
+LONG = 2048
+SEGMENT = 1 << 21
+PIECE = 1 << 20
 FLUSH = 500_000
 END = b""  # no word is empty
+SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def pieces_of(text: bytes | None, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text, those of about `size` bytes at a time."""
+    at = 0
+    while text and at < len(text):
+        cut = SPACE.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+class Lexicon:
+    """Counts and classes of the head tokens, and how a text reads with them."""
+
+    def __init__(self, tokens: list[bytes], counts: np.ndarray, classes: int):
+        self.place, self.classes = {t: i for i, t in enumerate(tokens)}, classes
+        self.log_counts, self.of = np.log10(np.asarray(counts, np.float64) + 1), classes_of(tokens, classes)[:-1]
+
+    def sequence(self, text: bytes | None) -> np.ndarray:
+        """Class of each token, the end included."""
+        return np.concatenate([*(self._read(words)[1] for words in pieces_of(text)), np.array([self.classes], np.int32)])
+
+    def read(self, text: bytes | None) -> tuple[np.ndarray, int, float, Counter]:
+        """The sequence, and of the tokens but the end: how many are of the head,
+        the sum of their log10(count + 1), and the others with their numbers."""
+        classes, known, total, others = [], 0, 0.0, Counter()
+        for words in pieces_of(text):
+            at, of = self._read(words)
+            head = at >= 0
+            classes.append(of)
+            known += int(head.sum())
+            total += float(self.log_counts[at[head]].sum())
+            others.update([words[i] for i in np.flatnonzero(~head)])
+        return np.concatenate([*classes, np.array([self.classes], np.int32)]), known, total, others
+
+    def _read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int32, len(words))
+        of, rare = np.empty(len(words), np.int32), np.flatnonzero(at < 0)
+        of[at >= 0] = self.of[at[at >= 0]]
+        of[rare] = classes_of([words[i] for i in rare], self.classes)[:-1]
+        return at, of
+
+
+_LEXICONS: dict[str, Lexicon] = {}
+
+
+def _lexicon(key: str, head: tuple[list[bytes], np.ndarray], classes: int) -> Lexicon:
+    """Built once in each worker process."""
+    if key not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[key] = Lexicon(*head, classes)
+    return _LEXICONS[key]
+
+
 def classes_of(words: list[bytes], classes: int = CLASSES) -> np.ndarray:
     """Class of each token, the end included."""
     h = xxhash.xxh64_intdigest
@@ -99,29 +169,54 @@ class Hmm:
         out[batch.order] = total
         return out
 
-    def expected(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts [S], moves [S, S] and emissions [classes + 1, S]."""
-        s = len(self.start)
-        alpha, scale, steps = np.empty((len(batch.flat), s)), np.empty(len(batch.flat)), batch.steps()
-        before = None
+    def _forward(self, batch: Batch, steps: list[tuple[int, int]], before: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Scaled forward values of each step and their scales, from those of the step before."""
         for at, m in steps:
             a = (before[:m] @ self.move if before is not None else self.start) * self.emit[batch.flat[at : at + m]]
             c = a.sum(axis=1)
             a /= c[:, None]
-            alpha[at : at + m], scale[at : at + m], before = a, c, a
-        beta, moves = np.ones((batch.size, s)), np.zeros((s, s))
-        for t in range(len(steps) - 1, -1, -1):
-            at, m = steps[t]
-            if t:
-                was = steps[t - 1][0]
-                eb = self.emit[batch.flat[at : at + m]] * beta[:m] / scale[at : at + m, None]
-                moves += alpha[was : was + m].T @ eb
-                alpha[at : at + m] *= beta[:m]
-                beta[:m] = eb @ self.move.T
-            else:
-                alpha[at : at + m] *= beta[:m]
-        starts = alpha[: steps[0][1]].sum(axis=0) if steps else np.zeros(s)
-        emissions = np.stack([np.bincount(batch.flat, weights=alpha[:, j], minlength=len(self.emit)) for j in range(s)], axis=1)
+            before = a
+            yield a, c
+
+    def expected(self, batch: Batch, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts [S], moves [S, S] and emissions [classes + 1, S].
+        Forward values are held for about `segment` tokens at a time."""
+        s, steps = len(self.start), batch.steps()
+        cuts, begin = [0], 0
+        for t, (at, _) in enumerate(steps):
+            if at - begin >= segment:
+                cuts.append(t)
+                begin = at
+        entry: list[np.ndarray | None] = [None]
+        if len(cuts) > 1:  # what the later segments begin from
+            values = None
+            for t, (values, _) in enumerate(self._forward(batch, steps[: cuts[-1]], None), 1):
+                if t in cuts:
+                    entry.append(values)
+        beta, moves, starts, emissions = np.ones((batch.size, s)), np.zeros((s, s)), np.zeros(s), np.zeros((len(self.emit), s))
+        for first, last, before in zip(cuts[::-1], [len(steps), *cuts[:0:-1]], entry[::-1], strict=True):
+            part = steps[first:last]
+            if not part:
+                continue
+            base, size = part[0][0], part[-1][0] + part[-1][1] - part[0][0]
+            alpha, scale = np.empty((size, s)), np.empty(size)
+            for (at, m), (a, c) in zip(part, self._forward(batch, part, before), strict=True):
+                alpha[at - base : at - base + m], scale[at - base : at - base + m] = a, c
+            for k in range(len(part) - 1, -1, -1):
+                at, m = part[k][0] - base, part[k][1]
+                own = alpha[at : at + m]
+                if first or k:
+                    was = before if not k else alpha[part[k - 1][0] - base :]
+                    eb = self.emit[batch.flat[at + base : at + base + m]] * beta[:m] / scale[at : at + m, None]
+                    moves += was[:m].T @ eb
+                    own *= beta[:m]
+                    beta[:m] = eb @ self.move.T
+                else:
+                    own *= beta[:m]
+                    starts = own.sum(axis=0)
+            flat = batch.flat[base : base + size]
+            for j in range(s):
+                emissions[:, j] += np.bincount(flat, weights=alpha[:, j], minlength=len(self.emit))
         return starts, moves * self.move, emissions
 
     @classmethod
@@ -170,9 +265,51 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def train(texts: DataFrame, counts: DataFrame, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Hmm, np.ndarray]:
+def head_of(counts: DataFrame, head: int = HEAD, longest: int = HEAD_BYTES) -> tuple[Column, tuple[list[bytes], np.ndarray]]:
+    """Which tokens are of the head, and they with their counts: the most
+    frequent ones that are no longer than `longest`, as many whole eighths of a
+    doubling of the count as make `head` or fewer."""
+    fit = (F.length("token") > 0) & (F.length("token") <= longest) & (F.col("c") > 0)
+    step = F.floor(F.log2("c") * 8)
+    total, least = 0, None
+    for row in counts.where(fit).groupBy(step.alias("b")).count().orderBy(F.desc("b")).collect():  # 8 * 64 rows at most
+        if total + row["count"] > head:
+            break
+        total, least = total + row["count"], row["b"]
+    chosen = fit & (step >= least) if least is not None else F.lit(False)
+    got = counts.where(chosen).select("token", "c").toPandas().sort_values("token", kind="stable")  # `head` rows at most
+    return chosen, ([bytes(t) for t in got["token"]], got["c"].to_numpy(np.int64))
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], read: Callable[[bytes | None, int], tuple], run: Callable[[list[tuple]], object]) -> Iterator[object]:
+    """run() over what read(text, row of its batch) gives, whose first part is a
+    sequence: the short ones of each slice, and the long ones of all together as
+    far as they fit a segment, since the recursions take as many steps as the
+    longest has tokens."""
+    held: list[tuple] = []
+    size = 0
+    for batch in slices(batches):
+        short: list[tuple] = []
+        for i, text in enumerate(texts_of(batch)):
+            got = read(text, batch, i)
+            if len(got[0]) <= LONG:
+                short.append(got)
+                continue
+            if held and size + len(got[0]) > SEGMENT:
+                yield run(held)
+                held, size = [], 0
+            held.append(got)
+            size += len(got[0])
+        if short:
+            yield run(short)
+    if held:
+        yield run(held)
+
+
+def train(texts: DataFrame, counts: DataFrame, head: tuple[list[bytes], np.ndarray] | None = None, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Hmm, np.ndarray]:
     """The model, and the mass of each class: its tokens' counts, one more for
     each, and one for its unknown tokens."""
+    head = head if head is not None else head_of(counts)[1]
     bucket = F.when(F.length("token") == 0, classes).otherwise(F.xxhash64("token").bitwiseAND(F.lit(classes - 1)))
     mass = np.ones(classes + 1)
     got = counts.groupBy(bucket.cast("int").alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).toPandas()  # classes + 1 rows
@@ -183,24 +320,24 @@ def train(texts: DataFrame, counts: DataFrame, states: int = STATES, classes: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([classes_of(words_of(t), classes).tobytes() for t in texts_of(batch)], pa.binary())], names=["doc_id", "s"])
 
     first = thinned(texts.where(F.coalesce(F.length("text"), F.lit(0)) <= INIT_BYTES), "doc_id", INIT_DOCS)
+    first = first.groupBy("doc_id").agg(F.min("text").alias("text"))  # of a repeated id one
     rows = first.mapInArrow(sequences, "doc_id long, s binary").toPandas().sort_values(["doc_id", "s"], kind="stable")
     model = Hmm.initial(Batch([np.frombuffer(s, np.int32) for s in rows["s"]]), mass, states)
     for _ in range(rounds):
-        model = Hmm.from_counts(*_round(texts, model, classes), mass)
+        model = Hmm.from_counts(*_round(texts, model, head, classes), mass)
     return model, mass
 
 
-def _round(texts: DataFrame, model: Hmm, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _round(texts: DataFrame, model: Hmm, head: tuple[list[bytes], np.ndarray], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over all texts, summed by row of the tables."""
-    states = len(model.start)
-    sent = texts.sparkSession.sparkContext.broadcast(model)
+    states, key = len(model.start), uuid.uuid4().hex
+    sent = texts.sparkSession.sparkContext.broadcast((model, head))
     names = ["row", *(f"s{j}" for j in range(states))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model, lexicon = sent.value[0], _lexicon(key, sent.value[1], classes)
         starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-        for batch in slices(batches):
-            a, b, c = model.expected(Batch([classes_of(words_of(t), classes) for t in texts_of(batch)]))
+        for a, b, c in _by_length(batches, lambda text, *_: (lexicon.sequence(text),), lambda rows: model.expected(Batch([r[0] for r in rows]))):
             starts, moves, emissions = starts + a, moves + b, emissions + c
         table = np.concatenate([emissions, moves, starts[None, :]])
         rows = np.flatnonzero(table.any(axis=1))
@@ -214,74 +351,45 @@ def _round(texts: DataFrame, model: Hmm, classes: int) -> tuple[np.ndarray, np.n
     return table[-1], table[classes + 1 : classes + 1 + states], table[: classes + 1]
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, classes: int = CLASSES) -> DataFrame:
+READ = "row long, doc_id long, n_tokens long, known long, counted double, inside double, whole double, others array<struct<token:binary,n:int>>"
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
     document, learning from those where `learn` (over doc_id) holds."""
     texts = _texts(docs, id_col, text_col)
     training = texts.where(learn)
     counts = materialize(count_tokens(training))
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("token") == 0, F.col("c"))), F.lit(0))).first()
-    ends = int(ends)
-    model, mass = train(training, counts.where("c > 0"), states, classes)
-    sent = docs.sparkSession.sparkContext.broadcast((model, np.log10(mass)))
-    rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    groups = max(1, -(-int(size + 64 * rows) // GROUP_BYTES))
-    dealt = texts.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(groups, "p")
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[bytes]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for p, tokens in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(tokens), pa.int32()), pa.array(tokens, pa.binary())], names=["p", "token"])
-            seen.clear()
+    chosen, tokens = head_of(counts, head)
+    model, mass = train(training, counts.where("c > 0"), tokens, states, classes)
+    sent, key, end = docs.sparkSession.sparkContext.broadcast((model, np.log10(mass), tokens)), uuid.uuid4().hex, int(ends)
 
-        for batch in slices(batches):
-            for p, text in zip(batch.column("p").to_pylist(), texts_of(batch), strict=True):
-                seen.setdefault(p, set()).update(words_of(text))
-            if sum(map(len, seen.values())) > FLUSH:
-                yield from flush()
-        yield from flush()
-
-    # all columns of `dealt`, so that its exchange is the one the cogroup reads
-    asked = dealt.mapInArrow(wanted, "p int, token binary")
-    answers = asked.join(counts, "token").select("p", "token", "c")
-    space = float(np.log10(n + 1.0 * (v + 1)))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model, log_mass = sent.value
-        known = dict(zip(right.column("token").to_pylist(), right.column("c").to_pylist(), strict=True))
-        ids, found = left.column("doc_id").to_pylist(), left.column("text").to_pylist()
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        sequences: list[np.ndarray] = []
-        inside: list[float] = []
-
-        def settle() -> None:
-            if sequences:
-                whole = model.log10_likelihood(Batch(sequences))
-                out["score"] += (np.array(inside) + whole).tolist() if n else out["base_score"][len(out["score"]) :]
-                sequences.clear(), inside.clear()
-
-        held = 0
-        for text in found:
-            words = words_of(text)
-            c = np.array([*map(known.get, words, [0] * len(words)), ends], np.float64)
-            part = np.log10(c + 1)
-            sequences.append(classes_of(words, classes))
-            inside.append(float((part - log_mass[sequences[-1]]).sum()))
-            out["n_tokens"].append(len(c))
-            out["n_known"].append(int((c > 0).sum()))
-            out["base_score"].append(float((part - space).sum()))
-            held += len(c)
-            if held > 1 << 20:
-                settle()
-                held = 0
-        settle()
-        columns = {"doc_id": pa.array(ids, pa.int64()), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": [int(n)] * len(ids), "base_score": out["base_score"], "score": out["score"]}
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({k: pa.array(x, kind) for (k, x), kind in zip(columns.items(), kinds, strict=True)})
-
-    return dealt.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, log_mass, lexicon = *sent.value[:2], _lexicon(key, sent.value[2], classes)
+        context = TaskContext.get()
+        number = itertools.count((context.partitionId() if context else 0) << 40)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))]
+
+        def read(text: bytes | None, batch: pa.RecordBatch, i: int) -> tuple:
+            sequence, known, counted, others = lexicon.read(text)
+            told = [{"token": t, "n": k} for t, k in others.items()]
+            return sequence, next(number), batch.column("doc_id")[i].as_py(), len(sequence), known + (end > 0), counted + np.log10(end + 1.0), float(log_mass[sequence].sum()), told
+
+        def finish(rows: list[tuple]) -> pa.RecordBatch:
+            whole = model.log10_likelihood(Batch([r[0] for r in rows]))
+            columns = [*zip(*(r[1:7] for r in rows), strict=True), whole, [r[7] for r in rows]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+
+        yield from _by_length(batches, read, finish)
+
+    rows = materialize(texts.mapInArrow(run, READ))
+    each = rows.select("row", F.explode("others").alias("o")).select("row", "o.token", "o.n")
+    found = each.join(counts.where(~chosen & (F.col("c") > 0)), "token").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
+    out = rows.join(found, "row", "left").withColumns({"n_known": F.col("known") + F.coalesce("more", F.lit(0)), "counted": F.col("counted") + F.coalesce("sum", F.lit(0.0))})
+    base = F.col("counted") - F.col("n_tokens") * float(np.log10(n + 1.0 * (v + 1)))
+    whole = F.col("whole") + F.col("counted") - F.col("inside") if n else base
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -36,8 +36,9 @@ def test_forward_and_expected_counts_equal_enumeration():
                 emissions[s[t], state] += p / total
                 if t:
                     moves[path[t - 1], state] += p / total
-    a, b, c = model.expected(hmm.Batch(seqs))
-    assert np.allclose(a, starts) and np.allclose(b, moves) and np.allclose(c, emissions)
+    for segment in (1, 3, 7, hmm.SEGMENT):  # forward values computed again from the start of each segment
+        a, b, c = model.expected(hmm.Batch(seqs), segment)
+        assert np.allclose(a, starts) and np.allclose(b, moves) and np.allclose(c, emissions)
 
 
 def test_a_round_does_not_lower_the_likelihood():
@@ -92,9 +93,35 @@ def test_rounds_over_all_texts_are_three_and_sum_doubles(spark, monkeypatch):
     texts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(words)], "doc_id long, text binary").repartition(3)
     model = tiny(rng, classes=17)
     want = model.expected(hmm.Batch([hmm.classes_of(t.encode().split(), 16) for t in words]))
-    for got, counts in zip(hmm._round(texts, model, 16), want, strict=True):
-        assert np.allclose(got, counts, rtol=1e-11, atol=1e-12)
+    for known in ([], [b"w1", b"w2", b"w30"]):
+        for got, counts in zip(hmm._round(texts, model, (known, np.ones(len(known))), 16), want, strict=True):
+            assert np.allclose(got, counts, rtol=1e-11, atol=1e-12)
     seen, one = [], hmm._round
     monkeypatch.setattr(hmm, "_round", lambda *a: seen.append(a[0]) or one(*a))
-    hmm.train(texts, hmm.count_tokens(texts), states=3, classes=16)
+    hmm.train(texts, hmm.count_tokens(texts), None, 3, 16)
     assert len(seen) == 3 and all(t is texts for t in seen)
+
+
+def test_any_head_gives_the_same_scores(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.6, rng.integers(1, 60)) % 400)) for i in range(80)]
+    rows += [(90, "x" * 100 + " w1"), (None, None), (91, "w1 " * 5000), (91, "w1 " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learn = docs["doc_id"] % 3 > 0
+    told = lambda **k: sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 7), round(r.score, 5)) for r in hmm.score(docs, learn, states=3, classes=64, **k).collect()), key=str)
+    whole = told()
+    assert whole == told(head=20) == told(head=0) and len(whole) == len(rows)
+
+
+def test_head_is_bounded_and_most_frequent(spark):
+    counts = spark.createDataFrame([(f"t{i}".encode(), 1000 // (i + 1)) for i in range(300)] + [(b"", 10**6), (b"y" * 65, 10**6)], "token binary, c long")
+    chosen, (tokens, n) = hmm.head_of(counts, 50)
+    assert 20 < len(tokens) <= 50 and set(tokens) == {f"t{i}".encode() for i in range(len(tokens))} and n.min() >= 1000 // (len(tokens) + 1)
+    assert counts.where(chosen).count() == len(tokens) and hmm.head_of(counts, 0)[1][0] == []
+
+
+def test_pieces_are_the_words():
+    text = b"Aa  bb\tCC\n" * 50 + b"longwordwithoutspaces" * 5
+    for size in (1, 3, 10, 1000):
+        assert [w for p in hmm.pieces_of(text, size) for w in p] == hmm.words_of(text)
+    assert list(hmm.pieces_of(None)) == []
