@@ -26,11 +26,19 @@ def usable(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"[\p{L}\p{N}]")
 
 
-def select_page(threshold: float = 0.10) -> dict[str, Column]:
-    """Columns of the page representation, over markdown_text, direct_text,
-    ocr_text and ocr_error: the first rule that applies decides."""
+def parse_guards(threshold: float, dpi: int, language: str) -> None:
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
+    if dpi < 72:
+        raise ValueError("dpi must be 72 or more")
+    if not language.strip():
+        raise ValueError("a language of optical recognition is needed")
+
+
+def select_page(threshold: float = 0.10, ocr_language: str = "eng") -> dict[str, Column]:
+    """Columns of the page representation, over markdown_text, direct_text,
+    ocr_text and ocr_error: the first rule that applies decides."""
+    parse_guards(threshold, 72, ocr_language)
     md, direct, ocr = (F.coalesce(F.col(c), F.lit("")) for c in ("markdown_text", "direct_text", "ocr_text"))
     md_ratio, direct_ratio = replacement_ratio(md), replacement_ratio(direct)
     damaged = (md_ratio > threshold) & usable(direct) & (direct_ratio < md_ratio)
@@ -49,6 +57,7 @@ def select_page(threshold: float = 0.10) -> dict[str, Column]:
         "direct_replacement_ratio": F.round(direct_ratio, 4),
         "selected_replacement_ratio": F.round(ratio, 4),
         "ocr_used": scanned,
+        "ocr_language": F.when(scanned, ocr_language),
         "ocr_error": F.when(scanned, F.substring("ocr_error", 1, 240)),
     }
 

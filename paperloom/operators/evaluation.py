@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CUTS = (1, 3, 5, 10)
 
@@ -26,6 +27,30 @@ def metrics(ranks: DataFrame, *by: str, digits: int = 4) -> DataFrame:
     return ranks.groupBy(*by).agg(F.count("*").alias("cases"), *hits, F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), digits).alias("mrr"))
 
 
+def level_metrics(hits: DataFrame, relevant: DataFrame, cases: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """hits (query_id, rank, and a column for each level, a section or document
+    say), relevant the same without rank: metrics of each level, where only the
+    first hit of a value counts and values are ranked anew."""
+    out = None
+    for level in levels:
+        first = hits.groupBy("query_id", F.col(level).alias("doc_id")).agg(F.min("rank").alias("_r"))
+        ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_r", "doc_id")))
+        part = metrics(first_rank(ranked, relevant.select("query_id", F.col(level).alias("doc_id")), cases)).withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def report(ranks: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """One row: stages, the metrics of each stage, and cases, of each case the
+    rank at every stage; ranks (stage, query_id, rank)."""
+    by_stage = metrics(ranks, "stage").agg(F.array_sort(F.collect_list(F.struct("stage", "cases", *[f"hit_{k}" for k in CUTS], "mrr"))).alias("stages"))
+    each = ranks.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "rank")))).alias("ranks"))
+    if candidates is not None:
+        each = each.join(candidates.select("query_id", "candidates"), "query_id", "left")
+    listed = each.agg(F.array_sort(F.collect_list(F.struct("query_id", F.to_json(F.struct(*[c for c in each.columns if c != "query_id"])).alias("result")))).alias("cases"))  # the cases of an evaluation set
+    return by_stage.crossJoin(listed)
+
+
 def case_scores(rank: Column) -> Column:
     return F.struct(*[F.when(rank <= k, 1.0).otherwise(0.0).alias(f"hit_{k}") for k in CUTS], F.coalesce(1.0 / rank, F.lit(0.0)).alias("mrr"))
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 DIMENSIONS = ("release_version", "question_type", "language", "document_type")
 LEVELS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+STEPS = 4096
 #: Keys a stored sample may have, and domains of its enumerations: fixed values.
 STATUSES = ("complete", "fallback", "error")
 REGRESSION_FIELDS = ("case_id", "query", "question_type", "required_knowledge", "expected_title", "expected_path_contains", "expected_sections")
@@ -26,17 +27,51 @@ def health_columns() -> list[Column]:
     return [
         F.count("*").alias("requests"), rate(F.col("status") == "complete").alias("success_rate"), rate(F.col("fallback")).alias("fallback_rate"),
         rate(F.coalesce("candidate_count", F.lit(0)) == 0).alias("empty_retrieval_rate"), rate(F.col("error_code") == "TIMEOUT").alias("timeout_rate"),
-        *[F.round(F.percentile("total_seconds", F.lit(p)), 6).alias(name) for name, p in LEVELS.items()],
     ]
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by keys, of which nulls are equal; with the keys of left."""
+    renamed = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return left.join(renamed, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """(by, a column for each level): percentiles with linear interpolation, null
+    values left out.
+
+    Equal values are counted before they are shuffled.  The distinct values of a
+    group fall into STEPS equal ranges between its smallest and largest; the
+    ranges are ranked by their counts, and values within their range, so a group
+    of any size is ranked in many tasks."""
+    by = [*by, "_all"]
+    counts = rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0)).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    bounds = counts.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    share = F.coalesce((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0))
+    placed = _same(counts, bounds, by).withColumn("step", F.least(F.floor(share * STEPS), F.lit(STEPS - 1)))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy(*by, "step").agg(F.sum("n").alias("s")).withColumn("before", before).drop("s")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "step").orderBy("v"))
+    ranked = _same(placed, ranges, [*by, "step"]).withColumn("upto", upto).withColumn("first", F.col("upto") - F.col("n"))
+    at = {name: F.lit(p) * (F.col("total") - 1) for name, p in levels.items()}
+    held = lambda r: F.max(F.when((F.col("first") <= r) & (r < F.col("upto")), F.col("v")))
+    wanted = [c for name, pos in at.items() for c in (held(F.floor(pos)).alias(f"_lo_{name}"), held(F.ceil(pos)).alias(f"_hi_{name}"))]
+    found = ranked.groupBy(*by, "total").agg(*wanted)
+    weight = {name: pos - F.floor(pos) for name, pos in at.items()}
+    return found.select(*by[:-1], *[F.round((1 - weight[n]) * F.col(f"_lo_{n}") + weight[n] * F.col(f"_hi_{n}"), 6).alias(n) for n in levels])
+
+
 def runtime_health(samples: DataFrame, *by: str) -> DataFrame:
-    return samples.groupBy(*by).agg(*health_columns())
+    """Rates and percentiles of each group; without `by` one row, of no samples too."""
+    return _same(samples.groupBy(*by).agg(*health_columns()), exact_percentiles(samples, list(by), "total_seconds", LEVELS), list(by), "left")
 
 
 def stage_latency(samples: DataFrame, *by: str) -> DataFrame:
     each = samples.select(*by, F.explode("stage_seconds").alias("stage", "seconds"))
-    return each.groupBy(*by, "stage").agg(*[F.round(F.percentile("seconds", F.lit(LEVELS[n])), 6).alias(n) for n in ("p50", "p95")])
+    return exact_percentiles(each, [*by, "stage"], "seconds", {n: LEVELS[n] for n in ("p50", "p95")})
 
 
 def error_counts(samples: DataFrame) -> DataFrame:
@@ -61,7 +96,7 @@ class AlertPolicy:
 
 def alerts(current: DataFrame, baseline: DataFrame, policy: AlertPolicy = AlertPolicy()) -> DataFrame:
     """(metric, value, threshold) of what is above its multiple of the baseline;
-    both inputs are one row of runtime_health."""
+    both inputs are one row of runtime_health.  The metric names are fixed values."""
     checks = (("latency.p95", F.col("p95"), policy.latency), ("fallback_rate", F.col("fallback_rate"), policy.rate), ("empty_retrieval_rate", F.col("empty_retrieval_rate"), policy.rate), ("failure_rate", 1 - F.col("success_rate"), policy.rate))
     row = lambda name: F.array(*[F.struct(F.lit(m).alias("metric"), F.round(c, 6).alias(name), F.lit(k).alias("multiple")) for m, c, k in checks])
     now = current.where(F.col("requests") >= policy.minimum_requests).select(F.explode(row("value")).alias("c")).select("c.metric", "c.value")
@@ -71,7 +106,8 @@ def alerts(current: DataFrame, baseline: DataFrame, policy: AlertPolicy = AlertP
 
 def release_gate(candidate: DataFrame, baseline: DataFrame, tolerance: float = 1.2) -> DataFrame:
     """One row (passed, failures) from one-row inputs (hit_5, mrr, p95,
-    new_severe); reranker metrics are given if there are any, else the fused ones."""
+    new_severe); reranker metrics are given if there are any, else the fused ones.
+    The messages are fixed values."""
     b = baseline.select(F.col("hit_5").alias("b_hit"), F.col("mrr").alias("b_mrr"), F.col("p95").alias("b_p95"))
     failures = F.array_compact(F.array(
         F.when(F.coalesce("hit_5", F.lit(0.0)) < F.coalesce("b_hit", F.lit(0.0)), "hit@5 regressed"), F.when(F.coalesce("mrr", F.lit(0.0)) < F.coalesce("b_mrr", F.lit(0.0)), "mrr regressed"),
@@ -193,5 +229,10 @@ def recordable(raw: DataFrame, now: Column, allowed: tuple[str, ...]) -> DataFra
     return kept.withColumn("timestamp", F.coalesce("timestamp", now) if "timestamp" in kept.columns else now)
 
 
+def recorded_answers(records: DataFrame, versions: dict[str, str], now: Column) -> DataFrame:
+    """answer_quality() of records as they are logged, with versions and time."""
+    return with_versions(answer_quality(records), versions).withColumn("timestamp", now)
+
+
 def with_versions(df: DataFrame, versions: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in versions.items()})

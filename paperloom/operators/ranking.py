@@ -140,6 +140,8 @@ def candidate_summary(ranked: DataFrame, score_col: str | None = None, limit: in
 
 
 def rank_delta(before: DataFrame, after: DataFrame, missing: int = MISSING_RANK) -> DataFrame:
-    """before - after rank of each item of either list; a missing rank is 21."""
+    """before - after rank of each item among the first 20 of either list; a
+    missing rank is 21."""
+    before, after = before.where(F.col("rank") < missing), after.where(F.col("rank") < missing)
     a, b = before.select("query_id", "doc_id", F.col("rank").alias("before_rank")), after.select("query_id", "doc_id", F.col("rank").alias("after_rank"))
     return a.join(b, ["query_id", "doc_id"], "full_outer").withColumn("delta", F.coalesce("before_rank", F.lit(missing)) - F.coalesce("after_rank", F.lit(missing)))

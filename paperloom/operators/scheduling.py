@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.operators.sizing import small
+
 REASONS = ("scope_mismatch", "window_too_short", "no_qualified_technician", "no_compatible_workstation", "no_required_equipment", "resource_conflict", "no_available_time")
 OPEN_FROM, OPEN_UNTIL = 8, 18
 
@@ -46,6 +48,32 @@ def planning_day(resources: DataFrame, moment: Column) -> DataFrame:
     return resources.withColumn("availability", F.array(slot))
 
 
+def store_resources(technicians: DataFrame, links: DataFrame, capabilities: DataFrame, workstations: DataFrame, equipment: DataFrame, moment: Column) -> DataFrame:
+    """Resources (kind, ord, id, store_id, type, availability, abilities) of the
+    stored tables on the day of moment: technicians with the capabilities that
+    links (technician_id, capability_id, valid_from, valid_until) give them.
+    The order within a kind is that of the ids."""
+    skill = links.join(capabilities.select(F.col("id").alias("capability_id"), F.col("code").alias("skill")), "capability_id")
+    held = skill.groupBy(F.col("technician_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("skill", "valid_from", "valid_until"))).alias("abilities"))
+    none = F.array().cast("array<struct<skill:string,valid_from:timestamp,valid_until:timestamp>>")
+    rows = technicians.join(held, "id", "left").select(F.lit("technician").alias("kind"), "id", "store_id", F.lit(None).cast("string").alias("type"), F.coalesce("abilities", none).alias("abilities"))
+    for df, kind, column in ((workstations, "workstation", "workstation_type"), (equipment, "equipment", "equipment_type")):
+        rows = rows.unionByName(df.select(F.lit(kind).alias("kind"), "id", "store_id", F.col(column).alias("type"), none.alias("abilities")))
+    ordered = rows.withColumn("ord", F.row_number().over(Window.partitionBy("store_id", "kind").orderBy("id")))
+    return planning_day(ordered, moment)
+
+
+def catalogue_tasks(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """requests (request_id, service_type, scheduled_at, category, powertrain)
+    with the operation of the catalogue (code, brand, store_id, duration_minutes,
+    required_skills, required_workstation_types, required_equipment_types) as
+    tasks within an hour of the wished time; an unknown service is an error."""
+    joined = requests.join(small(catalogue), F.col("service_type") == F.col("code"), "left")
+    code = F.when(F.col("code").isNotNull(), F.col("code")).otherwise(F.raise_error(F.concat(F.lit("not in the catalogue: "), F.coalesce("service_type", F.lit("null")))).cast("string"))
+    window = requested_window(F.col("scheduled_at"))
+    return joined.select(F.col("request_id").alias("task_id"), code.alias("service_code"), "brand", "store_id", "category", "powertrain", "duration_minutes", window["earliest_start"].alias("earliest_start"), window["latest_end"].alias("latest_end"), "required_skills", "required_workstation_types", "required_equipment_types", F.lit(None).cast("array<string>").alias("allowed_technician_ids"))
+
+
 def requested_window(preferred: Column, around_hours: int = 1) -> Column:
     wide = F.make_dt_interval(hours=F.lit(around_hours))
     return F.struct((preferred - wide).alias("earliest_start"), (preferred + wide).alias("latest_end"))

@@ -8,6 +8,7 @@ the first command on an overlapping resource wins.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
@@ -33,6 +34,41 @@ def token_result(given: Column, stored_hash: Column, expires_at: Column, used_at
     return F.when(used_at.isNotNull(), "plan_already_used").when(expires_at <= now, "plan_expired").when(~token_hash(given).eqNullSafe(stored_hash), "invalid_token").otherwise("ok")
 
 
+def used_plans(plans: DataFrame, uses: DataFrame) -> DataFrame:
+    """plans (plan_id, token_hash, expires_at) and uses (command_id, plan_id,
+    token, at, order_key) -> uses with result.  A plan is used once: of the valid
+    uses of one plan the first by time and command counts, later ones are told
+    so; one that is missing, late, or has no or another token is refused."""
+    known = uses.join(plans.select("plan_id", "token_hash", "expires_at"), "plan_id", "left")
+    wrong = (
+        F.when(F.coalesce(F.col("token"), F.lit("")) == "", "confirmation_required").when(F.col("token_hash").isNull(), "plan_not_found")
+        .when(F.coalesce(F.col("expires_at") <= F.col("at"), F.lit(False)), "plan_expired").when(~token_hash(F.col("token")).eqNullSafe(F.col("token_hash")), "invalid_token")
+    )
+    judged = known.withColumn("_wrong", wrong)
+    first = judged.where("_wrong is null").groupBy("plan_id").agg(F.min(F.struct("at", "command_id")).alias("_first"))
+    placed = judged.join(first, "plan_id", "left")
+    result = F.when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.struct("at", "command_id") == F.col("_first"), "ok").otherwise("plan_already_used")
+    return placed.select("command_id", "plan_id", "order_key", "at", result.alias("result"))
+
+
+def plan_states(plans: DataFrame, used: DataFrame) -> DataFrame:
+    """plans with status CONFIRMED, USED or SUPERSEDED, used_at, and for those
+    that a later plan of the same order took over superseded_at and by_plan_id."""
+    ok = used.where("result = 'ok'")
+    w = Window.partitionBy("order_key").orderBy("at", "command_id")
+    after = ok.select("plan_id", F.col("at").alias("used_at"), F.lead("at").over(w).alias("superseded_at"), F.lead("plan_id").over(w).alias("by_plan_id"))
+    status = F.when(F.col("used_at").isNull(), "CONFIRMED").when(F.col("by_plan_id").isNotNull(), "SUPERSEDED").otherwise("USED")
+    return plans.join(after, "plan_id", "left").withColumn("status", status)
+
+
+#: What a caller is shown of an order: fixed values.
+SHOWN = ("order_no", "store_id", "service_code", "service_name", "service_summary", "scheduled_start", "scheduled_end", "technician_id", "workstation_id", "status", "customer_note", "ai_service_summary", "version")
+
+
+def shown(orders: DataFrame) -> DataFrame:
+    return orders.select(*SHOWN)
+
+
 def first_of_each_key(commands: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Commands whose idempotency key is new; of several the first."""
     keyed = commands.withColumn("_k", F.row_number().over(Window.partitionBy(F.coalesce("idempotency_key", F.concat(F.lit("#"), F.col("command_id").cast("string")))).orderBy("command_id"))).where("_k = 1").drop("_k")
@@ -50,17 +86,18 @@ def reservations_of(orders: DataFrame) -> DataFrame:
 
 
 def fold(commands: Iterable[dict]) -> list[dict]:
-    """Results of one conflict group's commands, in order."""
+    """Results of one conflict group's commands, in order.  Orders that hold a
+    resource are found by the resource."""
     orders: dict[str, dict] = {}
+    holders: dict[tuple, set[str]] = defaultdict(set)
     keys: dict[str, str] = {}
     out = []
     for c in commands:
         key, kind = c["order_key"], c["kind"]
         order, result, was, now = orders.get(key), "ok", None, None
         mine = [("technician", c["technician_id"]), ("workstation", c["workstation_id"]), *(("equipment", e) for e in (c["equipment_ids"] if c["equipment_ids"] is not None else ()))]
-        taken = kind in ("create", "reschedule") and any(
-            o["status"] in ("CONFIRMED", "CHECKED_IN") and k != key and set(o["held"]) & set(mine) and o["start"] < c["end_time"] and c["start_time"] < o["end"] for k, o in orders.items()
-        )
+        near = {k for r in mine for k in holders[r]} - {key} if kind in ("create", "reschedule") else ()
+        taken = any(orders[k]["start"] < c["end_time"] and c["start_time"] < orders[k]["end"] for k in near)
         if kind == "create":
             if c["idempotency_key"] is not None and c["idempotency_key"] in keys:
                 result, key = "existing", keys[c["idempotency_key"]]
@@ -72,6 +109,8 @@ def fold(commands: Iterable[dict]) -> list[dict]:
                 order = orders[key] = {"status": "CONFIRMED", "held": mine, "start": c["start_time"], "end": c["end_time"], "version": 1}
                 keys[c["idempotency_key"]] = key
                 now = "CONFIRMED"
+                for r in mine:
+                    holders[r].add(key)
         elif order is None:
             result = "not_found"
         else:
@@ -86,7 +125,11 @@ def fold(commands: Iterable[dict]) -> list[dict]:
             elif taken:
                 result = "reservation_conflict"
             else:
+                for r in order["held"] if kind in ("reschedule", "cancel", "complete") else ():
+                    holders[r].discard(key)
                 if kind == "reschedule":
+                    for r in mine:
+                        holders[r].add(key)
                     order |= {"held": mine, "start": c["start_time"], "end": c["end_time"]}
                 order["status"], now = to, to
                 order["version"] += 1

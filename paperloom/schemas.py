@@ -13,6 +13,7 @@ ORDER_STATUSES = ("CONFIRMED", "CHECKED_IN", "COMPLETED", "CANCELLED")
 DOCUMENT_ID = r"^(?:[A-Za-z0-9][A-Za-z0-9._-]{0,127})\z"
 
 
+# Field names and order of the stored tables: fixed values.
 TOC_ITEM = "level INT, title STRING, page INT"
 PARSING = "status STRING, strategy STRING, fallback_reason STRING, markdown_replacement_ratio DOUBLE, direct_replacement_ratio DOUBLE, selected_replacement_ratio DOUBLE, ocr_used BOOLEAN, ocr_language STRING, ocr_error STRING"
 RAW_PAGES = "document_id STRING, page INT, markdown_text STRING, direct_text STRING, ocr_text STRING, ocr_error STRING"
@@ -49,3 +50,16 @@ RESERVATIONS = "resource_type STRING, resource_id STRING, start_time TIMESTAMP,
 COMMANDS = (
     "command_id LONG, kind STRING, order_key STRING, idempotency_key STRING, actor_role STRING, technician_id STRING, workstation_id STRING, equipment_ids ARRAY<STRING>, start_time TIMESTAMP, end_time TIMESTAMP"
 )
+# Report containers: fixed values.
+TABLE_QUALITY = "table_id STRING, quality STRING, rows INT, columns INT, empty_cell_ratio DOUBLE, fragmented_cell_ratio DOUBLE, reason STRING"
+TABLE_CANDIDATE = "page INT, source STRING, bbox ARRAY<DOUBLE>, rows ARRAY<ARRAY<STRING>>, score DOUBLE, status STRING, column_consistency DOUBLE, empty_cell_ratio DOUBLE, short_cell_ratio DOUBLE, source_coverage DOUBLE, watermark_hit_rate DOUBLE, reason STRING"
+PAGE_TABLES = "page INT, candidates INT, selected_status STRING, selected_source STRING, selected_score DOUBLE"
+PAGE_REPORT = (
+    "page INT, text_chars_before INT, text_chars_after INT, parser_status STRING, parser_strategy STRING, parser_fallback_reason STRING, replacement_character_ratio DOUBLE, ocr_used BOOLEAN, ocr_language STRING, ocr_error STRING, rag_text_status STRING, "
+    "geometry_watermark_detected BOOLEAN, watermark_in_text BOOLEAN, image_internal_text_detected BOOLEAN, table_detected BOOLEAN, table_quality STRING, watermark_removed INT, geometry_watermark_removed INT, image_internal_text_removed INT, "
+    f"table_count INT, low_quality_tables INT, tables ARRAY<STRUCT<{TABLE_QUALITY}>>, warnings ARRAY<STRING>, quality STRING"
+)
+DOCUMENT_REPORT = (
+    "page_count INT, normal_pages INT, warning_pages INT, failed_pages INT, rag_pass_pages INT, rag_warning_pages INT, quarantine_pages INT, geometry_watermark_pages INT, watermark_in_text_pages INT, watermark_removed INT, geometry_watermark_removed INT, "
+    f"image_internal_text_removed INT, table_count INT, low_quality_tables INT, parser_fallback_pages INT, ocr_pages INT, parser_failed_pages INT, warnings ARRAY<STRING>, pages ARRAY<STRUCT<{PAGE_REPORT}>>"
+)

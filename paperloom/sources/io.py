@@ -51,16 +51,29 @@ def read_manifest_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
 
 
-def audit_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """manifest (relative_path, sha256) against binaryFile rows: missing files,
-    wrong signatures or hashes, and content that several entries share."""
-    content = files.select(F.col("path"), F.sha2("content", 256).alias("_sha"), (F.substring(F.col("content"), 1, 5) == F.lit(b"%PDF-")).alias("_signed"))
-    joined = manifest.join(content, F.endswith(content["path"], F.concat(F.lit("/"), manifest["relative_path"])), "left")
-    joined = joined.withColumn("_same", F.count("_sha").over(Window.partitionBy("_sha")))
-    problems = F.array_compact(F.array(F.when(F.col("_sha").isNull(), "missing"), F.when(~F.col("_signed"), "bad_signature"), F.when(F.col("_sha") != F.col("sha256"), "hash_mismatch"), F.when(F.col("_sha").isNotNull() & (F.col("_same") > 1), "duplicate_content")))
+def audit_files(manifest: DataFrame, files: DataFrame, base: str, pages: DataFrame | None = None) -> DataFrame:
+    """manifest (relative_path, sha256, page_count) against binaryFile rows under
+    the folder base: missing files, wrong signatures or hashes, content that
+    several entries share, and, with pages (relative_path, n_pages), wrong
+    numbers of pages."""
+    relative = F.regexp_replace(F.substring_index("path", base.rstrip("/").removeprefix("file:") + "/", -1), "^/+", "")
+    content = files.select(relative.alias("relative_path"), F.sha2("content", 256).alias("_sha"), (F.substring(F.col("content"), 1, 5) == F.lit(b"%PDF-")).alias("_signed"))
+    joined = manifest.join(content, "relative_path", "left")
+    shared = joined.where("_sha is not null").groupBy("_sha").agg(F.count("*").alias("_same"))
+    joined = joined.join(shared, "_sha", "left")
+    counted = F.lit(False)
+    if pages is not None:
+        joined = joined.join(pages.select("relative_path", F.col("n_pages").alias("_pages")), "relative_path", "left")
+        counted = F.coalesce(F.col("_pages") != F.col("page_count"), F.lit(False))
+    problems = F.array_compact(F.array(F.when(F.col("_sha").isNull(), "missing"), F.when(~F.col("_signed"), "bad_signature"), F.when(F.col("_sha") != F.col("sha256"), "hash_mismatch"), F.when(F.col("_same") > 1, "duplicate_content"), F.when(counted, "page_count_mismatch")))
     return joined.select("relative_path", problems.alias("problems"))
 
 
+def file_versions(files: DataFrame) -> DataFrame:
+    """(path, sha256, version): the content's hash and its first 16 characters."""
+    return files.select("path", F.sha2("content", 256).alias("sha256")).withColumn("version", F.substring("sha256", 1, 16))
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Document metadata: an array, or an object that holds it as `selection` or
     `documents`; of several entries for an id the last counts."""
@@ -125,6 +138,41 @@ def parse_files(files: DataFrame, parser: Callable[[str, bytes], list[dict]], sc
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def withdraw(folder: str, spark: SparkSession) -> None:
+    """No version counts as published any more; a missing folder is fine."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_state")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replace_file(text: str, path: str, spark: SparkSession) -> None:
+    """A small file (a report, say) written beside its place and then renamed over it."""
+    target, beside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+        out.hsync()
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"{path} could not be replaced")
+
+
+def write_json(df: DataFrame, folder: str) -> None:
+    """One JSON object a line, nulls kept."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(folder)
+
+
+def write_markdown(df: DataFrame, folder: str) -> None:
+    """A Markdown table in order of the first column, in one file: for reports."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[|\r\n]", " ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "k int, value string")
+    rows = df.select(F.lit(2).alias("k"), line.alias("value"), F.col(df.columns[0]).cast("string").alias("o"))
+    head.withColumn("o", F.lit(None).cast("string")).unionByName(rows).coalesce(1).sortWithinPartitions("k", "o").select("value").write.mode("overwrite").text(folder)
+
+
 def publish(tables: dict[str, DataFrame], folder: str, state: DataFrame) -> str:
     """Each table into a fresh folder, then the state as the last step."""
     version = uuid.uuid4().hex
@@ -142,7 +190,10 @@ def published(spark: SparkSession, folder: str, name: str, version: str) -> Data
 
 
 def publish_if_valid(tables: dict[str, DataFrame], folder: str, state: DataFrame, statuses: DataFrame, violations: DataFrame) -> str:
-    """Nothing is written unless every document is done and nothing is violated."""
+    """Nothing is written unless every document is done and nothing is violated;
+    what was published before is withdrawn first, so a failed batch leaves no
+    combined output that looks current."""
+    withdraw(folder, state.sparkSession)
     failed = statuses.where("status not in ('complete', 'skipped')").take(1)
     if failed:
         raise ValueError(f"document {failed[0]['document_id']} failed")

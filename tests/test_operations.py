@@ -296,3 +296,70 @@ def test_overlap_pairs_equal_all_pairs(spark):
     left, right = spark.createDataFrame(a, "i int, id int, start timestamp, end timestamp"), spark.createDataFrame(b, "j int, id int, start_time timestamp, end_time timestamp")
     got = sorted((r.i, r.j) for r in scheduling.overlap_pairs(left, right, ("id",)).collect())
     assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3])
+
+
+def test_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.lognormal(0, 2, 500), "b": np.array([3.0]), "c": np.repeat([1.0, 2.0], [7, 4]), None: rng.integers(0, 5, 100).astype(float), "d": np.array([-1e9, 0.0, 1e9, 1e-9])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("e", None), ("a", None)]
+    got = {r.g: r for r in monitoring.exact_percentiles(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x", monitoring.LEVELS).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert [got[g][n] for n in monitoring.LEVELS] == pytest.approx([round(float(np.quantile(vs, p)), 6) for p in monitoring.LEVELS.values()], rel=1e-9, abs=1e-6)
+
+
+def test_plans_are_used_once_and_superseded(spark):
+    from paperloom.operators import workorders as W
+
+    plans = spark.createDataFrame([(p, e) for p, e in (("p1", at(60)), ("p2", at(60)), ("p3", at(5)), ("p4", None), ("p5", None))], "plan_id string, expires_at timestamp").withColumn("token_hash", W.token_hash(F.concat(F.lit("t-"), F.col("plan_id"))))
+    uses = [(1, "p1", "wrong", at(1), "o1"), (2, "p1", "t-p1", at(2), "o1"), (3, "p1", "t-p1", at(3), "o1"), (4, "p2", "t-p2", at(4), "o1"), (5, "p3", "t-p3", at(5), "o2"), (6, "p4", "", at(6), "o2"), (7, "p4", "t-p4", at(7), "o2"), (8, "p9", "t", at(8), "o2"), (9, "p4", None, at(9), "o2")]
+    used = W.used_plans(plans, spark.createDataFrame(uses, "command_id long, plan_id string, token string, at timestamp, order_key string"))
+    assert {r.command_id: r.result for r in used.collect()} == {1: "invalid_token", 2: "ok", 3: "plan_already_used", 4: "ok", 5: "plan_expired", 6: "confirmation_required", 7: "ok", 8: "plan_not_found", 9: "confirmation_required"}
+    states = {r.plan_id: r for r in W.plan_states(plans, used).collect()}
+    assert {p: r.status for p, r in states.items()} == {"p1": "SUPERSEDED", "p2": "USED", "p3": "CONFIRMED", "p4": "USED", "p5": "CONFIRMED"}
+    assert (states["p1"].superseded_at, states["p1"].by_plan_id) == (at(4), "p2")
+
+
+def test_planner_from_the_store_and_catalogue(spark):
+    technicians = spark.createDataFrame([("T2", "S"), ("T1", "S")], "id string, store_id string")
+    links = spark.createDataFrame([("T1", "c1", None, None), ("T2", "c2", None, None), ("T2", "c1", at(500), None)], "technician_id string, capability_id string, valid_from timestamp, valid_until timestamp")
+    capabilities = spark.createDataFrame([("c1", "brake"), ("c2", "paint")], "id string, code string")
+    stations = spark.createDataFrame([("W1", "S", "lift")], "id string, store_id string, workstation_type string")
+    devices = spark.createDataFrame([], "id string, store_id string, equipment_type string")
+    resources = scheduling.store_resources(technicians, links, capabilities, stations, devices, F.lit(at(0)))
+    assert {(r.id, r.ord, len(r.abilities), r.availability[0].start.hour, r.availability[0].end.hour) for r in resources.collect()} == {("T1", 1, 1, 8, 18), ("T2", 2, 2, 8, 18), ("W1", 1, 0, 8, 18)}
+    catalogue = spark.createDataFrame([("brake-check", "b", "S", 30, ["brake"], ["lift"], None)], "code string, brand string, store_id string, duration_minutes int, required_skills array<string>, required_workstation_types array<string>, required_equipment_types array<string>")
+    asked = spark.createDataFrame([("r1", "brake-check", at(120), "car", "ice")], "request_id string, service_type string, scheduled_at timestamp, category string, powertrain string")
+    tasks = scheduling.catalogue_tasks(asked, catalogue)
+    (r,) = scheduling.plan(tasks, resources, spark.createDataFrame([], schemas.RESERVATIONS)).collect()
+    assert (r.status, r.technician_id, r.workstation_id, r.start) == ("FEASIBLE", "T1", "W1", at(60))
+    with pytest.raises(Exception, match="not in the catalogue"):
+        scheduling.catalogue_tasks(asked.withColumn("service_type", F.lit("x")), catalogue).collect()
+
+
+def test_files_reports_and_shards(spark, tmp_path):
+    io.replace_file("one", f"{tmp_path}/r.json", spark)
+    io.replace_file('{"a": "ä"}', f"{tmp_path}/r.json", spark)
+    assert (tmp_path / "r.json").read_text() == '{"a": "ä"}' and not list(tmp_path.glob("*.tmp"))
+    df = spark.createDataFrame([("b", None), ("a", "x|y\nz")], "k string, v string")
+    io.write_markdown(df, f"{tmp_path}/md")
+    assert "".join(p.read_text() for p in (tmp_path / "md").glob("part-*")) == "| k | v |\n|---|---|\n| a | x y z |\n| b |  |\n"
+    io.write_json(df, f"{tmp_path}/js")
+    assert sorted(json.loads(x)["k"] for p in (tmp_path / "js").glob("part-*") for x in p.read_text().splitlines()) == ["a", "b"]
+    (tmp_path / "c").mkdir()
+    for name, body in (("one.pdf", b"%PDF-1 a"), ("two.pdf", b"no"), ("same.pdf", b"%PDF-1 a")):
+        (tmp_path / "c" / name).write_bytes(body)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/c")
+    sha = {r.path.split("/")[-1]: r.sha256 for r in io.file_versions(files).collect()}
+    manifest = spark.createDataFrame([("one.pdf", sha["one.pdf"], 3), ("two.pdf", "x", 1), ("same.pdf", sha["same.pdf"], 1), ("gone.pdf", "x", 1), ("gone2.pdf", "x", 1)], "relative_path string, sha256 string, page_count int")
+    pages = spark.createDataFrame([("one.pdf", 2), ("same.pdf", 1)], "relative_path string, n_pages int")
+    got = {r.relative_path: r.problems for r in io.audit_files(manifest, files, f"{tmp_path}/c", pages).collect()}
+    assert got == {"one.pdf": ["duplicate_content", "page_count_mismatch"], "two.pdf": ["bad_signature", "hash_mismatch"], "same.pdf": ["duplicate_content"], "gone.pdf": ["missing"], "gone2.pdf": ["missing"]}
+    for n in (1, 2):
+        (tmp_path / f"s{n}.json").write_text(json.dumps([{"query": f"q{n}"}, {"query": "z", "case_id": "own"}]))
+    paths = [f"{tmp_path}/s{n}.json" for n in (1, 2)]
+    assert sorted((r.query, r._ord, r.case_id) for r in io.read_shards(spark, paths, 2).collect()) == [("q1", 1, None), ("q2", 1, None), ("z", 2, "own"), ("z", 2, "own")]
+    with pytest.raises(ValueError):
+        io.read_shards(spark, paths)

@@ -102,3 +102,58 @@ def test_annotation_violations(spark):
     row = lambda i, **o: tuple(({"case_id": i, "case_kind": "positive", "language": "en", "query": f"what {i}", "expected_document_id": "d", "expected_section_id": "s", "evidence_quote": "quote", "evidence_page_start": 2, "evidence_page_end": 3} | o).values())
     cases = spark.createDataFrame([row("a"), row("b", evidence_quote="absent"), row("c", language="zh"), row("d", expected_section_id="x")], "case_id string, case_kind string, language string, query string, expected_document_id string, expected_section_id string, evidence_quote string, evidence_page_start int, evidence_page_end int")
     assert {(r.case_id, r.violation) for r in evaluation.annotation_violations(cases, sections, 4).collect()} == {("b", "quote_not_verbatim"), ("c", "language_mismatch"), ("d", "unknown_section")}
+
+
+def test_service_answers_requests(spark):
+    from paperloom.operators import service
+
+    chunk = "chunk_id string, document_id string, section_id string, document_content_type string, metadata_confidence double, quality struct<rag_text_status:string,table_quality:string>, text string, index_text string"
+    chunks = spark.createDataFrame([(f"c{i}", f"D{i % 2}", f"s{i % 3}", "technical_training", 0.9, ("pass", None), f"text about engine {'valve' if i % 2 else 'pump'} {i}", f"index {i}") for i in range(6)], chunk)
+    sections = spark.createDataFrame([(f"s{i}", f"D{i}", f"Title {i}", ["p"], 1, 2, "body") for i in range(2)], "section_id string, document_id string, title string, path array<string>, page_start int, page_end int, text string")
+    documents = spark.createDataFrame([("D0", "d0.pdf", "other", 0.5)], "document_id string, filename string, content_type string, metadata_confidence double")
+    vectors = spark.createDataFrame([(f"c{i}", [1.0, float(i)]) for i in range(6)], "doc_id string, vector array<double>")
+    engine = service.Engine(chunks, sections, documents, vectors, lambda c: c.withColumn("model_score", F.length("chunk_profile") / 100.0))
+    asked = spark.createDataFrame([(1, "valve engine", "principle", 4), (2, "pump", "repair", None)], "query_id long, query string, question_type string, top_chunks int")
+    got = engine.retrieve(asked, spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "query_id long, vector array<double>"))
+    by_query = {q: got.chunks.where(f"query_id = {q}").orderBy("rank").collect() for q in (1, 2)}
+    assert [len(v) for v in by_query.values()] == [4, 6] and [r.rank for r in by_query[2]] == [1, 2, 3, 4, 5, 6] and engine.ready()
+    assert {r.section_id for r in got.sections.collect()} <= {"s0", "s1"} and {r.document_id for r in got.documents.collect()} == {"D0"}
+    payload = {r.query_id: r for r in service.agent_payload(got).collect()}
+    assert all(len(r.sources) == 1 and r.sources[0].filename == "d0.pdf" for r in payload.values())
+    assert {e.section_title for r in payload.values() for e in r.evidence} <= {"Title 0", "Title 1", None}
+    for bad in ({"query": " "}, {"query": "q" * 4001}, {"question_type": "odd"}, {"top_chunks": 16}):
+        with pytest.raises(Exception, match="query is empty|unknown question|top_chunks"):
+            service.checked_requests(asked.withColumns({k: F.lit(v) for k, v in bad.items()})).collect()
+    with pytest.raises(Exception, match="must not be empty"):
+        asked.select(service.profile_pair(F.col("question_type"), F.lit(" "), F.col("query"), F.lit("x"))).collect()
+
+
+def test_levels_and_report(spark):
+    hits = spark.createDataFrame([(1, 1, "s1", "d1"), (1, 2, "s1", "d1"), (1, 3, "s2", "d1"), (1, 4, "s3", "d2"), (2, 1, "s9", "d9")], "query_id int, rank int, section string, document string")
+    relevant = spark.createDataFrame([(1, "s3", "d2"), (2, "s8", "d9")], "query_id int, section string, document string")
+    got = {r.level: r for r in evaluation.level_metrics(hits, relevant, relevant, ("section", "document")).collect()}
+    assert (got["section"].hit_3, got["section"].mrr, got["document"].hit_1, got["document"].mrr) == (0.5, 0.1667, 0.5, 0.75)
+    ranks = spark.createDataFrame([("dense", 1, 1), ("dense", 2, None), ("rrf", 1, 2), ("rrf", 2, 1)], "stage string, query_id int, rank int")
+    r = evaluation.report(ranks).first()
+    assert [(s.stage, s.cases, s.hit_1, s.mrr) for s in r.stages] == [("dense", 2, 0.5, 0.5), ("rrf", 2, 0.5, 0.75)] and [c.query_id for c in r.cases] == [1, 2] and '"rrf":2' in r.cases[0].result
+
+
+def test_ingestion_job(spark, tmp_path):
+    from paperloom.plans import ingestion
+
+    schema = "document_id string, page int, markdown_text string, direct_text string, ocr_text string, ocr_error string, toc_items array<struct<level:int,title:string,page:int>>"
+    rows = [(d, p, f"# Chapter {p}\nBody of page {p} in {d}.\n", "x", None, None, None) for d in ("A", "B") for p in (1, 2)]
+    raw = spark.createDataFrame(rows, schema)
+    done = ingestion.ingest(spark, raw, f"{tmp_path}/w", f"{tmp_path}/o")
+    chunks = ingestion.io.published(spark, f"{tmp_path}/o", "chunks", done.version)
+    assert chunks.count() == 4 and set(done.seconds) == {"pages", "clean", "sections", "chunks", "report"} and all(s > 0 for s in done.seconds.values())
+    assert {r.section_id for r in ingestion.io.published(spark, f"{tmp_path}/o", "sections", done.version).collect()} == {f"{d}:s000{i}" for d in "AB" for i in (1, 2)}
+    failed = raw.unionByName(spark.createDataFrame([("C", None, None, None, None, "ValueError: broken", None)], schema))
+    assert {r.document_id: r.error for r in ingestion.document_statuses(failed).where("status = 'failed'").collect()} == {"C": "ValueError: broken"}
+    with pytest.raises(ValueError, match="C failed"):
+        ingestion.ingest(spark, failed, f"{tmp_path}/w", f"{tmp_path}/o")
+    with pytest.raises(Exception):  # the earlier output is withdrawn
+        ingestion.io.published(spark, f"{tmp_path}/o", "chunks", done.version)
+    for bad in ({"chunk_size": 0}, {"chunk_overlap": 1800}, {"dpi": 50}, {"ocr_language": " "}, {"replacement_threshold": 1.1}):
+        with pytest.raises(ValueError):
+            ingestion.Settings(**bad).checked()
