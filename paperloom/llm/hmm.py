@@ -16,14 +16,16 @@ recursions over its texts and returns expected counts, which are summed by
 class across partitions; ROUNDS such rounds go over all training texts.  The
 first parameters come from a few rounds over about INIT_DOCS texts on the driver.
 
-Scoring goes over the texts where they lie; no text is shuffled.  The counts of
-the most frequent tokens, HEAD of HEAD_BYTES each at most, are broadcast, which
-bounds their size; for each text the pass gives its likelihood under the hidden
-Markov model, the sums over its head tokens, and its other tokens, whose exact
-counts are joined by token.  Each of those is rare, so no key of the join is hot
-but for those longer than HEAD_BYTES, which Spark splits like any skewed join.
-
-Texts are read in pieces, so a long one costs its token numbers and not its
+Texts are read twice and never shuffled.  The first pass counts tokens.  The
+counts of the most frequent ones, HEAD of HEAD_BYTES each at most, are then
+broadcast, which bounds their size, and the second pass gives for each text the
+sequence of its classes, the sums over its head tokens, and its other tokens.
+That table is written to the shared checkpoint folder; the rounds of training and
+the likelihoods run over its sequences.  Exact counts of the other tokens are
+joined by token.  Each of those is rare, so no key of the join is hot but for
+those longer than HEAD_BYTES, which Spark splits like any skewed join.
+
+A text is read in pieces, so a long one costs its token numbers and not its
 words.  Long texts of a partition run through the recursions together, and the
 backward one keeps the forward values of SEGMENT tokens at a time: those of
 earlier segments are computed again from the values at their start.
@@ -54,11 +56,12 @@ STATES = 8
 CLASSES = 1 << 16
 ROUNDS = 3
 INIT_DOCS = 1000
-INIT_BYTES = 1 << 16
+INIT_TOKENS = 1 << 14
 INIT_ROUNDS = 15
 HEAD = 1 << 18
 HEAD_BYTES = 64
 LONG = 2048
+SLICE = 2 << 20
 SEGMENT = 1 << 21
 PIECE = 1 << 20
 FLUSH = 500_000
@@ -87,14 +90,10 @@ class Lexicon:
         self.place, self.classes = {t: i for i, t in enumerate(tokens)}, classes
         self.log_counts, self.of = np.log10(np.asarray(counts, np.float64) + 1), classes_of(tokens, classes)[:-1]
 
-    def sequence(self, text: bytes | None) -> np.ndarray:
-        """Class of each token, the end included."""
-        return np.concatenate([*(self._read(words)[1] for words in pieces_of(text)), np.array([self.classes], np.int32)])
-
     def read(self, text: bytes | None) -> tuple[np.ndarray, int, float, Counter]:
-        """The sequence, and of the tokens but the end: how many are of the head,
+        """Of the tokens but the end: the class of each, how many are of the head,
         the sum of their log10(count + 1), and the others with their numbers."""
-        classes, known, total, others = [], 0, 0.0, Counter()
+        classes, known, total, others = [np.empty(0, np.int32)], 0, 0.0, Counter()
         for words in pieces_of(text):
             at, of = self._read(words)
             head = at >= 0
@@ -102,7 +101,7 @@ class Lexicon:
             known += int(head.sum())
             total += float(self.log_counts[at[head]].sum())
             others.update([words[i] for i in np.flatnonzero(~head)])
-        return np.concatenate([*classes, np.array([self.classes], np.int32)]), known, total, others
+        return np.concatenate(classes), known, total, others
 
     def _read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int32, len(words))
@@ -157,27 +156,33 @@ class Hmm:
         """start [S], move [S, S], emit [classes + 1, S]."""
         self.start, self.move, self.emit = start, move, emit
 
+    def _forward(self, batch: Batch, steps: list[tuple[int, int]], before: np.ndarray | None, into: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Scaled forward values of each step and their scales, from those of the
+        step before; written one after the other to `into`, or over each other."""
+        width, ones = len(self.start), np.ones(len(self.start))
+        most = max((m for _, m in steps), default=0)
+        room, taken = (np.empty((2, most, width)) if into is None else None), np.empty((most, width))
+        for k, (at, m) in enumerate(steps):
+            a = room[k & 1, :m] if into is None else into[at - steps[0][0] : at - steps[0][0] + m]
+            if before is None:
+                a[:] = self.start
+            else:
+                np.matmul(before[:m], self.move, out=a)
+            a *= np.take(self.emit, batch.flat[at : at + m], axis=0, out=taken[:m], mode="clip")
+            c = a @ ones
+            a /= c[:, None]
+            before = a
+            yield a, c
+
     def log10_likelihood(self, batch: Batch) -> np.ndarray:
         """Of each sequence, by the scaled forward recursion."""
-        total, alpha = np.zeros(batch.size), np.empty((0, len(self.start)))
-        for t, (at, m) in enumerate(batch.steps()):
-            alpha = (alpha[:m] @ self.move if t else self.start) * self.emit[batch.flat[at : at + m]]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            total[:m] += np.log10(scale)
+        total, steps = np.zeros(batch.size), batch.steps()
+        for (_, m), (_, c) in zip(steps, self._forward(batch, steps, None), strict=True):
+            total[:m] += np.log10(c)
         out = np.empty(batch.size)
         out[batch.order] = total
         return out
 
-    def _forward(self, batch: Batch, steps: list[tuple[int, int]], before: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Scaled forward values of each step and their scales, from those of the step before."""
-        for at, m in steps:
-            a = (before[:m] @ self.move if before is not None else self.start) * self.emit[batch.flat[at : at + m]]
-            c = a.sum(axis=1)
-            a /= c[:, None]
-            before = a
-            yield a, c
-
     def expected(self, batch: Batch, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts [S], moves [S, S] and emissions [classes + 1, S].
         Forward values are held for about `segment` tokens at a time."""
@@ -189,28 +194,30 @@ class Hmm:
                 begin = at
         entry: list[np.ndarray | None] = [None]
         if len(cuts) > 1:  # what the later segments begin from
-            values = None
             for t, (values, _) in enumerate(self._forward(batch, steps[: cuts[-1]], None), 1):
                 if t in cuts:
-                    entry.append(values)
+                    entry.append(values.copy())
         beta, moves, starts, emissions = np.ones((batch.size, s)), np.zeros((s, s)), np.zeros(s), np.zeros((len(self.emit), s))
+        taken, back = np.empty((batch.size, s)), np.ascontiguousarray(self.move.T)
         for first, last, before in zip(cuts[::-1], [len(steps), *cuts[:0:-1]], entry[::-1], strict=True):
             part = steps[first:last]
             if not part:
                 continue
             base, size = part[0][0], part[-1][0] + part[-1][1] - part[0][0]
             alpha, scale = np.empty((size, s)), np.empty(size)
-            for (at, m), (a, c) in zip(part, self._forward(batch, part, before), strict=True):
-                alpha[at - base : at - base + m], scale[at - base : at - base + m] = a, c
+            for (at, m), (_, c) in zip(part, self._forward(batch, part, before, alpha), strict=True):
+                scale[at - base : at - base + m] = c
             for k in range(len(part) - 1, -1, -1):
                 at, m = part[k][0] - base, part[k][1]
                 own = alpha[at : at + m]
                 if first or k:
                     was = before if not k else alpha[part[k - 1][0] - base :]
-                    eb = self.emit[batch.flat[at + base : at + base + m]] * beta[:m] / scale[at : at + m, None]
+                    eb = np.take(self.emit, batch.flat[at + base : at + base + m], axis=0, out=taken[:m], mode="clip")
+                    eb *= beta[:m]
+                    eb /= scale[at : at + m, None]
                     moves += was[:m].T @ eb
                     own *= beta[:m]
-                    beta[:m] = eb @ self.move.T
+                    np.matmul(eb, back, out=beta[:m])
                 else:
                     own *= beta[:m]
                     starts = own.sum(axis=0)
@@ -239,8 +246,8 @@ class Hmm:
         return model
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -281,112 +288,149 @@ def head_of(counts: DataFrame, head: int = HEAD, longest: int = HEAD_BYTES) -> t
     return chosen, ([bytes(t) for t in got["token"]], got["c"].to_numpy(np.int64))
 
 
-def _by_length(batches: Iterator[pa.RecordBatch], read: Callable[[bytes | None, int], tuple], run: Callable[[list[tuple]], object]) -> Iterator[object]:
-    """run() over what read(text, row of its batch) gives, whose first part is a
-    sequence: the short ones of each slice, and the long ones of all together as
-    far as they fit a segment, since the recursions take as many steps as the
-    longest has tokens."""
-    held: list[tuple] = []
+def mass_of(counts: DataFrame, classes: int = CLASSES) -> np.ndarray:
+    """The mass of each class: its tokens' counts, one more for each, and one for
+    its unknown tokens."""
+    bucket = F.when(F.length("token") == 0, classes).otherwise(F.xxhash64("token").bitwiseAND(F.lit(classes - 1)))
+    mass = np.ones(classes + 1)
+    got = counts.where("c > 0").groupBy(bucket.cast("int").alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).toPandas()  # classes + 1 rows
+    mass[got["k"].to_numpy()] += got["m"].to_numpy()
+    return mass
+
+
+ENCODED = "row long, doc_id long, learn boolean, n_tokens long, known long, counted double, inside double, s binary, words binary, numbers binary"
+
+
+def encode(texts: DataFrame, head: tuple[list[bytes], np.ndarray], mass: np.ndarray, ends: int, classes: int = CLASSES) -> DataFrame:
+    """For each text its number, the classes of its tokens but the end (s), and
+    what is known of their counts: inside sums the log10 mass of all classes,
+    known and counted are of head tokens and the end; words (space between) and
+    numbers are the other tokens."""
+    sent, key = texts.sparkSession.sparkContext.broadcast((np.log10(mass), head)), uuid.uuid4().hex
+    names = [x.split()[0] for x in ENCODED.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_mass, lexicon = sent.value[0], _lexicon(key, sent.value[1], classes)
+        context = TaskContext.get()
+        number = itertools.count((context.partitionId() if context else 0) << 40)
+        for batch in slices(batches):
+            rows = []
+            for text in texts_of(batch):
+                of, known, counted, others = lexicon.read(text)
+                inside = float(log_mass[of].sum() + log_mass[classes])
+                rows.append((next(number), len(of) + 1, known + (ends > 0), counted + np.log10(ends + 1.0), inside, of.astype("<u2").tobytes(), b" ".join(others), np.array([*others.values()], "<i4").tobytes()))
+            columns = [*zip(*rows, strict=True)]
+            columns[1:1] = [batch.column("doc_id"), batch.column("learn")]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, ENCODED.split(", "), strict=True)], names=names)
+
+    return texts.select("doc_id", "text", "learn").mapInArrow(run, ENCODED)
+
+
+def sequence_of(s: bytes, classes: int) -> np.ndarray:
+    """Classes of a stored text with the end."""
+    return np.append(np.frombuffer(s, "<u2").astype(np.int32), np.int32(classes))
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], classes: int, run: Callable[[list[np.ndarray], list[int]], object]) -> Iterator[object]:
+    """run() over sequences and their row numbers: the short ones of each slice,
+    and the long ones of all together as far as they fit a segment, since the
+    recursions take as many steps as the longest has tokens."""
+    held: list[tuple[np.ndarray, int]] = []
     size = 0
-    for batch in slices(batches):
-        short: list[tuple] = []
-        for i, text in enumerate(texts_of(batch)):
-            got = read(text, batch, i)
-            if len(got[0]) <= LONG:
-                short.append(got)
+    for batch in slices(batches, "s", SLICE):
+        short: list[tuple[np.ndarray, int]] = []
+        for s, row in zip(batch.column("s").to_pylist(), batch.column("row").to_pylist(), strict=True):
+            x = sequence_of(s, classes)
+            if len(x) <= LONG:
+                short.append((x, row))
                 continue
-            if held and size + len(got[0]) > SEGMENT:
-                yield run(held)
+            if held and size + len(x) > SEGMENT:
+                yield run(*map(list, zip(*held, strict=True)))
                 held, size = [], 0
-            held.append(got)
-            size += len(got[0])
+            held.append((x, row))
+            size += len(x)
         if short:
-            yield run(short)
+            yield run(*map(list, zip(*short, strict=True)))
     if held:
-        yield run(held)
-
-
-def train(texts: DataFrame, counts: DataFrame, head: tuple[list[bytes], np.ndarray] | None = None, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Hmm, np.ndarray]:
-    """The model, and the mass of each class: its tokens' counts, one more for
-    each, and one for its unknown tokens."""
-    head = head if head is not None else head_of(counts)[1]
-    bucket = F.when(F.length("token") == 0, classes).otherwise(F.xxhash64("token").bitwiseAND(F.lit(classes - 1)))
-    mass = np.ones(classes + 1)
-    got = counts.groupBy(bucket.cast("int").alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).toPandas()  # classes + 1 rows
-    mass[got["k"].to_numpy()] += got["m"].to_numpy()
+        yield run(*map(list, zip(*held, strict=True)))
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([classes_of(words_of(t), classes).tobytes() for t in texts_of(batch)], pa.binary())], names=["doc_id", "s"])
 
-    first = thinned(texts.where(F.coalesce(F.length("text"), F.lit(0)) <= INIT_BYTES), "doc_id", INIT_DOCS)
-    first = first.groupBy("doc_id").agg(F.min("text").alias("text"))  # of a repeated id one
-    rows = first.mapInArrow(sequences, "doc_id long, s binary").toPandas().sort_values(["doc_id", "s"], kind="stable")
-    model = Hmm.initial(Batch([np.frombuffer(s, np.int32) for s in rows["s"]]), mass, states)
+def train(encoded: DataFrame, mass: np.ndarray, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> Hmm:
+    """The model of encoded texts (row, doc_id, s)."""
+    first = thinned(encoded.where(F.length("s") <= 2 * INIT_TOKENS), "doc_id", INIT_DOCS)
+    rows = first.groupBy("doc_id").agg(F.min("s").alias("s")).toPandas().sort_values("doc_id")  # of a repeated id one
+    model = Hmm.initial(Batch([sequence_of(s, classes) for s in rows["s"]]), mass, states)
     for _ in range(rounds):
-        model = Hmm.from_counts(*_round(texts, model, head, classes), mass)
-    return model, mass
+        model = Hmm.from_counts(*_round(encoded, model, classes), mass)
+    return model
 
 
-def _round(texts: DataFrame, model: Hmm, head: tuple[list[bytes], np.ndarray], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _round(encoded: DataFrame, model: Hmm, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over all texts, summed by row of the tables."""
-    states, key = len(model.start), uuid.uuid4().hex
-    sent = texts.sparkSession.sparkContext.broadcast((model, head))
+    states = len(model.start)
+    sent = encoded.sparkSession.sparkContext.broadcast(model)
     names = ["row", *(f"s{j}" for j in range(states))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, lexicon = sent.value[0], _lexicon(key, sent.value[1], classes)
+        model = sent.value
         starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-        for a, b, c in _by_length(batches, lambda text, *_: (lexicon.sequence(text),), lambda rows: model.expected(Batch([r[0] for r in rows]))):
+        for a, b, c in _by_length(batches, classes, lambda x, _: model.expected(Batch(x))):
             starts, moves, emissions = starts + a, moves + b, emissions + c
         table = np.concatenate([emissions, moves, starts[None, :]])
         rows = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(table[rows, j]) for j in range(states))], names=names)
 
     kinds = ", ".join(["row int", *(f"{n} double" for n in names[1:])])
-    summed = texts.mapInArrow(run, kinds).groupBy("row").agg(*[F.sum(n).alias(n) for n in names[1:]]).toPandas()  # classes + states + 2 rows
+    summed = encoded.select("row", "s").mapInArrow(run, kinds).groupBy("row").agg(*[F.sum(n).alias(n) for n in names[1:]]).toPandas()  # classes + states + 2 rows
     sent.unpersist()
     table = np.zeros((classes + 2 + states, states))
     table[summed["row"].to_numpy()] = summed[names[1:]].to_numpy()
     return table[-1], table[classes + 1 : classes + 1 + states], table[: classes + 1]
 
 
-READ = "row long, doc_id long, n_tokens long, known long, counted double, inside double, whole double, others array<struct<token:binary,n:int>>"
+def likelihoods(encoded: DataFrame, model: Hmm, classes: int = CLASSES) -> DataFrame:
+    """(row, whole): log10 of the probability of each sequence."""
+    sent = encoded.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for rows, whole in _by_length(batches, classes, lambda x, rows: (rows, model.log10_likelihood(Batch(x)))):
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(whole)], names=["row", "whole"])
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
-    document, learning from those where `learn` (over doc_id) holds."""
-    texts = _texts(docs, id_col, text_col)
-    training = texts.where(learn)
-    counts = materialize(count_tokens(training))
-    n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("token") == 0, F.col("c"))), F.lit(0))).first()
-    chosen, tokens = head_of(counts, head)
-    model, mass = train(training, counts.where("c > 0"), tokens, states, classes)
-    sent, key, end = docs.sparkSession.sparkContext.broadcast((model, np.log10(mass), tokens)), uuid.uuid4().hex, int(ends)
+    return encoded.select("row", "s").mapInArrow(run, "row long, whole double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, log_mass, lexicon = *sent.value[:2], _lexicon(key, sent.value[2], classes)
-        context = TaskContext.get()
-        number = itertools.count((context.partitionId() if context else 0) << 40)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))]
 
-        def read(text: bytes | None, batch: pa.RecordBatch, i: int) -> tuple:
-            sequence, known, counted, others = lexicon.read(text)
-            told = [{"token": t, "n": k} for t, k in others.items()]
-            return sequence, next(number), batch.column("doc_id")[i].as_py(), len(sequence), known + (end > 0), counted + np.log10(end + 1.0), float(log_mass[sequence].sum()), told
+def other_tokens(encoded: DataFrame) -> DataFrame:
+    """(row, token, n) of the tokens outside the head."""
 
-        def finish(rows: list[tuple]) -> pa.RecordBatch:
-            whole = model.log10_likelihood(Batch([r[0] for r in rows]))
-            columns = [*zip(*(r[1:7] for r in rows), strict=True), whole, [r[7] for r in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words"):
+            tokens, rows = [], []
+            for row, words in zip(batch.column("row").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                tokens += (part := words.split())
+                rows.append(np.full(len(part), row))
+            numbers = np.frombuffer(b"".join(batch.column("numbers").to_pylist()), "<i4")
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).astype(np.int64)), pa.array(tokens, pa.binary()), pa.array(numbers)], names=["row", "token", "n"])
 
-        yield from _by_length(batches, read, finish)
+    return encoded.where(F.length("words") > 0).select("row", "words", "numbers").mapInArrow(run, "row long, token binary, n int")
 
-    rows = materialize(texts.mapInArrow(run, READ))
-    each = rows.select("row", F.explode("others").alias("o")).select("row", "o.token", "o.n")
-    found = each.join(counts.where(~chosen & (F.col("c") > 0)), "token").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
-    out = rows.join(found, "row", "left").withColumns({"n_known": F.col("known") + F.coalesce("more", F.lit(0)), "counted": F.col("counted") + F.coalesce("sum", F.lit(0.0))})
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every
+    document, learning from those where `learn`, a condition on docs, holds."""
+    if not 1 < classes <= CLASSES:
+        raise ValueError("a class is stored in sixteen bits")
+    texts = _texts(docs, id_col, text_col, learn)
+    counts = materialize(count_tokens(texts.where("learn")))
+    n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("token") == 0, F.col("c"))), F.lit(0))).first()
+    chosen, tokens = head_of(counts, head)
+    mass = mass_of(counts, classes)
+    encoded = materialize(encode(texts, tokens, mass, int(ends), classes))
+    model = train(encoded.where("learn"), mass, states, classes)
+    found = other_tokens(encoded).join(counts.where(~chosen & (F.col("c") > 0)), "token").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
+    out = encoded.drop("s", "words", "numbers").join(likelihoods(encoded, model, classes), "row").join(found, "row", "left")
+    out = out.withColumns({"n_known": F.col("known") + F.coalesce("more", F.lit(0)), "counted": F.col("counted") + F.coalesce("sum", F.lit(0.0))})
     base = F.col("counted") - F.col("n_tokens") * float(np.log10(n + 1.0 * (v + 1)))
     whole = F.col("whole") + F.col("counted") - F.col("inside") if n else base
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score"))

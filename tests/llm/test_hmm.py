@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from paperloom.llm import hmm
 
@@ -91,15 +92,17 @@ def test_rounds_over_all_texts_are_three_and_sum_doubles(spark, monkeypatch):
     rng = np.random.default_rng(4)
     words = [" ".join(f"w{k}" for k in rng.integers(0, 50, 40)) for _ in range(60)]
     texts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(words)], "doc_id long, text binary").repartition(3)
-    model = tiny(rng, classes=17)
+    model, counts = tiny(rng, classes=17), hmm.count_tokens(texts)
     want = model.expected(hmm.Batch([hmm.classes_of(t.encode().split(), 16) for t in words]))
+    mass = hmm.mass_of(counts, 16)
     for known in ([], [b"w1", b"w2", b"w30"]):
-        for got, counts in zip(hmm._round(texts, model, (known, np.ones(len(known))), 16), want, strict=True):
-            assert np.allclose(got, counts, rtol=1e-11, atol=1e-12)
+        encoded = hmm.encode(texts.withColumn("learn", F.lit(True)), (known, np.ones(len(known))), mass, 60, 16)
+        for got, sums in zip(hmm._round(encoded, model, 16), want, strict=True):
+            assert np.allclose(got, sums, rtol=1e-11, atol=1e-12)
     seen, one = [], hmm._round
     monkeypatch.setattr(hmm, "_round", lambda *a: seen.append(a[0]) or one(*a))
-    hmm.train(texts, hmm.count_tokens(texts), None, 3, 16)
-    assert len(seen) == 3 and all(t is texts for t in seen)
+    hmm.train(encoded, mass, 3, 16)
+    assert len(seen) == 3 and all(t is encoded for t in seen)
 
 
 def test_any_head_gives_the_same_scores(spark):
