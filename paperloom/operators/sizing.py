@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +20,26 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if the optimizer's bound on its size is within
     limit, else df as it is (a shuffled join is planned then)."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df, worked out once for all that reads it: for results that are small
+    beside what they come from."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that the strings of a column hold about max_bytes in
+    each (a single longer one is a slice by itself): bounds a worker's memory."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = total = 0
+        for i, size in enumerate(sizes):
+            if i > start and total + size > max_bytes:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if len(sizes) > start:
+            yield batch.slice(start)

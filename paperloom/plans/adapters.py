@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators.sizing import small
+from paperloom.operators import verbatim
 from paperloom.schemas import CONTENT_TYPES, QUESTION_TYPES
 
 
@@ -64,7 +64,7 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark is the stated query set."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return docs.join(small(items), F.contains("text", "passage")).select("query_id", "doc_id").distinct()
+    return verbatim.holders(docs, items)
 
 
 RELEVANT = "\n  relevant AS (SELECT DISTINCT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"

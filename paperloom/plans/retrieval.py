@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import evaluation, fusion, lexical, ranking, vector
+from paperloom.operators.sizing import once
 from paperloom.plans import adapters as A
 from paperloom.plans.adapters import CHUNKS, QUERIES as QUERY_VIEW, RELEVANT, table
 
@@ -58,27 +59,38 @@ ROLLED = """
 
 
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(lexical.build(A.chunks(spark, d), "doc_id", "text"), A.queries(spark, d))
+    return lexical.search(lexical.build(table(spark, d, "documents"), "doc_id", "text"), A.queries(spark, d))
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
     return vector.search(A.vectors(spark, d), A.query_vectors(spark, d))
 
 
+def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The lists of both routes, 50 rows a query, each worked out once for all
+    that a query reads of it."""
+    return once(dense(spark, d)), once(bm25(spark, d))
+
+
 def rrf(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.rrf(dense(spark, d), bm25(spark, d), dense_weight=20.0)
+    return _fused(dense(spark, d), bm25(spark, d))
+
+
+def _fused(dense_list: DataFrame, lexical_list: DataFrame) -> DataFrame:
+    return fusion.rrf(dense_list, lexical_list, dense_weight=20.0)
 
 
-def reranked(spark: SparkSession, d: str) -> DataFrame:
+def reranked(spark: SparkSession, d: str, fused: DataFrame | None = None) -> DataFrame:
     """Fused candidates under a stand-in model score and the business rule."""
-    hits = rrf(spark, d).where(F.col("rank") <= TOP).join(A.chunks(spark, d).drop("text"), "doc_id").join(A.queries(spark, d).drop("query"), "query_id")
+    fused = rrf(spark, d) if fused is None else fused
+    hits = fused.where(F.col("rank") <= TOP).join(A.chunks(spark, d).drop("text"), "doc_id").join(A.queries(spark, d).drop("query"), "query_id")
     rule = ranking.rule_score(F.col("question_type"), F.col("content_type"), F.col("confidence"), F.col("rag_text_status"))
     return ranking.rerank(hits.withColumns({"rule_score": rule, "model_score": F.col("score") * 3, "compat": ranking.compatibility(F.col("question_type"), F.col("content_type"))}))
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """BM25 and dense top 50, fused, reranked and rolled up into sections."""
-    hits = reranked(spark, d).select("query_id", "section_id", F.col("doc_id").alias("chunk_id"), F.col("final_rank").alias("rank"), "final_score")
+    hits = once(reranked(spark, d).select("query_id", "section_id", F.col("doc_id").alias("chunk_id"), F.col("final_rank").alias("rank"), "final_score"))
     rolled = ranking.section_rollup(hits.drop("final_score"))
     best = hits.groupBy("query_id", "section_id").agg(F.max("final_score").alias("best_score"))
     return rolled.join(best, ["query_id", "section_id"]).select("query_id", "section_id", "section_rank", "best_rank", "best_score", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
@@ -86,7 +98,9 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _stages(spark: SparkSession, d: str) -> DataFrame:
     """(stage, query_id, doc_id, rank) of all routes."""
-    lists = {"dense": dense(spark, d), "bm25": bm25(spark, d), "rrf": rrf(spark, d), "reranker": reranked(spark, d).select("query_id", "doc_id", F.col("final_rank").alias("rank"))}
+    dense_list, lexical_list = _routes(spark, d)
+    fused = once(_fused(dense_list, lexical_list))
+    lists = {"dense": dense_list, "bm25": lexical_list, "rrf": fused, "reranker": once(reranked(spark, d, fused)).select("query_id", "doc_id", F.col("final_rank").alias("rank"))}
     out = None
     for name, ranked in lists.items():
         part = ranked.select(F.lit(name).alias("stage"), "query_id", "doc_id", F.col("rank").cast("int").alias("rank"))
@@ -95,7 +109,7 @@ def _stages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stage_ranks(spark: SparkSession, d: str) -> DataFrame:
-    rel = A.relevant(spark, d)
+    rel = once(A.relevant(spark, d))
     return evaluation.first_rank(_stages(spark, d), rel, rel, keys=("stage",))
 
 
@@ -148,14 +162,15 @@ def business_rule_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_delta(spark: SparkSession, d: str) -> DataFrame:
-    before = rrf(spark, d).where(F.col("rank") <= TOP)
-    after = reranked(spark, d).where(F.col("final_rank") <= 10).select("query_id", "doc_id", F.col("final_rank").alias("rank"))
+    fused = once(rrf(spark, d))
+    before = fused.where(F.col("rank") <= TOP)
+    after = reranked(spark, d, fused).where(F.col("final_rank") <= 10).select("query_id", "doc_id", F.col("final_rank").alias("rank"))
     return ranking.rank_delta(before, after)
 
 
 def rrf_weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    rel = A.relevant(spark, d)
-    swept = fusion.rrf_sweep(dense(spark, d), bm25(spark, d), RATIOS)
+    rel = once(A.relevant(spark, d))
+    swept = fusion.rrf_sweep(*_routes(spark, d), RATIOS)
     return evaluation.metrics(evaluation.first_rank(swept, rel, rel, keys=("ratio",)), "ratio")
 
 
