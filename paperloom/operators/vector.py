@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
-from paperloom.operators.lexical import ranked
+from paperloom.operators import topk
 from paperloom.operators.sizing import BROADCAST_BYTES
+from paperloom.operators.topk import ranked
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,16 +30,45 @@ def normalised(v: Column) -> Column:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 50, digits: int = 6) -> DataFrame:
     """vectors (doc_id, vector) x queries (query_id, vector) -> (query_id,
     doc_id, score, rank).  The stated queries go to every partition of the
-    vectors once; those of more than BROADCAST_BYTES in blocks of it."""
+    vectors once, which keeps the k best of each; those of more than
+    BROADCAST_BYTES in blocks of it."""
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     blocks = max(1, -(-n * (8 * width + 32) // BROADCAST_BYTES))
-    q = queries.select("query_id", F.col("vector").alias("_q"))
-    parts = [vectors.join(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), how="cross") for i in range(blocks)]
-    scores = [p.select("query_id", "doc_id", F.round(dot(F.col("vector"), F.col("_q")), digits).alias("score")) for p in parts]
-    out = ranked(scores[0], k)
-    for s in scores[1:]:
-        out = out.unionByName(ranked(s, k))
-    return out
+    rows, out = vectors.select("doc_id", "vector"), None
+    for i in range(blocks):
+        asked = queries.select("query_id", "vector").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        part = topk.search(rows, queries.schema["query_id"], [q["query_id"] for q in asked], _scorer([q["vector"] for q in asked], digits), k)
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, k)
+
+
+def _scorer(asked: list[list[float] | None], digits: int):
+    """Dot products of stored vectors and those asked for; -inf, for null, where
+    either is missing, has a missing number, or their lengths differ."""
+    whole = [v is not None and None not in v for v in asked]
+    sides = {w: [i for i, v in enumerate(asked) if whole[i] and len(v) == w] for w in {len(v) for v, good in zip(asked, whole, strict=True) if good}}
+    matrices = {w: np.array([asked[i] for i in at], np.float64).reshape(len(at), w).T for w, at in sides.items()}
+    step = max(1, topk.CELLS // max(1, len(asked)))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                held, items = batch.column("vector").slice(start, step), batch.column("doc_id").slice(start, step)
+                length = pc.fill_null(pc.list_value_length(held), -1).to_numpy(zero_copy_only=False)
+                flat = held.flatten()
+                numbers = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+                first = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+                if flat.null_count:
+                    gaps = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+                    length = np.where(gaps[first + np.maximum(length, 0)] > gaps[first], -1, length)
+                scores = np.full((len(held), len(asked)), -np.inf)
+                for w, at in sides.items():
+                    rows = np.nonzero(length == w)[0]
+                    with np.errstate(all="ignore"):
+                        scores[np.ix_(rows, at)] = topk.rounded(numbers[first[rows][:, None] + np.arange(w)] @ matrices[w], digits)
+                yield scores, items
+
+    return run
 
 
 def violations(vectors: DataFrame) -> DataFrame:
