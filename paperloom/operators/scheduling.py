@@ -12,8 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from paperloom.operators import placement
 from paperloom.operators.sizing import small
 
 REASONS = ("scope_mismatch", "window_too_short", "no_qualified_technician", "no_compatible_workstation", "no_required_equipment", "resource_conflict", "no_available_time")
@@ -91,19 +94,6 @@ def conflicts(wanted: DataFrame, reservations: DataFrame) -> DataFrame:
     return wanted.join(r, hit, "left_semi")
 
 
-def starts(tasks: DataFrame, resources: DataFrame, reservations: DataFrame) -> DataFrame:
-    """(task_id, start, end, ...) of every candidate start that fits the window."""
-    own = resources.select("store_id", "kind", "id", F.concat(F.transform("availability", lambda a: a["start"]), F.filter(F.transform(F.coalesce("abilities", F.array().cast("array<struct<skill:string,valid_from:timestamp,valid_until:timestamp>>")), lambda a: a["valid_from"]), lambda t: t.isNotNull())).alias("at"))
-    freed = reservations.where("status = 'ACTIVE'").select(F.col("resource_type").alias("kind"), F.col("resource_id").alias("id"), F.col("end_time").alias("t"))
-    moments = own.select("store_id", F.explode("at").alias("t")).unionByName(freed.join(own.select("store_id", "kind", "id"), ["kind", "id"]).select("store_id", "t")).distinct()
-    window = tasks.select("task_id", "store_id", "duration_minutes", "earliest_start", "latest_end")
-    inside = (window["store_id"] == moments["store_id"]) & (moments["t"] > window["earliest_start"]) & (moments["t"] < window["latest_end"])
-    late = window.join(moments, inside).select("task_id", "duration_minutes", "earliest_start", "latest_end", F.ceil((F.unix_micros("t") - F.unix_micros("earliest_start")) / 60e6).cast("int").alias("k"))
-    every = window.select("task_id", "duration_minutes", "earliest_start", "latest_end", F.lit(0).alias("k")).unionByName(late).distinct()
-    every = every.withColumn("start", F.col("earliest_start") + _minutes(F.col("k"))).withColumn("end", F.col("start") + _minutes(F.col("duration_minutes")))
-    return every.where("end <= latest_end").select("task_id", "start", "end")
-
-
 def overlap_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...], width: str = "day") -> DataFrame:
     """Pairs of left (*keys, start, end) and right (*keys, start_time, end_time)
     rows whose half-open intervals overlap.  Both sides are spread over the
@@ -137,46 +127,46 @@ def free_intervals(resources: DataFrame, reservations: DataFrame) -> DataFrame:
     return held.withColumn("free", F.flatten(F.transform("availability", left_of))).drop("_booked")
 
 
+def _able(resources: DataFrame, reservations: DataFrame) -> DataFrame:
+    """Resources as placement.placed() reads them, times as microseconds: what is
+    available and free, abilities, and the moments at which feasibility can change
+    (at: availability and abilities begin; freed: ACTIVE reservations end)."""
+    freed = reservations.where("status = 'ACTIVE'").groupBy(F.col("resource_type").alias("kind"), F.col("resource_id").alias("id")).agg(F.collect_set(F.unix_micros("end_time")).alias("freed"))
+    held = free_intervals(resources, reservations).where("store_id is not null").join(freed, ["kind", "id"], "left")
+    abilities = F.coalesce("abilities", F.array().cast("array<struct<skill:string,valid_from:timestamp,valid_until:timestamp>>"))
+    times = lambda c, f: F.transform(c, lambda a: F.unix_micros(a[f]))
+    ends = [times(c, f).alias(f"{c}_{f}") for c in ("availability", "free") for f in ("start", "end")]
+    return held.select("store_id", "kind", "id", "ord", "type", *ends, F.transform(abilities, lambda a: a["skill"]).alias("skill"), times(abilities, "valid_from").alias("valid_from"), times(abilities, "valid_until").alias("valid_until"), F.concat(times("availability", "start"), times(abilities, "valid_from")).alias("at"), "freed")
+
+
 def plan(tasks: DataFrame, resources: DataFrame, reservations: DataFrame, vehicle: dict[str, str] | None = None) -> DataFrame:
     """One row per task: task_id, status, start, end, technician_id,
     workstation_id, equipment_ids, reasons.  vehicle: brand, store_id, category
     and powertrain that a task must match.
 
-    Every candidate start meets the resources of its store once; one grouping by
-    start holds the first free choice of each kind, and one by task the earliest
-    start that has all of them and what was missing throughout."""
+    The tasks of a store, a block at a time, meet its resources in one place, so
+    neither candidate starts nor their pairs with resources are shuffled; rows of
+    one task_id are merged."""
     scope = F.lit(True)
     for k, v in (vehicle or {}).items():
         scope = scope & (F.col(k) == v)
     none = F.array().cast("array<string>")
     tasks = tasks.withColumn("_scope", scope).withColumn("_fits", F.col("earliest_start") + _minutes(F.col("duration_minutes")) <= F.col("latest_end"))
     tasks = tasks.withColumn("_types", F.array_sort(F.array_distinct(F.coalesce("required_equipment_types", none))))
-    open_ = tasks.where("_scope and _fits")
-    needs = open_.select("task_id", "store_id", "required_skills", F.coalesce("required_workstation_types", none).alias("_places"), "allowed_technician_ids", "_types")
-    slots = starts(open_, resources, reservations).join(needs, "task_id")
-    within = lambda spans: F.exists(spans, lambda a: contains(a["start"], a["end"], F.col("start"), F.col("end")))
-    able = free_intervals(resources, reservations).select(F.col("store_id").alias("_store"), "kind", "id", "ord", "type", "availability", "free", F.coalesce("abilities", F.array().cast("array<struct<skill:string,valid_from:timestamp,valid_until:timestamp>>")).alias("abilities"))
-    held = F.transform(F.filter("abilities", lambda a: valid_throughout(a["valid_from"], a["valid_until"], F.col("start"), F.col("end"))), lambda a: a["skill"])
-    allowed = F.col("allowed_technician_ids").isNull() | F.array_contains("allowed_technician_ids", F.col("id"))
-    fit = (
-        F.when(F.col("kind") == "technician", allowed & has_all(F.col("required_skills"), held))
-        .when(F.col("kind") == "workstation", (F.size("_places") == 0) | F.array_contains("_places", F.col("type")))
-        .otherwise(F.array_contains("_types", F.col("type")))
-    )
-    near = slots.join(able, F.col("store_id") == F.col("_store")).where(within("availability")).where(fit)
-    near = near.select("task_id", "start", "kind", "id", "ord", "type", within("free").alias("free"))
-    first = lambda kind: F.min_by("id", F.when((F.col("kind") == kind) & F.col("free"), F.col("ord")))
-    found = near.groupBy("task_id", "start").agg(
-        first("technician").alias("technician_id"), first("workstation").alias("workstation_id"), F.bool_or(F.col("kind") == "technician").alias("t"), F.bool_or(F.col("kind") == "workstation").alias("w"),
-        F.collect_list(F.when(F.col("kind") == "equipment", F.struct("type", "free", "ord", "id"))).alias("_devices"),  # of one store
+    open_ = tasks.where("_scope and _fits").select(
+        "store_id", "task_id", F.unix_micros("earliest_start").alias("early"), F.unix_micros("latest_end").alias("late"), F.col("duration_minutes").cast("long").alias("length"),
+        "required_skills", F.coalesce("required_workstation_types", none).alias("_places"), "allowed_technician_ids", "_types",
     )
-    at = slots.select("task_id", "start", "end", "_types").join(found, ["task_id", "start"], "left").withColumn("_devices", F.coalesce("_devices", F.array().cast("array<struct<type:string,free:boolean,ord:int,id:string>>")))
-    # different types hold different devices, so the first free one of each type is the first free choice
-    device = lambda ty: F.array_min(F.transform(F.filter("_devices", lambda d: (d["type"] == ty) & d["free"]), lambda d: F.struct(d["ord"], d["id"])))["id"]
-    at = at.withColumns({"equipment_ids": F.transform("_types", device), "e": F.forall("_types", lambda ty: F.exists("_devices", lambda d: d["type"] == ty))})
-    complete = F.col("technician_id").isNotNull() & F.col("workstation_id").isNotNull() & F.forall("equipment_ids", lambda i: i.isNotNull())
-    best = F.min(F.when(complete, F.struct("start", "end", "technician_id", "workstation_id", "equipment_ids")))
-    by_task = at.groupBy("task_id").agg(best.alias("b"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in "twe"])
+    # blocks of the tasks of a store, each with the resources of the store
+    sizes = open_.groupBy(F.col("store_id").alias("_of")).agg(F.ceil(F.count("*") / placement.TASKS).cast("int").alias("_blocks"))
+    asked = open_.join(sizes, F.col("store_id").eqNullSafe(F.col("_of")), "left").withColumn("_block", F.pmod(F.xxhash64("task_id"), F.col("_blocks"))).drop("_of", "_blocks")
+    able = _able(resources, reservations).join(sizes, F.col("store_id") == F.col("_of")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks").cast("long") - 1))).drop("_of", "_blocks")
+    key = resources.schema["id"].dataType
+    schema = StructType([tasks.schema["task_id"], *[StructField(c, LongType()) for c in ("start", "end")], StructField("technician_id", key), StructField("workstation_id", key), StructField("equipment_ids", ArrayType(key)), *[StructField(c, BooleanType()) for c in "twe"]])
+    arrow = to_arrow_schema(schema)
+    found = asked.groupBy("store_id", "_block").cogroup(able.groupBy("store_id", "_block")).applyInArrow(lambda left, right: placement.placed(left, right, arrow), schema)
+    chosen = F.struct(F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "technician_id", "workstation_id", "equipment_ids")
+    by_task = found.groupBy("task_id").agg(F.min(F.when(F.col("start").isNotNull(), chosen)).alias("b"), *[F.bool_or(c).alias(c) for c in "twe"])
     out = tasks.join(by_task, "task_id", "left")
     missing = F.array_compact(F.array(F.when(~F.col("t"), "no_qualified_technician"), F.when(~F.col("w"), "no_compatible_workstation"), F.when(~F.col("e"), "no_required_equipment")))
     done = F.col("b").isNotNull()
