@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from paperloom.operators.sizing import mapped
+
 BLOCK = 1024
 ARTIFACTS = ("raw_pages", "clean_pages", "sections", "chunks", "table_report", "quality_report")
 
@@ -20,19 +22,19 @@ def canonical_json(payload: Column, sparse: tuple[str, ...] = (), empty: tuple[s
     `empty` that are null are {}.  Key order and the form of numbers are not to
     be had from the built-in writer."""
 
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            value = json.loads(text)
-            for k in sparse:
-                if isinstance(value.get(k), dict):
-                    value[k] = {m: x for m, x in value[k].items() if x is not None}
-            value |= {k: {} for k in empty if value.get(k) is None}
-            return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-
-        return texts.map(one)
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        value = json.loads(text)
+        for k in sparse:
+            if isinstance(value.get(k), dict):
+                value[k] = {m: x for m, x in value[k].items() if x is not None}
+        value |= {k: {} for k in empty if value.get(k) is None}
+        return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return mapped(texts, one, pa.string())
 
     return run(F.to_json(payload, {"ignoreNullFields": "false"}))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -43,3 +43,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
             total += size
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def mapped(values: pa.Array, f: Callable[[str | None], object], kind: pa.DataType, max_bytes: int = 1 << 20) -> pa.Array:
+    """f of each string, as an array of kind.  Only about max_bytes of strings,
+    and what f makes of them, are Python objects at a time."""
+    batch = pa.RecordBatch.from_arrays([values], ["text"])
+    done = [pa.array([f(t) for t in part.column(0).to_pylist()], kind) for part in slices([batch], max_bytes=max_bytes)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)

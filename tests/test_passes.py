@@ -93,3 +93,21 @@ def test_lists_are_worked_out_once(spark):
     plan = retrieval.stage_ranks(spark, str(TABLES))._jdf.queryExecution().withCachedData().treeString()
     assert plan.count("InMemoryRelation") >= 4
     spark.catalog.clearCache()
+
+
+def test_strings_become_objects_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow.compute as pc
+
+    from paperloom.operators.sizing import mapped
+
+    texts = pa.array([None, "", *["é" * 5000] * 4000])
+    tracemalloc.start()
+    got = mapped(texts, lambda t: None if t is None else [t, t], pa.list_(pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20 and got.null_count == 1 and len(got) == 4002 and pc.sum(pc.binary_length(got.flatten())).as_py() == 2 * 2 * 5000 * 4000
+    assert len(mapped(pa.array([], pa.string()), str, pa.string())) == 0
+    sliced = mapped(pa.array(["a", "bb", "ccc"]).slice(1), len, pa.int64(), 1)
+    assert sliced.to_pylist() == [2, 3]
