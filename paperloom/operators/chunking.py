@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from paperloom.functions.text import lines, loose_key
 from paperloom.operators.ranking import chunk_profile
+from paperloom.operators.sizing import mapped
 
 SIZE, OVERLAP = 1800, 200
 #: Split points in order of preference, and titles that are not indexed: fixed values.
@@ -63,9 +64,9 @@ def recursive_split(text: str, size: int = SIZE, overlap: int = OVERLAP, separat
 
 
 def splitter(size: int = SIZE, overlap: int = OVERLAP):
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: recursive_split(t or "", size, overlap))
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return mapped(texts, lambda t: recursive_split(t or "", size, overlap), pa.list_(pa.string()))
 
     return run
 
